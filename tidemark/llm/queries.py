@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, langid, minhash, quality
+from . import bpe, chat, decontaminate, exact_dedup, langid, minhash, quality, sharding
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,10 +23,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    fixed = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.report(rows.unionByName(fixed))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
@@ -44,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op4_byte_bpe, op6_near_dedup, op7_quality, op8_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_chat, op4_byte_bpe, op5_sharding, op6_near_dedup, op7_quality, op8_language_id, op10_exact_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -72,6 +83,22 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(items, '')) AS items_sha256,
                    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
             FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+        "op3_chat": r"""
+            WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                       UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+            o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
+                         lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+                         lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NULL AS last FROM c)
+            SELECT conv_id, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+                   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   sum(length(regexp_replace(role || text, '([\\#<:])', 'xx', 'g')) + 14)::BIGINT AS formatted_chars,
+                   bool_and(CASE WHEN role = 'system' THEN n = 1
+                                 WHEN role = 'user' THEN before IS NULL OR before IN ('system', 'assistant')
+                                 WHEN role = 'assistant' THEN before = 'user' ELSE false END
+                            AND (NOT last OR role = 'assistant')) AS valid
+            FROM o GROUP BY conv_id""",
         "op10_exact_dedup": r"""
             WITH k AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                               sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h FROM documents),
