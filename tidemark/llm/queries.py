@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, langid, minhash, quality, sharding
+from . import bpe, chat, decontaminate, exact_dedup, langid, minhash, pii, quality, sharding
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -55,7 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_chat, op4_byte_bpe, op5_sharding, op6_near_dedup, op7_quality, op8_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_chat, op4_byte_bpe, op5_sharding, op6_near_dedup, op7_quality, op8_language_id, op10_exact_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
