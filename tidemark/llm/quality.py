@@ -27,7 +27,7 @@ from .sampling import bags, bounded
 
 GRAMS = Grams(orders=(2, 3, 4), bits=17, words=True)
 #: Rows that are learnt from, about; never more than twice as many.
-SAMPLE = 4000
+SAMPLE = 3000
 THRESHOLD = 0.3
 
 
@@ -46,7 +46,7 @@ def train(
     examples: list[tuple[int, np.ndarray, np.ndarray]],
     grams: Grams,
     dim: int = 16,
-    epochs: int = 12,
+    epochs: int = 8,
     rate: float = 5.0,
     seed: int = 5,
 ) -> Model:
@@ -60,7 +60,7 @@ def train(
             label, at, n = examples[i]
             own = rate * (1 - step / steps)
             step += 1
-            share = n / n.sum() if len(n) else n
+            share = (n / n.sum()).astype(np.float32) if len(n) else np.zeros(0, np.float32)
             mean = share @ vectors[at]
             z = mean @ layer + bias
             p = np.exp(z - z.max())

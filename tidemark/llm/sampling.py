@@ -21,6 +21,21 @@ def bounded(rows: DataFrame, size: int, id_col: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(_PARTS)) < share).limit(2 * size)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    values = np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def _arrays(found: pa.Table, name: str) -> list[np.ndarray]:
+    """The lists of a column as views of one array: no copies on the driver."""
+    out: list[np.ndarray] = []
+    for chunk in found.column(name).chunks:
+        values, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    return out
+
+
 def bags(rows: DataFrame, grams: Grams, id_col: str, label_col: str, text_col: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(label, features, counts) of a sample's rows, in the order of their ids. The features are found by executors."""
 
@@ -31,14 +46,15 @@ def bags(rows: DataFrame, grams: Grams, id_col: str, label_col: str, text_col: s
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([x[0] for x in found], pa.list_(pa.int32())),
-                    pa.array([x[1] for x in found], pa.list_(pa.int32())),
+                    _lists([x[0] for x in found]),
+                    _lists([x[1] for x in found]),
                 ],
                 ["id", "label", "features", "counts"],
             )
 
     own = rows.select(F.col(id_col).cast("string"), F.col(label_col).cast("string"), F.col(text_col).cast("string"))
     found = own.mapInArrow(run, "id string, label string, features array<int>, counts array<int>").toArrow()
+    found = found.combine_chunks()
     order = np.argsort(np.array([x or "" for x in found.column("id").to_pylist()]), kind="stable") if found.num_rows else []
-    labels, features, counts = (found.column(c).to_pylist() for c in ("label", "features", "counts"))
-    return [(labels[i], np.array(features[i], np.int64), np.array(counts[i], np.float64)) for i in order]
+    labels, features, counts = found.column("label").to_pylist(), _arrays(found, "features"), _arrays(found, "counts")
+    return [(labels[i], features[i], counts[i]) for i in order]
