@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, langid, minhash, pii, quality, sharding
+from . import bpe, chat, decontaminate, exact_dedup, langid, minhash, pii, quality, sharding, substring_dedup
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -54,12 +54,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_chat, op4_byte_bpe, op5_sharding, op6_near_dedup, op7_quality, op8_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_chat, op4_byte_bpe, op5_sharding, op6_near_dedup, op7_quality, op8_language_id, op9_suffix_dedup, op10_exact_dedup)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
