@@ -1,8 +1,8 @@
 """Chat formatting: a finite-state machine over roles and a declarative template, in DataFrame functions only.
 
 A turn becomes three segments: a head and a foot, which are never learnt from, and a body, which carries the template's
-loss flag of its role. Control strings inside texts and roles are escaped by a backslash before each character that
-could start one, which is undone when a formatted conversation is read back.
+loss flag of its role. Inside texts and roles a backslash follows each character that control strings begin or end with,
+and each backslash, so that no control string is left in them; reading a formatted conversation back undoes it.
 
 Defined results: turns are ordered by turn (null first), then role and text, so that repeated turns have an order; null
 texts and roles are empty; a null conversation id is a conversation of its own; roles that the template does not know are formatted, carry
@@ -26,7 +26,7 @@ class Template:
 
     head: str = "### {role}: "
     foot: str = "</turn>\n"
-    #: The characters that head and foot consist of at their start and end, and the backslash.
+    #: The characters that tell head and foot from a text, and the backslash.
     escaped: str = r"[\\#<:]"
     learnt: tuple[str, ...] = ("assistant",)
     start: str = "start"
@@ -47,11 +47,11 @@ _FAILED = "failed"
 
 
 def escape(text: Column, template: Template = TEMPLATE) -> Column:
-    return F.regexp_replace(text, f"({template.escaped})", r"\\$1")
+    return F.regexp_replace(text, f"({template.escaped})", r"$1\\")
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+def unescape(text: Column, template: Template = TEMPLATE) -> Column:
+    return F.regexp_replace(text, rf"({template.escaped})\\", "$1")
 
 
 def _final_state(roles: Column, template: Template) -> Column:
@@ -97,8 +97,9 @@ def formatted(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
 
 def read_back(output: DataFrame) -> DataFrame:
     """``output`` of formatted(), for the default template, with the turns (role, text) and the learnt text found in it."""
-    # an unescaped foot ends each turn; a head's role ends at the first unescaped colon
-    turn = r"(?s)### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n"
+    # in a role or text each of these characters has a backslash after it; in head and foot it has none
+    own = r"((?:[^\\#<:]++|[\\#<:]\\)*+)"
+    turn = f"### {own}: {own}</turn>\n"
     found = output.withColumns(
         {"__roles": F.regexp_extract_all("formatted", F.lit(turn), F.lit(1)), "__texts": F.regexp_extract_all("formatted", F.lit(turn), F.lit(2))}
     )
