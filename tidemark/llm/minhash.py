@@ -9,9 +9,10 @@ made in order of time and stop as soon as they are later than the whole signatur
 
 Signatures are banded (BANDS bands of ROWS rows: a pair of similarity 0.8 is missed with a probability of 2e-5), copies
 of one word sequence are one node, and candidates are verified by the exact multiset overlap of their texts.
-Buckets are never expanded into pairs: each bucket's members are compared with a pivot, in rounds. Every member that is not linked to its
-pivot becomes a pivot itself, compared with all members that the triangle inequality of the Jaccard distance leaves, so
-that no link between members of a bucket is lost.
+Buckets are never expanded into pairs: each bucket's members are compared with its pivot, the member with the most company.
+Members that are not linked to their pivot are then compared with all members of their bucket, in blocks of bounded
+size, and a block gives a spanning forest of what it links. So no link that would join two classes is lost, and rows stay
+in proportion to the members.
 
 Defined results: null, empty and wordless texts are near-duplicates of nothing, each a class of its own; repeated rows
 and copies share a class; the class id is its least document id (null ids come last); an empty table gives an
@@ -38,8 +39,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 36, 6
 COMPONENTS = BANDS * ROWS
-#: Rounds in which each bucket has one pivot; members that are still unlinked are then all pivots at once.
-ROUNDS = 3
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 1024
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -166,60 +167,139 @@ def _similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return staged(both.mapInArrow(_verify, "node binary, pivot binary, sim double"), "verified")
 
 
-def links(nodes: DataFrame, texts_of, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links (node, pivot, sim) among ``nodes`` (node, bands): all between members of a bucket.
+def expanded(text: str, k: int = SHINGLE) -> np.ndarray:
+    """A multiset as a set: 32-bit hashes of (shingle, how often it has come), so that overlaps of sets are those of multisets."""
+    doc, h = shingle_hashes([words_of(text.encode())], k)
+    h.sort()
+    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    times = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    with np.errstate(over="ignore"):
+        return (mix(h + times.astype(np.uint64) * _C) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [expanded(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "elements"])
+
+
+def overlaps(queries: list[np.ndarray], others: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections, by products of 0/1 matrices over the elements that several sets have."""
+    sets = queries + others
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    value, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[column]
+    row = np.repeat(np.arange(len(sets)), sizes)
+    row, place = row[place >= 0], place[place >= 0]
+    out = np.zeros((len(queries), len(others)), np.float32)
+    for a in range(0, int((n > 1).sum()), width):
+        inside = (place >= a) & (place < a + width)
+        x = np.zeros((len(sets), min(width, int((n > 1).sum()) - a)), np.float32)
+        x[row[inside], place[inside] - a] = 1
+        out += x[: len(queries)] @ x[len(queries) :].T
+    return out
+
+
+def _search_blocks(threshold: float):
+    """Rows sorted by block: bucket, query block, block, node, label, role (1 query, 2 other, 3 both), elements."""
+
+    def solve(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        queries, others = [r for r in rows if r[5] & 1], [r for r in rows if r[5] & 2]
+        if not queries or len({r[4] for r in rows}) == 1:
+            return []
+        q, e = ([np.frombuffer(r[6], np.int32) for r in own] for own in (queries, others))
+        common = overlaps(q, e)
+        sizes = np.fromiter(map(len, q), np.float32)[:, None] + np.fromiter(map(len, e), np.float32)[None, :]
+        top: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while x in top:
+                x = top[x]
+            return x
+
+        out = []
+        # links inside a class tell nothing new: a spanning forest over the classes is enough
+        for i, j in zip(*np.nonzero(common >= (threshold - 1e-6) * (sizes - common))):
+            a, b = root(queries[i][4]), root(others[j][4])
+            if a != b:
+                top[a] = b
+                out.append((queries[i][3], others[j][3]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+        for batch in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if waiting and waiting[-1][:3] != r[:3]:
+                    out += solve(waiting)
+                    waiting = []
+                waiting.append(r)
+            yield _pairs(out)
+        yield _pairs(solve(waiting) if waiting else [])
+
+    return run
+
+
+def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["node", "pivot"])
+
+
+def links(nodes: DataFrame, texts_of, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Verified links (node, pivot, sim) among ``nodes`` (node, bands), enough to connect all that similar members of a bucket connect.
 
     ``texts_of`` gives the texts (node, text) of the nodes asked for.
     """
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     # reduced before the exchange: a hot bucket is a row for each task
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    entries = staged(rows.join(shared.hint("shuffle_merge"), "bucket"), "entries")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    entries = staged(rows.join(shared.hint("merge"), "bucket"), "entries")
     texts = staged(texts_of(entries.select("node").distinct()), "texts")
-    entries = entries.select("bucket", "node", F.lit(None).cast("double").alias("far"), F.lit(True).alias("open"))
-    found = None
-    slack = 1 - threshold
-    for r in range(rounds):
-        pivots = entries.where("open").groupBy("bucket").agg(F.min("node").alias("pivot"))
-        if r:
-            own = entries.select("bucket", F.col("node").alias("pivot"), F.col("far").alias("pivot_far"))
-            pivots = pivots.join(own, ["bucket", "pivot"])
-        else:
-            pivots = pivots.withColumn("pivot_far", F.lit(None).cast("double"))
-        met = entries.join(pivots.hint("merge"), "bucket").where("node <> pivot")
-        if r:
-            met = met.where(F.abs(F.col("far") - F.col("pivot_far")) <= slack + 1e-9)
-        pairs = met.select("node", "pivot").distinct()
-        if found is not None:
-            pairs = pairs.join(found.select("node", "pivot"), ["node", "pivot"], "left_anti")
-        new = _similarities(pairs, texts)
-        found = new if found is None else staged(found.unionByName(new), "found")
-        known = found.select("node", "pivot", "sim")
-        entries = (
-            entries.join(pivots.select("bucket", "pivot").hint("merge"), "bucket", "left")
-            .join(known, ["node", "pivot"], "left")
-            .select(
-                "bucket",
-                "node",
-                F.coalesce(F.col("far"), F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(1 - F.col("sim"))).alias("far"),
-                (F.col("open") & ((F.col("node") != F.col("pivot")) & (F.coalesce(F.col("sim"), F.lit(0.0)) < threshold))).alias("open"),
-            )
+    # the pivot is the member with the most company in all of its buckets: what others are copies of
+    company = entries.groupBy("node").agg(F.sum("n").alias("company"))
+    weighed = entries.join(company, "node")
+    pivots = weighed.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot"))
+    met = staged(entries.join(pivots.hint("merge"), "bucket").where("node <> pivot"), "met")
+    found = _similarities(met.select("node", "pivot").distinct(), texts)
+    good = found.where(F.col("sim") >= threshold).select("node", "pivot")
+    open_ = met.join(found.where(F.col("sim") < threshold).select("node", "pivot"), ["node", "pivot"]).select("bucket", "node")
+    open_ = staged(open_.withColumn("open", F.lit(True)), "open")
+    if open_.isEmpty():
+        return good
+    # members that are not linked to their pivot are compared with all members of their bucket, in blocks of bounded size;
+    # what leaves a block is a spanning forest, never its pairs
+    labels = connected(good, "node", "pivot").select("node", "root")
+    busy = open_.groupBy("bucket").agg(F.count("*").alias("n_open"))
+    sets = texts.join(open_.select("bucket").distinct().join(entries, "bucket").select("node").distinct(), "node", "left_semi")
+    sets = staged(sets.select("node", "text").mapInArrow(_elements, "node binary, elements binary"), "elements")
+    members = (
+        entries.join(busy.hint("merge"), "bucket")
+        .join(open_, ["bucket", "node"], "left")
+        .join(labels, "node", "left")
+        .select(
+            "bucket",
+            "node",
+            F.coalesce("root", "node").alias("label"),
+            F.coalesce("open", F.lit(False)).alias("open"),
+            F.ceil(F.col("n_open") / block).cast("int").alias("n_q"),
+            F.ceil(F.col("n") / block).cast("int").alias("n_e"),
         )
-        # buckets whose members are all settled are done with
-        waiting = entries.where("open").select("bucket").distinct()
-        entries = staged(entries.join(waiting.hint("shuffle_merge"), "bucket", "left_semi"), "entries")
-        if entries.isEmpty():
-            return found.where(F.col("sim") >= threshold)
-    rest = entries.where("open").select("bucket", F.col("node").alias("pivot"), F.col("far").alias("pivot_far"))
-    met = entries.join(rest, "bucket").where("node <> pivot").where(F.abs(F.col("far") - F.col("pivot_far")) <= slack + 1e-9)
-    ordered = met.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot")).distinct()
-    pairs = ordered.join(found.select("node", "pivot"), ["node", "pivot"], "left_anti")
-    found = found.unionByName(_similarities(pairs, texts))
-    return found.where(F.col("sim") >= threshold)
+    )
+    h = F.xxhash64("node")
+    one = (F.col("n_q") == 1) & (F.col("n_e") == 1)
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_query = F.transform(every("n_e"), lambda b: F.struct(F.pmod(h, F.col("n_q")).cast("int").alias("q"), b.alias("e"), F.lit(1).alias("role")))
+    as_other = F.transform(every("n_q"), lambda b: F.struct(b.alias("q"), F.pmod(h, F.col("n_e")).cast("int").alias("e"), F.lit(2).alias("role")))
+    both = F.array(F.struct(F.lit(0).alias("q"), F.lit(0).alias("e"), F.when(F.col("open"), 3).otherwise(2).alias("role")))
+    dealt = members.select("bucket", "node", "label", F.explode(F.when(one, both).when(F.col("open"), F.concat(as_query, as_other)).otherwise(as_other)).alias("at"))
+    dealt = dealt.join(sets, "node").select("bucket", "at.q", "at.e", "node", "label", "at.role", "elements")
+    dealt = dealt.repartition("bucket", "q", "e").sortWithinPartitions("bucket", "q", "e")
+    more = staged(dealt.mapInArrow(_search_blocks(threshold), "node binary, pivot binary").distinct(), "more")
+    return good.unionByName(_similarities(more, texts).where(F.col("sim") >= threshold).select("node", "pivot"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, text_hash, class_id, class_size, n_links (of its text to other texts)."""
+    """A row for each row of ``docs``: doc_id, text_hash, class_id, class_size, alone (it has no words)."""
     small_arrow_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -246,18 +326,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     repeated = not wordy.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
     linked = staged(links(nodes.select("node", "bands"), texts_of, threshold), "links")
     roots = connected(linked, "node", "pivot")
-    degree = linked.select(F.explode(F.array("node", "pivot")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     rooted = staged(
         nodes.select("node", "least", "copies")
         .join(roots, "node", "left")
-        .join(degree, "node", "left")
-        .select("node", F.coalesce("root", "node").alias("root"), "least", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")),
+        .select("node", F.coalesce("root", "node").alias("root"), "least", "copies"),
         "rooted",
     )
     sizes = rooted.groupBy("root").agg(
         F.min_by("least", F.struct(F.col("least").isNull(), "least")).alias("class_id"), F.sum("copies").alias("class_size")
     )
-    named = staged(rooted.select("node", "root", "n_links").join(sizes, "root").drop("root"), "named")
+    named = staged(rooted.select("node", "root").join(sizes, "root").drop("root"), "named")
     return (
         sketches.select("doc_id", "text_hash", "node")
         .join(named.hint("merge"), "node", "left")
@@ -266,7 +344,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             "text_hash",
             F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
             F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
             F.col("node").isNull().alias("alone"),
         )
     )
@@ -275,7 +352,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     found = classes(docs, id_col, text_col)
     return found.select(
-        "doc_id", "class_id", "class_size", "n_links", (F.col("alone") | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept")
+        "doc_id", "class_id", "class_size", (F.col("alone") | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept")
     )
 
 
