@@ -1,15 +1,724 @@
-"""All queries by name, and the SQL that states the same."""
+"""All queries by name over the stand-in relations, and the SQL that states the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import text as tx
+from .operators import evaluate, expand, index, lifecycle, metrics, reuse, versions
+from .sources import adapters as src
+from .sources.corpora import chunks
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+# ---------------------------------------------------------------- shared SQL
+
+_KR = """kr AS (
+  SELECT d.doc_id AS id, substr(text, 1, 80) AS title, substr(text, 1, 8000) AS content, source AS project_key, lang AS source_agent,
+         CASE WHEN d.doc_id % 10 = 0 THEN 'user' ELSE 'project' END AS scope,
+         CASE d.doc_id % 4 WHEN 0 THEN 'fact' WHEN 1 THEN 'preference' WHEN 2 THEN 'procedure' ELSE 'decision' END AS knowledge_type,
+         CASE WHEN quality IS NULL THEN 'candidate' WHEN toxic = 1 THEN 'quarantined' WHEN quality = 0 THEN 'archived'
+              WHEN d.doc_id % 7 = 0 THEN 'stale' ELSE 'active' END AS status,
+         CAST(coalesce(quality, 0) AS BIGINT) AS verified_count, CAST(coalesce(toxic, 0) AS BIGINT) AS rejected_count,
+         TIMESTAMP '2024-01-01' + to_hours(CAST(d.doc_id * 137 % 2880 AS INTEGER)) AS created_at
+  FROM documents d LEFT JOIN labels l USING (doc_id))"""
+_EV = """ev AS (
+  SELECT doc_id AS knowledge_id, outcome,
+         CASE doc_id % 3 WHEN 0 THEN 'user_approval' WHEN 1 THEN 'test' ELSE 'observation' END AS evidence_kind,
+         'agent' || (doc_id % 5) AS agent_id,
+         TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id * 137 % 2880 + CASE outcome WHEN 'verified' THEN 24 ELSE 48 END AS INTEGER)) AS created_at
+  FROM (SELECT doc_id, 'verified' AS outcome FROM labels WHERE quality = 1
+        UNION ALL SELECT doc_id, 'rejected' FROM labels WHERE toxic = 1))"""
+_FOLD = "translate(lower({0}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy')"
+_TOKENS = "regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}]+')"
+_SCORED = f"""q AS (SELECT item_id AS query_id, substr(text, 1, 500) AS query FROM benchmark),
+toks AS (SELECT id, {_TOKENS.format("title || ' ' || content")} AS t FROM kr),
+stats AS (SELECT count(*)::DOUBLE AS n_docs, avg(len(t)) AS avg_len FROM toks),
+post AS (SELECT id, term, count(*) AS tf, any_value(doc_len) AS doc_len
+         FROM (SELECT id, len(t) AS doc_len, unnest(t) AS term FROM toks) GROUP BY id, term),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+qt0 AS (SELECT query_id, term, min(p) AS p FROM (
+          SELECT query_id, unnest(t) AS term, unnest(range(len(t))) AS p FROM (SELECT query_id, {_TOKENS.format('query')} AS t FROM q)) GROUP BY ALL),
+qt AS (SELECT query_id, term FROM qt0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= 64),
+scored AS (SELECT query_id, id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6)
+             * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))), 6) AS score
+           FROM qt JOIN post USING (term) JOIN dfs USING (term), stats GROUP BY query_id, id),
+scoped AS (SELECT s.*, status, verified_count FROM scored s JOIN kr USING (id)
+           WHERE status IN ('active', 'stale') AND (scope = 'user' OR project_key = 'src0'))"""
+_BM25 = f"{_KR}, {_SCORED}"
+_AE = """ae AS (
+  SELECT event_id AS id, ts AS created_at, user_id AS session_id, event_type,
+         CASE event_type WHEN 'error' THEN false WHEN 'purchase' THEN true END AS success, value, props AS payload,
+         'agent' || (user_id % 4) AS agent_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+_RE = f"""{_AE}, re AS (
+  SELECT id, agent_id, session_id, created_at, value AS latency_ms, k % 2 = 0 AS hit,
+         CASE WHEN id % 3 = 0 THEN k % 2 = 0 END AS successful_validation FROM ae WHERE event_type = 'view')"""
+_RUNS = """runs AS (
+  SELECT o_orderkey AS run_id, 'agent' || (o_custkey % 7) AS agent_id,
+         CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
+         o_totalprice AS latency_ms, o_orderdate AS created_at, o_orderkey % 4 AS proposal_count,
+         CASE o_orderstatus WHEN 'F' THEN o_orderkey % 3 ELSE 0 END AS promoted_count, o_orderpriority AS proposal_outcome FROM orders)"""
+_LINKS = """links AS (
+  SELECT l_orderkey AS run_id, l_partkey AS knowledge_id, CASE l_returnflag WHEN 'R' THEN 'deduplicated' ELSE 'produced' END AS relation,
+         l_suppkey AS agent_key FROM lineitem)"""
+_GOLD = """gold AS (SELECT item_id AS query_id, doc_id AS id FROM documents d, benchmark b WHERE contains(d.text, substr(b.text, 1, 60)))"""
+
+
+def query(sql: str = "") -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def epoch(column: str, name: str | None = None):
+    return F.unix_timestamp(column).alias(name or column)
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    kr, q = src.knowledge_records(spark, sf_dir), src.search_requests(spark, sf_dir)
+    return index.scores(q, kr, "title", "content"), q, kr
+
+
+def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, q, kr = _scores(spark, sf_dir)
+    return index.scoped(scored, q, kr, ("active", "stale"))
+
+
+@query(f"WITH {_BM25} SELECT query_id, id, score, row_number() OVER w AS rank FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id) QUALIFY rank <= 3")
+def search_naive_bm25_top3(spark, sf_dir):
+    return index.top(_scores(spark, sf_dir)[0], 3, "query_id")
+
+
+@query(f"WITH {_BM25} SELECT query_id, id, score, row_number() OVER w AS rank FROM scoped WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id) QUALIFY rank <= 3")
+def search_scoped_bm25(spark, sf_dir):
+    return index.top(_scoped(spark, sf_dir), 3, "query_id").select("query_id", "id", "score", "rank")
+
+
+_POOL = """pool AS (SELECT query_id, id, status, score, verified_count, row_number() OVER (PARTITION BY query_id, status
+             ORDER BY score DESC, verified_count DESC, id) AS pool_rank FROM scoped QUALIFY pool_rank <= 24),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE status WHEN 'active' THEN 0 ELSE 1 END, score DESC,
+             verified_count DESC, id) AS position FROM pool)"""
+
+
+@query(f"WITH {_BM25}, {_POOL} SELECT query_id, id, status, score, pool_rank, position FROM placed")
+def search_pool_by_status(spark, sf_dir):
+    return index.status_pools(_scoped(spark, sf_dir), 3).select("query_id", "id", "status", "score", "pool_rank", "position")
+
+
+@query(f"""WITH {_KR}, {_GOLD}, w AS (SELECT item_id AS query_id, substr(text, 1, 6) AS query FROM benchmark
+  WHERE item_id NOT IN (SELECT query_id FROM gold))
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE status WHEN 'stale' THEN 1 ELSE 0 END, verified_count DESC, id) AS rank
+FROM w, kr WHERE (scope = 'user' OR project_key = 'src0') AND (contains(lower(title), lower(query)) OR contains(lower(content), lower(query)))
+QUALIFY rank <= 5""")
+def search_like_fallback(spark, sf_dir):
+    q = src.search_requests(spark, sf_dir).withColumn("query", F.substring("query", 1, 6))
+    return index.like_fallback(q, src.knowledge_records(spark, sf_dir), src.gold(spark, sf_dir), 5)
+
+
+@query(f"WITH {_BM25} SELECT DISTINCT term, least(coalesce(df, 0), 7)::BIGINT AS df FROM qt LEFT JOIN dfs USING (term)")
+def df_bounded(spark, sf_dir):
+    kr, q = src.knowledge_records(spark, sf_dir), src.search_requests(spark, sf_dir)
+    return index.bounded_frequencies(index.postings(kr, "title", "content"), index.query_terms(q), 6)
+
+
+_ANCHORS = """anch AS (SELECT query_id, term, df, row_number() OVER (PARTITION BY query_id ORDER BY df, length(term) DESC, term) AS position
+FROM qt JOIN dfs USING (term) WHERE df BETWEEN 1 AND 6 AND length(term) >= 2 QUALIFY position <= 3)"""
+
+
+@query(f"WITH {_BM25}, {_ANCHORS} SELECT query_id, term, df, position FROM anch")
+def anchor_terms(spark, sf_dir):
+    kr, q = src.knowledge_records(spark, sf_dir), src.search_requests(spark, sf_dir)
+    terms = index.query_terms(q)
+    return index.anchors(terms, index.bounded_frequencies(index.postings(kr, "title", "content"), terms, 6))
+
+
+@query(f"""WITH {_BM25}, {_POOL}, {_ANCHORS}, holds AS (SELECT DISTINCT a.query_id, p.id FROM anch a JOIN post p USING (term) WHERE a.position = 1)
+SELECT query_id, id, CASE WHEN h.id IS NULL THEN 0 ELSE 1 END AS pin, row_number() OVER (PARTITION BY query_id
+  ORDER BY CASE WHEN h.id IS NULL THEN 0 ELSE 1 END DESC, CASE status WHEN 'stale' THEN 1 ELSE 0 END, verified_count DESC, position) AS pinned_position
+FROM placed LEFT JOIN holds h USING (query_id, id)""")
+def pin_discriminative(spark, sf_dir):
+    kr, q = src.knowledge_records(spark, sf_dir), src.search_requests(spark, sf_dir)
+    posts, terms = index.postings(kr, "title", "content"), index.query_terms(q)
+    rare = index.anchors(terms, index.bounded_frequencies(posts, terms, 6)).where("position = 1")
+    holds = posts.join(rare.select("query_id", "term"), "term").select("query_id", "id").distinct()
+    pool = index.status_pools(index.scoped(index.scores(q, kr, "title", "content", index=posts), q, kr, ("active", "stale")), 3)
+    return index.pinned(pool, holds).select("query_id", "id", "pin", "pinned_position")
+
+
+def _title_terms(spark, sf_dir):
+    kr = src.knowledge_records(spark, sf_dir)
+    return kr.select("id", "project_key", "verified_count", "created_at", "status", F.explode(F.array_distinct(tx.tokens(F.col("title")))).alias("term")).where(F.char_length("term") >= 4)
+
+
+_TT = f"""{_KR}, tt AS (SELECT DISTINCT id, project_key, verified_count, created_at, status, term FROM (
+  SELECT id, project_key, verified_count, created_at, status, unnest({_TOKENS.format('title')}) AS term FROM kr) WHERE length(term) >= 4)"""
+_EDGES = f"""{_TT}, rar AS (SELECT project_key, term, count(DISTINCT id) AS df FROM tt GROUP BY ALL),
+own AS (SELECT id, project_key, created_at, term FROM tt JOIN rar USING (project_key, term)
+        QUALIFY row_number() OVER (PARTITION BY project_key, id ORDER BY df, term) <= 24),
+edges AS (SELECT x.project_key, x.term AS a, y.term AS b, count(*) AS n, max(x.created_at) AS last_seen
+          FROM own x JOIN own y ON x.id = y.id AND x.project_key = y.project_key AND x.term < y.term GROUP BY ALL)"""
+
+
+@query(f"WITH {_EDGES} SELECT project_key, a, b, n, epoch(last_seen)::BIGINT AS last_seen FROM edges")
+def cooccurrence_edges(spark, sf_dir):
+    return expand.cooccurrence(_title_terms(spark, sf_dir)).withColumn("last_seen", F.unix_timestamp("last_seen"))
+
+
+_QP = """qp AS (SELECT DISTINCT query_id, 'src' || (query_id % 20) AS project_key, term FROM qt)"""
+
+
+@query(f"""WITH {_EDGES}, {_SCORED}, {_QP},
+ties AS (SELECT project_key, a AS term, b AS other, n FROM edges WHERE n >= 2 UNION ALL SELECT project_key, b, a, n FROM edges WHERE n >= 2),
+met AS (SELECT query_id, other AS term, max(n) AS strength FROM qp JOIN ties USING (project_key, term) GROUP BY ALL)
+SELECT query_id, term, strength, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, term) AS position
+FROM met ANTI JOIN qp USING (query_id, term) QUALIFY position <= 3""")
+def bridge_terms(spark, sf_dir):
+    q = src.search_requests(spark, sf_dir)
+    wanted = index.query_terms(q).withColumn("project_key", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    return expand.bridges(wanted, expand.cooccurrence(_title_terms(spark, sf_dir)))
+
+
+@query(f"""WITH {_TT}, newest AS (SELECT id FROM kr WHERE status IN ('active', 'stale')
+   QUALIFY row_number() OVER (PARTITION BY project_key ORDER BY created_at DESC, id DESC) <= 400),
+pt AS (SELECT project_key, id, term, verified_count FROM tt SEMI JOIN newest USING (id)),
+seeds AS (SELECT id AS query_id, project_key, id FROM kr WHERE status = 'active'),
+df AS (SELECT project_key, term, count(*) AS df FROM pt GROUP BY ALL),
+topic AS (SELECT DISTINCT query_id, project_key, term FROM seeds JOIN pt USING (project_key, id)),
+sc AS (SELECT query_id, pt.id, verified_count, round(sum(1.0::DOUBLE / df), 6) AS weight, count(*) AS shared
+       FROM topic JOIN pt USING (project_key, term) JOIN df USING (project_key, term) WHERE query_id <> pt.id GROUP BY ALL)
+SELECT query_id, id, verified_count, weight, shared,
+       row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, shared DESC, verified_count DESC, id) AS rank
+FROM sc WHERE shared >= 2 QUALIFY rank <= 3""")
+def sibling_candidates(spark, sf_dir):
+    kr = src.knowledge_records(spark, sf_dir)
+    pool = expand.newest(kr.where("status in ('active', 'stale')")).select("id")
+    terms = _title_terms(spark, sf_dir).join(pool, "id", "left_semi").select("project_key", "id", "term", "verified_count")
+    seeds = kr.where("status = 'active'").select(F.col("id").alias("query_id"), "project_key", "id")
+    return expand.siblings(seeds, terms)
+
+
+@query(f"""WITH {_BM25}, retired AS (SELECT s.*, status FROM scored s JOIN kr USING (id) WHERE status IN ('active', 'stale', 'archived') AND (scope = 'user' OR project_key = 'src0')),
+top8 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM retired QUALIFY rank <= 8)
+SELECT query_id, id, score, rank FROM top8 WHERE status = 'archived'""")
+def shadow_probe(spark, sf_dir):
+    scored, q, kr = _scores(spark, sf_dir)
+    wide = index.scoped(scored, q, kr, ("active", "stale", "archived"))
+    return index.top(wide, 8, "query_id").where("status = 'archived'").select("query_id", "id", "score", "rank")
+
+
+@query(f"""WITH {_BM25}, retired AS (SELECT s.*, status FROM scored s JOIN kr USING (id) WHERE status IN ('active', 'stale', 'archived') AND (scope = 'user' OR project_key = 'src0')),
+top8 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM retired QUALIFY rank <= 8),
+a AS (SELECT count(DISTINCT query_id) AS probed, count(DISTINCT query_id) FILTER (status = 'archived') AS missed FROM top8),
+b AS (SELECT count(DISTINCT kr.id) AS archived, count(DISTINCT h.id) AS false_kills
+      FROM kr LEFT JOIN (SELECT DISTINCT id FROM top8 WHERE status = 'archived') h ON h.id = kr.id WHERE kr.status = 'archived')
+SELECT probed, missed, archived, false_kills, round(missed::DOUBLE / nullif(probed, 0), 6) AS miss_rate,
+       round(false_kills::DOUBLE / nullif(archived, 0), 6) AS false_kill_rate FROM a, b""")
+def lfhv_report(spark, sf_dir):
+    scored, q, kr = _scores(spark, sf_dir)
+    probes = index.top(index.scoped(scored, q, kr, ("active", "stale", "archived")), 8, "query_id")
+    return metrics.lfhv_report(probes.withColumn("retired_hit", F.col("status") == "archived"), kr)
+
+
+# ---------------------------------------------------------------- publication and lifecycle
+
+
+_HASHED = f"""{_KR}, hashed AS (SELECT *, sha256(project_key || chr(31) || scope || chr(31) || knowledge_type || chr(31) || title || chr(31) || content) AS content_hash FROM kr),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY created_at, id) AS n,
+                  first_value(id) OVER (PARTITION BY content_hash ORDER BY created_at, id) AS knowledge_id FROM hashed)"""
+
+
+@query(f"WITH {_HASHED} SELECT id, content_hash FROM ranked WHERE n = 1")
+def publish_dedup(spark, sf_dir):
+    return lifecycle.publish(src.knowledge_records(spark, sf_dir))[0].select("id", "content_hash")
+
+
+@query(f"WITH {_HASHED} SELECT content_hash, id AS request_id, source_agent, 'confirmed_duplicate' AS outcome, knowledge_id FROM ranked WHERE n > 1")
+def duplicate_evidence(spark, sf_dir):
+    # two projects, so that the stand-in corpus has equal requests in one
+    return lifecycle.publish(src.knowledge_records(spark, sf_dir))[1]
+
+
+@query(f"""WITH {_KR}, o AS (SELECT scope, knowledge_type, source_agent, content, arg_min(id, (created_at, id)) AS knowledge_id FROM kr
+WHERE status = 'candidate' GROUP BY ALL) SELECT id AS request_id, knowledge_id FROM kr JOIN o USING (scope, knowledge_type, source_agent, content) WHERE id <> knowledge_id""")
+def candidate_body_dedup(spark, sf_dir):
+    one = src.knowledge_records(spark, sf_dir).withColumn("project_key", F.lit("all"))
+    return lifecycle.body_duplicates(one, one)
+
+
+@query(f"""WITH {_KR}, s AS (SELECT scope, content, min(id) AS target_id FROM kr WHERE status IN ('active', 'stale') GROUP BY ALL)
+SELECT id AS candidate_id, target_id FROM kr JOIN s USING (scope, content) WHERE status = 'candidate'""")
+def merge_plan(spark, sf_dir):
+    kr = src.knowledge_records(spark, sf_dir).withColumns({"project_key": F.lit("all"), "knowledge_type": F.lit("fact")})
+    return lifecycle.merge_plan(kr)
+
+
+@query(f"""WITH {_KR} SELECT id, status, knowledge_type, epoch(created_at)::BIGINT AS created_at FROM kr
+WHERE project_key = 'src3' AND status IN ('active', 'stale', 'candidate') AND scope = 'project' AND created_at >= TIMESTAMP '2024-01-05'
+  AND (contains(lower(title), 'the') OR contains(lower(content), 'the') OR contains(lower(source_agent), 'the')) ORDER BY created_at DESC, id LIMIT 100""")
+def list_records_filtered(spark, sf_dir):
+    kr, q = src.knowledge_records(spark, sf_dir), F.lit("the")
+    holds = F.contains(F.lower("title"), q) | F.contains(F.lower("content"), q) | F.contains(F.lower("source_agent"), q)
+    own = kr.where((F.col("project_key") == "src3") & F.col("status").isin("active", "stale", "candidate") & (F.col("scope") == "project"))
+    return own.where((F.col("created_at") >= F.lit("2024-01-05").cast("timestamp")) & holds).orderBy(F.desc("created_at"), "id").limit(100).select("id", "status", "knowledge_type", epoch("created_at"))
+
+
+@query(f"WITH {_KR} SELECT id, project_key, row_number() OVER (PARTITION BY project_key ORDER BY created_at, id) AS n FROM kr WHERE status = 'candidate' QUALIFY n <= 20")
+def review_queue(spark, sf_dir):
+    kr = src.knowledge_records(spark, sf_dir).where("status = 'candidate'")
+    return lifecycle.prune(kr, ["project_key"], ["created_at", "id"], 20).select("id", "project_key", "n")
+
+
+@query(f"""WITH {_KR} SELECT project_key, count(*) AS available, count(*) FILTER (verified_count > 0) AS confirmed,
+count(*) FILTER (status IN ('active', 'stale')) AS retrievable, count(*) FILTER (status IN ('active', 'stale') AND scope = 'user') AS shared,
+count(DISTINCT source_agent) AS source_agents FROM kr GROUP BY 1""")
+def overview_summary(spark, sf_dir):
+    return metrics.overview(src.knowledge_records(spark, sf_dir))
+
+
+@query(f"WITH {_KR} SELECT project_key, count(*) AS n, epoch(max(created_at))::BIGINT AS last_updated FROM kr GROUP BY 1 ORDER BY last_updated DESC, project_key")
+def project_list(spark, sf_dir):
+    kr = src.knowledge_records(spark, sf_dir)
+    return kr.groupBy("project_key").agg(F.count("*").alias("n"), F.unix_timestamp(F.max("created_at")).alias("last_updated")).orderBy(F.desc("last_updated"), "project_key")
+
+
+@query(f"WITH {_KR} SELECT status, count(*) AS n, sum(verified_count)::BIGINT AS verified, sum(rejected_count)::BIGINT AS rejected FROM kr GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return metrics.status_counts(src.knowledge_records(spark, sf_dir))
+
+
+@query(f"WITH {_KR} SELECT id, round(coalesce(verified_count::DOUBLE / nullif(verified_count + rejected_count, 0), 0), 3) AS confidence FROM kr")
+def confidence(spark, sf_dir):
+    return src.knowledge_records(spark, sf_dir).select("id", lifecycle.confidence(F.col("verified_count"), F.col("rejected_count")).alias("confidence"))
+
+
+_LAST = f"""{_KR}, {_EV}, lc AS (SELECT kr.*, (SELECT max(created_at) FROM ev WHERE knowledge_id = kr.id AND outcome IN ('used', 'verified')) AS last_confirmed_at FROM kr)"""
+
+
+@query(f"WITH {_LAST} SELECT id, epoch(last_confirmed_at)::BIGINT AS last_confirmed_at FROM lc")
+def last_confirmed(spark, sf_dir):
+    return lifecycle.last_confirmed(src.knowledge_records(spark, sf_dir), src.evidence(spark, sf_dir)).select("id", epoch("last_confirmed_at"))
+
+
+@query(f"""WITH {_LAST}, aged AS (SELECT *, (epoch_us(TIMESTAMP '{src.AS_OF}') - epoch_us(greatest(created_at, last_confirmed_at))) / 86400e6::DOUBLE AS days FROM lc),
+w AS (SELECT id, row_number() OVER (PARTITION BY project_key ORDER BY verified_count, created_at, id) AS weakness,
+             count(*) OVER (PARTITION BY project_key) AS n_active FROM kr WHERE status = 'active'),
+p AS (SELECT a.*, coalesce(weakness <= greatest(0, least(n_active - 12, n_active - 5)), false) AS over,
+        CASE WHEN status IN ('active', 'stale') AND days >= 90 THEN 'archived' WHEN status = 'active' AND days >= 30 THEN 'stale'
+             WHEN status = 'active' AND over THEN 'stale' WHEN status = 'candidate' AND created_at + INTERVAL 1 DAY <= TIMESTAMP '{src.AS_OF}' THEN 'quarantined' END AS to_status
+      FROM aged a LEFT JOIN w USING (id))
+SELECT id, project_key, status AS from_status, to_status, CASE WHEN status = 'candidate' THEN 'review_deadline' WHEN days >= 90 THEN 'idle_archive'
+  WHEN days >= 30 THEN 'idle_stale' ELSE 'capacity' END AS reason FROM p WHERE to_status IS NOT NULL""")
+def sweep_plan(spark, sf_dir):
+    kr = lifecycle.last_confirmed(src.knowledge_records(spark, sf_dir), src.evidence(spark, sf_dir))
+    return lifecycle.sweep_plan(kr, src.AS_OF, capacity=12, floor=5)
+
+
+@query(f"""WITH {_KR}, w AS (SELECT id, project_key, row_number() OVER (PARTITION BY project_key ORDER BY verified_count, created_at, id) AS weakness,
+count(*) OVER (PARTITION BY project_key) AS n_active FROM kr WHERE status = 'active') SELECT * FROM w WHERE weakness <= least(n_active - 12, n_active - 5)""")
+def capacity_evictions(spark, sf_dir):
+    return lifecycle.evictions(src.knowledge_records(spark, sf_dir), 12, 5).select("id", "project_key", "weakness", "n_active")
+
+
+@query(f"WITH {_KR} SELECT id FROM kr WHERE status = 'candidate' AND created_at + INTERVAL 1 DAY <= TIMESTAMP '{src.AS_OF}'")
+def candidate_expiry(spark, sf_dir):
+    return lifecycle.expired(src.knowledge_records(spark, sf_dir), src.AS_OF).select("id")
+
+
+@query(f"WITH {_AE} SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS n FROM ae QUALIFY n <= 50")
+def audit_prune(spark, sf_dir):
+    return lifecycle.prune(src.agent_events(spark, sf_dir), ["session_id"], [F.desc("created_at"), F.desc("id")]).select("id", "session_id", "n")
+
+
+@query(f"""WITH {_KR}, r AS (SELECT id + CASE WHEN id % 50 = 0 THEN 10000000 ELSE 0 END AS id, CASE WHEN id % 3 = 0 THEN 'active' ELSE status END AS expected_status,
+'archived' AS to_status FROM kr) SELECT r.id, expected_status, to_status, coalesce(k.status = expected_status, false) AS applied,
+CASE WHEN k.status IS NULL THEN 'missing' WHEN k.status <> expected_status THEN 'status_changed' END AS conflict FROM r LEFT JOIN kr k ON k.id = r.id""")
+def transit_cas(spark, sf_dir):
+    kr = src.knowledge_records(spark, sf_dir)
+    asked = kr.select(
+        (F.col("id") + F.when(F.col("id") % 50 == 0, 10_000_000).otherwise(0)).alias("id"),
+        F.when(F.col("id") % 3 == 0, "active").otherwise(F.col("status")).alias("expected_status"),
+        F.lit("archived").alias("to_status"),
+    )
+    return lifecycle.transitions(kr, asked).select("id", "expected_status", "to_status", "applied", "conflict")
+
+
+@query(f"""WITH {_KR}, {_EV}, c AS (SELECT knowledge_id AS id, count(*) FILTER (outcome IN ('used', 'verified')) AS adopted,
+ count(*) FILTER (outcome = 'verified') AS verified, count(*) FILTER (outcome = 'rejected') AS rejected,
+ max(CASE WHEN evidence_kind <> 'observation' THEN CASE outcome WHEN 'verified' THEN 1 ELSE 2 END END) AS last_sound, max(evidence_kind) AS kind,
+ bool_or(outcome = 'verified') AS has_verified FROM ev GROUP BY 1)
+SELECT kr.id, CASE WHEN last_sound = 2 THEN 'quarantined'
+   WHEN last_sound = 1 AND (status IN ('candidate', 'active', 'stale') OR kind = 'user_approval') THEN 'active' ELSE status END AS status,
+ coalesce(adopted, 0) AS adopted_count, coalesce(verified, 0) + verified_count AS verified_count, coalesce(rejected, 0) + rejected_count AS rejected_count
+FROM kr LEFT JOIN c USING (id)""")
+def feedback_fold(spark, sf_dir):
+    feed = src.evidence(spark, sf_dir).select(
+        F.col("knowledge_id").alias("id"), F.unix_timestamp("created_at").alias("seq"), "outcome", "evidence_kind", (F.col("evidence_kind") != "observation").alias("has_ref")
+    )
+    return lifecycle.feedback(src.knowledge_records(spark, sf_dir), feed).select("id", "status", "adopted_count", "verified_count", "rejected_count")
+
+
+# ---------------------------------------------------------------- versions
+
+
+def _claims(spark, sf_dir):
+    p = src.catalogue_records(spark, sf_dir)
+    return p.select(F.col("knowledge_id").alias("id"), F.concat_ws("|", "slot", F.col("p_size").cast("string")).alias("slot"), "value")
+
+
+_CLAIMS = "claims AS (SELECT p_partkey AS id, p_brand || '|' || p_size AS slot, p_type AS value FROM part)"
+
+
+@query(f"WITH {_CLAIMS} SELECT a.id, b.id AS peer_id FROM claims a JOIN claims b USING (slot) WHERE a.id <> b.id AND a.value <> b.value")
+def slot_peers(spark, sf_dir):
+    return versions.peers(_claims(spark, sf_dir)).select("id", "peer_id")
+
+
+@query(f"WITH {_CLAIMS} SELECT slot, count(DISTINCT value) AS n_values, count(*) AS n_records, count(DISTINCT value) > 1 AS conflicted FROM claims GROUP BY 1")
+def slot_conflicts(spark, sf_dir):
+    return versions.conflicts(_claims(spark, sf_dir))
+
+
+_HISTORY = """h AS (SELECT o_custkey AS slot, o_orderkey AS id, o_orderdate AS valid_from, lead(o_orderdate) OVER w AS valid_to,
+ lead(o_orderkey) OVER w AS superseded_by, o_orderstatus AS title FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
+
+
+def _history(spark, sf_dir):
+    o = src.read(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return o.select(
+        F.col("o_custkey").alias("slot"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("valid_from"),
+        F.lead("o_orderdate").over(w).alias("valid_to"), F.lead("o_orderkey").over(w).alias("superseded_by"), F.col("o_orderstatus").alias("title"),
+    )
+
+
+@query(f"WITH {_HISTORY} SELECT slot, id FROM h WHERE valid_from <= TIMESTAMP '1997-06-01' AND (valid_to IS NULL OR TIMESTAMP '1997-06-01' < valid_to)")
+def asof_version(spark, sf_dir):
+    moments = src.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("slot"), F.lit("1997-06-01").cast("timestamp_ntz").alias("as_of"))
+    return versions.valid_at(_history(spark, sf_dir), moments).select("slot", "id")
+
+
+@query(f"""WITH {_HISTORY}, p AS (SELECT superseded_by AS id, max(id) AS predecessor_id FROM h WHERE superseded_by IS NOT NULL GROUP BY 1)
+SELECT h.id, h.superseded_by, s.title AS successor_title, predecessor_id FROM h LEFT JOIN h s ON s.id = h.superseded_by LEFT JOIN p ON p.id = h.id""")
+def supersession_links(spark, sf_dir):
+    return versions.chain(_history(spark, sf_dir)).select("id", "superseded_by", "successor_title", "predecessor_id")
+
+
+# ---------------------------------------------------------------- runs, recalls, latency
+
+
+@query(f"""WITH {_RUNS}, {_LINKS} SELECT l.knowledge_id, r.run_id, r.status, a.s_name AS agent_name, l.relation
+FROM links l JOIN runs r USING (run_id) JOIN supplier a ON a.s_suppkey = l.agent_key WHERE r.status = 'completed'""")
+def run_provenance(spark, sf_dir):
+    links = src.compilation_links(spark, sf_dir)
+    runs = src.learning_runs(spark, sf_dir).where("status = 'completed'").select("run_id", "status")
+    return links.join(runs, "run_id").join(src.agents(spark, sf_dir).select("agent_key", "agent_name"), "agent_key").select("knowledge_id", "run_id", "status", "agent_name", "relation")
+
+
+@query(f"""WITH {_RUNS}, {_LINKS} SELECT r.status, count(*) AS members FROM runs r WHERE EXISTS (SELECT 1 FROM links l WHERE l.run_id = r.run_id AND relation = 'produced') GROUP BY 1""")
+def run_members_semi(spark, sf_dir):
+    produced = src.compilation_links(spark, sf_dir).where("relation = 'produced'").select("run_id")
+    return src.learning_runs(spark, sf_dir).join(produced, "run_id", "left_semi").groupBy("status").agg(F.count("*").alias("members"))
+
+
+@query(f"""WITH {_RUNS} SELECT agent_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, sum(proposal_count)::BIGINT AS proposals,
+sum(promoted_count)::BIGINT AS promoted, round(avg(latency_ms) FILTER (status = 'completed'), 3) AS avg_latency_ms FROM runs GROUP BY 1""")
+def run_metrics(spark, sf_dir):
+    return metrics.run_metrics(src.learning_runs(spark, sf_dir), "agent_id")
+
+
+@query(f"""WITH {_RE} SELECT agent_id, count(*) AS attempts, count(*) FILTER (hit) AS hits, round(coalesce(count(*) FILTER (hit) / count(*)::DOUBLE, 0), 6) AS hit_rate,
+count(successful_validation) AS evaluated, count(*) FILTER (successful_validation) AS successes, round(avg(latency_ms), 3) AS avg_latency_ms FROM re GROUP BY 1""")
+def recall_metrics(spark, sf_dir):
+    return metrics.recall_metrics(src.recall_events(spark, sf_dir), "agent_id")
+
+
+@query(f"WITH {_RUNS} SELECT agent_id, run_id, status FROM runs QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY created_at DESC, run_id DESC) = 1")
+def latest_run_per_agent(spark, sf_dir):
+    runs = src.learning_runs(spark, sf_dir).select("agent_id", "run_id", "status", "created_at")
+    return metrics.latest(runs, ["agent_id"], F.struct("created_at", "run_id")).select("agent_id", "run_id", "status")
+
+
+@query(f"WITH {_RE} SELECT agent_id, count(latency_ms) AS samples, round(quantile_disc(latency_ms, 0.5), 3) AS p50, round(quantile_disc(latency_ms, 0.95), 3) AS p95 FROM re GROUP BY 1")
+def latency_percentiles(spark, sf_dir):
+    return metrics.timing_metrics(src.recall_events(spark, sf_dir), "agent_id")
+
+
+_PAIRS = """s AS (SELECT l_orderkey AS experiment, l_linenumber % 2 AS pair, CASE l_linestatus WHEN 'O' THEN 'on' ELSE 'off' END AS mode, min(l_extendedprice) AS ttft FROM lineitem GROUP BY ALL),
+pairs AS (SELECT a.experiment, a.pair, a.ttft - b.ttft AS delta FROM s a JOIN s b USING (experiment, pair) WHERE a.mode = 'on' AND b.mode = 'off')"""
+
+
+@query(f"""WITH {_PAIRS} SELECT (experiment % 5)::BIGINT AS bucket, count(*) AS pairs, round(quantile_disc(delta, 0.5), 3) AS p50_delta,
+round(quantile_disc(delta, 0.95), 3) AS p95_delta, count(*) < 20 AS limited_sample FROM pairs GROUP BY 1""")
+def latency_pair_delta(spark, sf_dir):
+    pairs = metrics.latency_pairs(src.latency_samples(spark, sf_dir))
+    return metrics.latency_deltas(pairs.withColumn("bucket", F.col("experiment") % 5), "bucket")
+
+
+@query(f"WITH {_AE} SELECT DISTINCT agent_id, session_id, event_type, sha256(payload) AS payload_hash FROM ae")
+def event_dedup(spark, sf_dir):
+    e = src.agent_events(spark, sf_dir).select("agent_id", "session_id", "event_type", F.sha2("payload", 256).alias("payload_hash"))
+    return e.dropDuplicates()
+
+
+@query(f"""WITH {_AE}, known AS (SELECT session_id, agent_id AS command, success, created_at, id FROM ae WHERE success IS NOT NULL)
+SELECT session_id, command, arg_max(success, (created_at, id)) AS passed, count(*) FILTER (NOT success) AS failures,
+arg_max(success, (created_at, id)) AND count(*) FILTER (NOT success) > 0 AS recovered FROM known GROUP BY ALL""")
+def failure_then_pass(spark, sf_dir):
+    return metrics.failure_then_pass(src.agent_events(spark, sf_dir).withColumnRenamed("agent_id", "command"))
+
+
+_OUT = f"""{_AE}, outc AS (SELECT session_id % 500 AS knowledge_id, count(*) FILTER (success) AS passed, count(*) FILTER (NOT success) AS failed FROM ae WHERE success IS NOT NULL GROUP BY 1)"""
+
+
+def _outcomes(spark, sf_dir):
+    e = src.agent_events(spark, sf_dir).where("success is not null")
+    return e.groupBy((F.col("session_id") % 500).alias("knowledge_id")).agg(F.count_if("success").alias("passed"), F.count_if(~F.col("success")).alias("failed"))
+
+
+@query(f"""WITH {_OUT} SELECT count(DISTINCT p_partkey) AS experiences, coalesce(sum(passed), 0)::BIGINT AS passed, coalesce(sum(failed), 0)::BIGINT AS failed,
+count(*) FILTER (failed > 0) AS with_failures FROM part JOIN outc ON knowledge_id = p_partkey""")
+def experience_metrics(spark, sf_dir):
+    return metrics.experience_metrics(_outcomes(spark, sf_dir), src.catalogue_records(spark, sf_dir))
+
+
+@query(f"""WITH {_OUT}, rows AS (SELECT knowledge_id % 25 AS query_id, knowledge_id AS id, knowledge_id // 25 + 1 AS position, knowledge_id % 3 AS group_id, passed, failed FROM outc),
+r AS (SELECT *, round((passed + 1) / (passed + failed + 2)::DOUBLE, 6) AS laplace FROM rows),
+s AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY position) AS slot, row_number() OVER (PARTITION BY query_id, group_id ORDER BY laplace DESC, position) AS place FROM r)
+SELECT a.query_id, a.id, a.laplace, b.position AS new_position FROM s a JOIN s b ON a.query_id = b.query_id AND a.group_id = b.group_id AND a.place = b.slot""")
+def equivalent_rerank(spark, sf_dir):
+    o = _outcomes(spark, sf_dir)
+    k = F.col("knowledge_id")
+    rows = o.select((k % 25).alias("query_id"), k.alias("id"), (F.floor(k / 25) + 1).alias("position"), (k % 3).alias("group_id"), "passed", "failed")
+    return metrics.reranked(rows).select("query_id", "id", "laplace", "new_position")
+
+
+# ---------------------------------------------------------------- turns, corpora, text
+
+
+@query("""WITH t AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations)
+SELECT conv_id, g::BIGINT AS turn_group, max(CASE WHEN role = 'user' THEN length(text) END)::BIGINT AS user_chars,
+count(*) FILTER (role = 'assistant') AS replies, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS reply_chars FROM t WHERE g > 0 GROUP BY ALL""")
+def turn_pairs(spark, sf_dir):
+    c = src.conversations(spark, sf_dir)
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    g = F.sum(user.cast("long")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    own = c.withColumn("turn_group", g).where("turn_group > 0").groupBy("conv_id", "turn_group")
+    return own.agg(
+        F.max(F.when(user, F.char_length("text"))).cast("long").alias("user_chars"),
+        F.count_if(reply).alias("replies"),
+        F.coalesce(F.sum(F.when(reply, F.char_length("text"))), F.lit(0)).cast("long").alias("reply_chars"),
+    )
+
+
+@query(f"WITH {_KR}, n AS (SELECT id, project_key, row_number() OVER (PARTITION BY project_key ORDER BY created_at, id) AS n, count(*) OVER (PARTITION BY project_key) AS total FROM kr) SELECT id, project_key FROM n WHERE n <= total // 2")
+def oldest_half_archive(spark, sf_dir):
+    kr = src.knowledge_records(spark, sf_dir)
+    sizes = kr.groupBy("project_key").agg(F.count("*").alias("total"))
+    own = lifecycle.numbered(kr, ["project_key"], ["created_at", "id"]).join(sizes, "project_key")
+    return own.where(F.col("n") <= F.floor(F.col("total") / 2)).select("id", "project_key")
+
+
+@query("""SELECT doc_id AS id, n AS chunk, length(substr(text, n * 8000 + 1, 8000))::BIGINT AS chars, sha256(substr(text, n * 8000 + 1, 8000)) AS digest
+FROM (SELECT doc_id, text, unnest(range(greatest(1, (length(text) + 7999) // 8000))) AS n FROM documents)""")
+def chunk_8000(spark, sf_dir):
+    d = src.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return chunks(d, 8000).select("id", "chunk", F.char_length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("digest"))
+
+
+@query(r"""WITH r AS (SELECT doc_id AS id, text, regexp_replace(regexp_replace(regexp_replace(text, '\bsk-[A-Za-z0-9_-]{12,}\b', '[REDACTED]', 'g'),
+ '(?i)\b(bearer\s+)[A-Za-z0-9._~-]{12,}', '\1[REDACTED]', 'g'),
+ '(?i)(["'']?(?:api[_-]?key|access[_-]?token|authorization|password|secret)["'']?)(\s*[:=]\s*)(?:"[^"\n]*"|''[^''\n]*''|[^\s,;}]+)', '\1\2[REDACTED]', 'g') AS out FROM documents)
+SELECT id, text <> out AS changed, length(out)::BIGINT AS chars, sha256(out) AS digest FROM r""")
+def redact_scan(spark, sf_dir):
+    d = src.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", tx.redact(F.col("text")).alias("out"))
+    return d.select("id", (F.col("text") != F.col("out")).alias("changed"), F.char_length("out").cast("long").alias("chars"), F.sha2("out", 256).alias("digest"))
+
+
+@query(r"""SELECT conv_id, turn, regexp_matches(lower(text), '\b(before|previous|earlier|formerly)\b') AS historical,
+ regexp_matches(lower(text), '\b(do not|don''t|without) (use|using|include|including|mention)\b') AS excludes, regexp_matches(lower(text), '\b(what is|explain|define)\b') AS general
+FROM conversations WHERE role = 'user'""")
+def query_intent_flags(spark, sf_dir):
+    c = src.conversations(spark, sf_dir).where("role = 'user'")
+    has = lambda p: F.lower("text").rlike(p)
+    return c.select(
+        "conv_id", "turn",
+        has(r"\b(before|previous|earlier|formerly)\b").alias("historical"),
+        has(r"\b(do not|don't|without) (use|using|include|including|mention)\b").alias("excludes"),
+        has(r"\b(what is|explain|define)\b").alias("general"),
+    )
+
+
+@query(f"WITH t AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS t FROM documents) SELECT id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms FROM t")
+def token_terms(spark, sf_dir):
+    d = src.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tx.tokens(F.col("text")).alias("t"))
+    return d.select("id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
+
+
+@query("""WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*(?:[-._:][A-Za-z0-9]+)+')) AS term FROM documents)
+SELECT lower(term) AS term, count(DISTINCT id) AS df FROM t GROUP BY 1""")
+def identifier_terms(spark, sf_dir):
+    d = src.read(spark, sf_dir, "documents").select("doc_id", F.explode(tx.composite_identifiers(F.col("text"))).alias("term"))
+    return d.groupBy("term").agg(F.count("*").alias("df"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+_RESULTS = f"""{_BM25}, {_GOLD}, top3 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 3),
+res AS (SELECT q.query_id, (SELECT count(*) FROM gold g WHERE g.query_id = q.query_id) AS n_gold,
+  (SELECT count(*) FROM top3 t JOIN gold g ON g.query_id = t.query_id AND g.id = t.id WHERE t.query_id = q.query_id) AS hits,
+  (SELECT min(t.rank) FROM top3 t JOIN gold g ON g.query_id = t.query_id AND g.id = t.id WHERE t.query_id = q.query_id) AS first_hit,
+  (SELECT count(*) FROM top3 t WHERE t.query_id = q.query_id) AS n_got FROM q)"""
+
+
+def _results(spark, sf_dir):
+    scored, q, _ = _scores(spark, sf_dir)
+    return evaluate.case_results(q.select("query_id"), index.top(scored, 3, "query_id"), src.gold(spark, sf_dir))
+
+
+@query(f"""WITH {_RESULTS} SELECT count(*) FILTER (n_gold > 0) AS positives, count(*) FILTER (n_gold = 0) AS negatives,
+round(avg(hits / 3.0::DOUBLE) FILTER (n_gold > 0), 6) AS precision_at_k, round(avg(hits / n_gold::DOUBLE) FILTER (n_gold > 0), 6) AS recall_at_k,
+round(avg(coalesce(1 / first_hit::DOUBLE, 0)) FILTER (n_gold > 0), 6) AS mrr,
+round(count(*) FILTER (n_gold = 0 AND n_got > 0) / nullif(count(*) FILTER (n_gold = 0), 0)::DOUBLE, 6) AS negative_injection FROM res""")
+def retrieval_quality(spark, sf_dir):
+    return evaluate.retrieval_metrics(_results(spark, sf_dir), 3)
+
+
+@query(f"""WITH {_RESULTS}, c AS (SELECT *, 'c' || (query_id % 4) AS category FROM res WHERE n_gold > 0)
+SELECT coalesce(category, 'all') AS category, count(*) AS cases, round(count(*) FILTER (first_hit = 1) / count(*)::DOUBLE, 6) AS hit_1,
+round(count(*) FILTER (hits > 0) / count(*)::DOUBLE, 6) AS hit_k, round(avg(hits / n_gold::DOUBLE), 6) AS mean_recall, round(avg(coalesce(1 / first_hit::DOUBLE, 0)), 6) AS mrr
+FROM c GROUP BY GROUPING SETS ((), (category))""")
+def locomo_block(spark, sf_dir):
+    r = _results(spark, sf_dir).withColumn("category", F.concat(F.lit("c"), (F.col("query_id") % 4).cast("string")))
+    return evaluate.quality_block(r, 3, "category")
+
+
+@query("""WITH r AS (SELECT o_custkey AS task_id, o_orderkey % 3 AS repeat, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'auto' ELSE 'baseline' END AS mode,
+ max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS success FROM orders GROUP BY ALL),
+w AS (SELECT a.success AS a, b.success AS b FROM r a JOIN r b USING (task_id, repeat) WHERE a.mode = 'baseline' AND b.mode = 'auto')
+SELECT count(*) AS pairs, round(avg(a), 6) AS baseline_rate, round(avg(b), 6) AS auto_rate, round(avg(b - a), 6) AS delta,
+count(*) FILTER (b = 1 AND a = 0) AS helped, count(*) FILTER (b = 0 AND a = 1) AS harmed FROM w""")
+def paired_modes(spark, sf_dir):
+    o = src.read(spark, sf_dir, "orders")
+    rows = o.select(
+        F.col("o_custkey").alias("task_id"), (F.col("o_orderkey") % 3).alias("repeat"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "auto").otherwise("baseline").alias("mode"),
+        (F.col("o_orderstatus") == "F").alias("success"),
+    )
+    return evaluate.paired_modes(rows)
+
+
+_ARMS = f"""{_BM25}, {_GOLD}, arms AS (
+ SELECT 'naive' AS arm, query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM scored) WHERE r <= 3
+ UNION ALL SELECT 'gated', query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM scoped) WHERE r <= 3),
+j AS (SELECT a.*, g.id IS NOT NULL AS relevant, strlen(content)::BIGINT AS bytes FROM arms a JOIN kr USING (id) LEFT JOIN gold g ON g.query_id = a.query_id AND g.id = a.id)"""
+
+
+def _arms(spark, sf_dir):
+    scored, q, kr = _scores(spark, sf_dir)
+    naive = index.top(scored, 3, "query_id").select(F.lit("naive").alias("arm"), "query_id", "id")
+    gated = index.top(index.scoped(scored, q, kr, ("active", "stale")), 3, "query_id").select(F.lit("gated").alias("arm"), "query_id", "id")
+    marked = src.gold(spark, sf_dir).withColumn("relevant", F.lit(True))
+    sized = kr.select("id", F.octet_length("content").cast("long").alias("bytes"))
+    return naive.unionByName(gated).join(sized, "id").join(marked, ["query_id", "id"], "left").fillna(False, ["relevant"])
+
+
+@query(f"WITH {_ARMS} SELECT arm, count(*) AS injected, count(*) FILTER (relevant) AS relevant, count(*) FILTER (NOT relevant) AS unnecessary, coalesce(sum(bytes) FILTER (NOT relevant), 0)::BIGINT AS unnecessary_bytes FROM j GROUP BY 1")
+def naive_vs_gated(spark, sf_dir):
+    return evaluate.naive_vs_gated(_arms(spark, sf_dir))
+
+
+@query(f"""WITH {_ARMS}, n AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
+c AS (SELECT arm, query_id, count(*) FILTER (relevant) > 0 AS hit, count(*) FILTER (relevant) = any_value(n_gold) AS complete FROM j JOIN n USING (query_id) GROUP BY ALL)
+SELECT a.query_id, CASE WHEN b.complete THEN 'helped' ELSE 'harmed' END AS change FROM c a JOIN c b USING (query_id) WHERE a.arm = 'naive' AND b.arm = 'gated' AND a.complete <> b.complete""")
+def ablation_arms(spark, sf_dir):
+    n = src.gold(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    by_case = _arms(spark, sf_dir).join(n, "query_id").groupBy("arm", "query_id", "n_gold").agg(F.count_if("relevant").alias("found"))
+    return evaluate.arm_changes(by_case.withColumn("complete", F.col("found") == F.col("n_gold")), "naive", "gated")
+
+
+@query(f"""WITH {_KR}, t AS (SELECT id, knowledge_type, scope, row_number() OVER (PARTITION BY knowledge_type, scope ORDER BY sha256('seed' || id), id) AS turn FROM kr)
+SELECT id, knowledge_type, scope, turn FROM t ORDER BY turn, knowledge_type, scope LIMIT 40""")
+def stratified_sample(spark, sf_dir):
+    kr = src.knowledge_records(spark, sf_dir).select("id", "knowledge_type", "scope")
+    return evaluate.stratified_sample(kr, ["knowledge_type", "scope"], "seed", 40).withColumn("turn", F.col("turn").cast("long"))
+
+
+@query(f"WITH {_RUNS} SELECT proposal_outcome, count(*) AS n, round(count(*) / (SELECT count(*) FROM runs)::DOUBLE, 6) AS share FROM runs GROUP BY 1")
+def admission_distribution(spark, sf_dir):
+    return evaluate.distribution(src.learning_runs(spark, sf_dir), "proposal_outcome")
+
+
+# ---------------------------------------------------------------- traces
+
+
+def _traces(spark, sf_dir):
+    """Traces made of orders: their lines are the items."""
+    i = src.read(spark, sf_dir, "lineitem")
+    item = F.struct(
+        F.col("l_partkey").alias("knowledge_id"), F.col("l_linenumber").alias("rank"), (F.col("l_returnflag") != "N").alias("emitted"),
+        (F.col("l_returnflag") == "A").alias("citation_observed"), (F.col("l_quantity") > 40).alias("source_attribution_observed"),
+    )
+    items = i.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(item).alias("items"))
+    o = src.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("task_success"))
+    return o.join(items, "id")
+
+
+@query("SELECT l_orderkey AS id, count(*) AS n_items FROM lineitem GROUP BY 1 HAVING bool_or(l_partkey = 7)")
+def trace_item_filter(spark, sf_dir):
+    return reuse.holding(_traces(spark, sf_dir), F.lit(7)).select("id", F.size("items").cast("long").alias("n_items"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS id, l_partkey AS k, l_returnflag <> 'N' AS emitted, l_returnflag = 'A' AS cited, l_quantity > 40 AS attributed,
+ CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'F' END AS ok FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT count(DISTINCT id) AS turns, count(*) FILTER (emitted) AS emitted, count(*) FILTER (cited) AS cited, count(DISTINCT id) FILTER (emitted) AS turns_emitted,
+count(DISTINCT id) FILTER (cited) AS turns_cited, count(DISTINCT id) FILTER (cited OR attributed) AS turns_shown,
+count(DISTINCT id) FILTER (emitted AND ok) AS turns_successful, count(DISTINCT k) FILTER (emitted) AS records_emitted FROM t""")
+def reuse_metrics(spark, sf_dir):
+    return metrics.reuse_metrics(_traces(spark, sf_dir))
+
+
+_PAGE = f"""{_BM25}, page AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM scored QUALIFY position <= 8),
+sized AS (SELECT query_id, id, position, length(content)::BIGINT AS chars FROM page JOIN kr USING (id))"""
+
+
+def _page(spark, sf_dir):
+    scored, _, kr = _scores(spark, sf_dir)
+    page = index.top(scored, 8, "query_id").select("query_id", "id", F.col("rank").alias("position"))
+    return page.join(kr.select("id", F.char_length("content").cast("long").alias("chars")), "id")
+
+
+@query(f"WITH {_PAGE}, s AS (SELECT *, sum(chars) OVER (PARTITION BY query_id ORDER BY position)::BIGINT AS used FROM sized) SELECT query_id, id, position, used FROM s WHERE used <= 4000")
+def context_pack_prefix(spark, sf_dir):
+    return reuse.pack_prefix(_page(spark, sf_dir), 4000).select("query_id", "id", "position", "used")
+
+
+@query(f"""WITH RECURSIVE {_PAGE}, fold AS (
+ SELECT query_id, 0::BIGINT AS position, 0::BIGINT AS used, '' AS ids FROM (SELECT DISTINCT query_id FROM sized)
+ UNION ALL SELECT f.query_id, s.position, CASE WHEN f.used + s.chars <= 4000 THEN f.used + s.chars ELSE f.used END,
+   CASE WHEN f.used + s.chars <= 4000 THEN CASE WHEN f.ids = '' THEN '' ELSE f.ids || ',' END || s.id ELSE f.ids END
+ FROM fold f JOIN sized s ON s.query_id = f.query_id AND s.position = f.position + 1)
+SELECT query_id, used, ids FROM fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position DESC) = 1""")
+def context_pack_greedy(spark, sf_dir):
+    packed = reuse.pack_greedy(_page(spark, sf_dir), 4000)
+    return packed.select("query_id", "used", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
