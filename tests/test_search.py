@@ -91,3 +91,18 @@ def test_bm25_prefers_rare_terms_and_short_records(spark, k):
     asked = spark.createDataFrame([(1, "ledger")], "query_id long, query string")
     got = [r.id for r in index.top(index.scores(asked, rows, "title", "content"), k, "query_id").orderBy("rank").collect()]
     assert got == [1, 3, 2][:k]
+
+
+def test_recall_packs_recovers_and_traces(spark):
+    from tidemark.operators.recall import cited, recall
+
+    rows = [dict(title="ledger retention rule", content="kept a week"), dict(title="ledger retention archive", content="kept a year", status="archived", verified_count=2)]
+    own = records(spark, rows).withColumn("source_agent", index.F.lit("codex"))
+    asked = spark.createDataFrame([(1, "ledger retention", "p", "a", "s", "prompt")], "query_id long, query string, project_key string, agent_id string, session_id string, prompt string")
+    traces, back = recall(asked, own)
+    trace = traces.head()
+    assert [(i.knowledge_id, i.origin) for i in trace["items"]] == [(1, "direct"), (2, "lfhv_recovered")]
+    assert trace.context_chars == sum(len(r["title"]) + len(r["content"]) for r in rows) and trace.trace_id.startswith("rt_")
+    assert [(r.id, r.to_status) for r in back.collect()] == [(2, "active")]
+    said = spark.createDataFrame([(trace.trace_id, "as kn_2 says")], "trace_id string, assistant_text string")
+    assert [i.citation_observed for i in cited(traces, said).head()["items"]] == [False, True]

@@ -122,4 +122,4 @@ def query_tokens(query: Column, limit: int = 64) -> Column:
 
 def sentence_units(text: Column) -> Column:
     """Sentences of a text: parted at Han stops, line ends, and Western stops that white space follows."""
-    return F.filter(F.transform(F.split(text, r"[。！？\n]|(?<=[.!?])\s+"), F.trim), lambda u: u != "")
+    return F.filter(F.transform(F.split(text, r"[。！？\n]|(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda u: u != "")
