@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import evaluate, expand, index, lifecycle, metrics, reuse, versions
+from .operators import evaluate, expand, experiences, gates, governance, index, lifecycle, metrics, reuse, search, versions
 from .sources import adapters as src
 from .sources.corpora import chunks
+from .streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -716,6 +717,116 @@ def context_pack_greedy(spark, sf_dir):
     return packed.select("query_id", "used", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
+# ---------------------------------------------------------------- search, probes and plans
+
+
+def _full(spark, sf_dir):
+    return search.search(src.search_requests(spark, sf_dir), src.knowledge_records(spark, sf_dir).withColumn("source_session", F.col("project_key")))
+
+
+@query()
+def search_full(spark, sf_dir):
+    return _full(spark, sf_dir)[0].select("query_id", "id", "origin", "tier", "position")
+
+
+@query()
+def search_omissions(spark, sf_dir):
+    return _full(spark, sf_dir)[1]
+
+
+@query()
+def evidence_ladder(spark, sf_dir):
+    scored, q, kr = _scores(spark, sf_dir)
+    page = index.top(scored, 3, "query_id").join(q.select("query_id", "query"), "query_id").join(kr, "id")
+    s = gates.evidence_support(F.col("query"), F.col("title"), F.lit(""), F.col("content"))
+    return page.select("query_id", "id", s.alias("s")).select("query_id", "id", "s.supported", "s.reason", F.round("s.score", 6).alias("score"))
+
+
+@query()
+def admission_user_turns(spark, sf_dir):
+    said = src.conversations(spark, sf_dir).where("role = 'user'")
+    made = said.select(
+        "conv_id", "turn", F.lit("durable").alias("declared"), F.lit("user").alias("role"), F.array("text").alias("quotes"),
+        F.col("text").alias("user_text"), F.lit("").alias("assistant_text"), F.lit(0).alias("n_tools"),
+    )
+    return gates.admission(made).select("conv_id", "turn", "category", "reason", "proposed_scope")
+
+
+_PROBES = f"""{_BM25}, retired AS (SELECT s.*, status FROM scored s JOIN kr USING (id) WHERE status IN ('active', 'stale', 'archived') AND (scope = 'user' OR project_key = 'src0')),
+probes AS (SELECT id, query_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM retired QUALIFY rank <= 8) WHERE status = 'archived')"""
+
+
+def _ledger(spark, sf_dir):
+    found = shadow_probe(spark, sf_dir)
+    rows = found.select(F.lit("src0").alias("project_key"), F.col("id").alias("knowledge_id"), F.col("query_id").cast("string").alias("query_hash"), F.col("query_id").alias("seq"))
+    kr = src.knowledge_records(spark, sf_dir).withColumn("digest", tx.record_digest(F.col("title"), F.col("content")))
+    digests = kr.where("status = 'archived'").select(F.col("id").alias("knowledge_id"), "digest")
+    return governance.probe_ledger(rows, digests), kr
+
+
+@query(f"""WITH {_PROBES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_id DESC) AS n FROM probes)
+SELECT id AS knowledge_id, count(*) AS hits, string_agg(query_id::VARCHAR, ',' ORDER BY query_id) FILTER (n <= 32) AS queries FROM r GROUP BY 1""")
+def probe_ledger(spark, sf_dir):
+    return _ledger(spark, sf_dir)[0].select("knowledge_id", "hits", F.array_join("query_hashes", ",").alias("queries"))
+
+
+@query(f"WITH {_PROBES} SELECT DISTINCT id, 'archived' AS expected_status, 'active' AS to_status FROM probes")
+def resurrect_plan(spark, sf_dir):
+    ledger, kr = _ledger(spark, sf_dir)
+    return governance.resurrect_plan(ledger, kr.withColumn("superseded_by", F.lit(None).cast("long")))
+
+
+@query("""WITH g AS (SELECT user_id AS session_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT session_id, floor(epoch(min(ts)))::BIGINT AS started_at, count(*) AS events FROM s GROUP BY session_id, n""")
+def activity_sessions(spark, sf_dir):
+    e = src.agent_events(spark, sf_dir)
+    return streams.activity_sessions(e, "1 day").select("session_id", epoch("started_at"), "events")
+
+
+@query(f"WITH {_OUT} SELECT k.p_partkey AS id, 'active' AS expected_status, 'quarantined' AS to_status FROM part k JOIN outc ON knowledge_id = p_partkey WHERE failed > 0")
+def experience_quarantine(spark, sf_dir):
+    e = src.agent_events(spark, sf_dir).select((F.col("session_id") % 500).alias("knowledge_id"), F.col("id").alias("run_id"), "success")
+    own = src.catalogue_records(spark, sf_dir).select(F.col("knowledge_id").alias("id"), F.lit("active").alias("status"))
+    return experiences.quarantine_plan(own, experiences.outcomes(e))
+
+
+@query("""SELECT agent_id, enabled, updated_at FROM (SELECT s_suppkey AS agent_id, s_acctbal >= 0 AS enabled, 0::BIGINT AS updated_at FROM supplier
+UNION ALL SELECT l_suppkey, bool_and(l_returnflag <> 'R'), max(l_orderkey) FROM lineitem GROUP BY 1) QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY updated_at DESC) = 1""")
+def agent_registry(spark, sf_dir):
+    known = src.agents(spark, sf_dir).select(F.col("agent_key").alias("agent_id"), "enabled", F.lit(0).cast("long").alias("updated_at"))
+    new = src.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("agent_id")).agg(F.bool_and(F.col("l_returnflag") != "R").alias("enabled"), F.max("l_orderkey").alias("updated_at"))
+    return lifecycle.register_agents(known, new)
+
+
+@query("""SELECT p_partkey AS id, count(l_partkey) AS hit_count, epoch(max(l_shipdate))::BIGINT AS last_hit_at FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag <> 'N' GROUP BY 1""")
+def emission_hits(spark, sf_dir):
+    emitted = src.read(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_partkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("emitted_at"))
+    own = src.catalogue_records(spark, sf_dir).select(F.col("knowledge_id").alias("id"))
+    return lifecycle.apply_hits(own, emitted).select("id", "hit_count", epoch("last_hit_at"))
+
+
+@query(f"WITH {_CLAIMS} SELECT a.id, a.slot, count(b.id) AS n_peers FROM claims a LEFT JOIN claims b ON a.slot = b.slot AND a.value <> b.value GROUP BY ALL")
+def slot_peer_counts(spark, sf_dir):
+    return versions.peer_counts(_claims(spark, sf_dir))
+
+
+@query("""WITH gone AS (SELECT p_partkey FROM part WHERE p_size = 1 ORDER BY p_partkey LIMIT 100)
+SELECT l_orderkey AS id, count(*) FILTER (l_partkey NOT IN (SELECT p_partkey FROM gone)) AS n_items FROM lineitem GROUP BY 1""")
+def trace_scrub(spark, sf_dir):
+    # a removal takes at most 100 records
+    gone = src.catalogue_records(spark, sf_dir).where("p_size = 1").orderBy("knowledge_id").limit(100).select(F.col("knowledge_id").alias("id"))
+    return reuse.scrubbed(_traces(spark, sf_dir), gone).select("id", F.size("items").cast("long").alias("n_items"))
+
+
+@query(f"""WITH {_KR} SELECT knowledge_type, scope, grouping(knowledge_type)::BIGINT + grouping(scope)::BIGINT AS level, count(*) AS n, count(*) FILTER (status = 'active') AS active FROM kr
+GROUP BY GROUPING SETS ((), (knowledge_type), (knowledge_type, scope))""")
+def holdout_levels(spark, sf_dir):
+    kr = src.knowledge_records(spark, sf_dir)
+    level = F.grouping("knowledge_type").cast("long") + F.grouping("scope").cast("long")
+    return kr.rollup("knowledge_type", "scope").agg(level.alias("level"), F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -21,7 +21,9 @@ def tokenized(records: DataFrame, *text_cols: str) -> DataFrame:
 
 def postings(records: DataFrame, *text_cols: str) -> DataFrame:
     """(id, term, tf, doc_len): one row for each record and distinct term."""
-    own = tokenized(records, *text_cols).select("id", F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("term"))
+    # the length is taken before the tokens are multiplied, so that no row carries its record's whole token list
+    sized = tokenized(records, *text_cols).withColumn("doc_len", F.size("tokens").cast("long"))
+    own = sized.select("id", "doc_len", F.explode("tokens").alias("term"))
     return own.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
