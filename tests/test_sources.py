@@ -49,12 +49,14 @@ def test_codex_turn(spark, tmp_path):
             {"payload": {"type": "user_message", "message": "run it"}},
             {"payload": {"type": "function_call", "call_id": "1", "name": "shell_command", "arguments": '{"command": "make test"}'}},
             {"payload": {"type": "function_call_output", "call_id": "1", "output": "Process exited with code 0"}},
+            {"payload": {"type": "custom_tool_call", "call_id": "2", "name": "exec", "input": 'text(await tools.exec_command({cmd: "pytest -q"}));'}},
+            {"payload": {"type": "custom_tool_call_output", "call_id": "2", "output": 'Script completed\nWall: 1\nOutput:\n{"output": "x", "exit_code": 2}'}},
             {"payload": {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "passed"}]}},
         ],
     )
     r = transcripts.read_turns(spark, p, "codex").head()
     assert (r.user_text, r.assistant_text) == ("run it", "passed")
-    assert [(t.name, t.success, t.objective_kind) for t in r.tools] == [("shell_command", True, "test")]
+    assert [(t.name, t.success, t.objective_kind) for t in r.tools] == [("shell_command", True, "test"), ("exec_command", False, "test")]
 
 
 def test_gemini_log_is_folded(spark, tmp_path):

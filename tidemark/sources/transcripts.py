@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.parsers import scripted_command
 from ..functions.tables import EXIT_CODE, OBJECTIVE_COMMAND, OBJECTIVE_TOOLS
 from ..functions.text import redact
 
@@ -97,10 +98,17 @@ def codex(lines: DataFrame) -> DataFrame:
         .when((kind == "agent_message") | ((kind == "message") & (p("role") == "assistant")), "assistant")
         .when(call, "call").when(result, "result").otherwise("other")
     )
+    # a call of the scripting tool whose script is one literal command counts as that command; its output wraps the result
+    name, given = F.coalesce(p("name"), p("tool_name")), F.coalesce(p("arguments"), p("input"))
+    script = F.coalesce(F.get_json_object(given, "$.input"), given)
+    lines = lines.withColumn("__command", scripted_command(F.when(call & name.isin("exec", "functions.exec"), script)))
+    known = F.col("__command").isNotNull()
+    name, given = F.when(known, "exec_command").otherwise(name), F.when(known, F.to_json(F.struct(F.col("__command").alias("cmd")))).otherwise(given)
+    wrapped = F.regexp_extract(output, r"(?s)^Script completed\n.*?\nOutput:\n(\{.*\})\s*$", 1)
     event = _event(
-        what, text=text, call_id=F.coalesce(p("call_id"), p("id")), name=F.coalesce(p("name"), p("tool_name")), input=F.coalesce(p("arguments"), p("input")),
+        what, text=text, call_id=F.coalesce(p("call_id"), p("id")), name=name, input=given,
         output=output, failed=p("status").isin("failed", "error"), running=p("status").isin("running", "pending") | output.contains("Script running with cell ID"),
-        exit_code=F.coalesce(p("exit_code"), F.get_json_object(output, "$.exit_code"), F.get_json_object(output, "$.metadata.exit_code")),
+        exit_code=F.coalesce(p("exit_code"), F.get_json_object(output, "$.exit_code"), F.get_json_object(output, "$.metadata.exit_code"), F.get_json_object(wrapped, "$.exit_code")),
     )
     return _flat(lines, F.array(event))
 
