@@ -202,3 +202,19 @@ def test_stream_learning_sends_bad_turns_aside(spark, tmp_path):
     q = streams.learn(stream, lambda rows, n: seen.extend(r.turn_key for r in rows.collect()), str(tmp_path / "dead"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert seen == ["k1"] and spark.read.json(str(tmp_path / "dead")).count() == 2
+
+
+def test_query_sets_are_broadcast_in_blocks(spark):
+    from tidemark.plans.staging import broadcast_blocks, union_all
+
+    parts = broadcast_blocks(spark.range(25), "id", 10)
+    assert len(parts) == 3 and union_all(parts).count() == union_all(parts).distinct().count() == 25
+    assert len(broadcast_blocks(spark.range(5), "id", 10)) == 1
+
+
+def test_visible_records(spark):
+    from tidemark.operators.index import visible
+
+    own = spark.createDataFrame([(1, "user", "q"), (2, "project", "p"), (3, "project", "q")], "id long, scope string, project_key string")
+    asked = spark.createDataFrame([(1, "p"), (2, "z")], "query_id long, project_key string")
+    assert {(r.query_id, r.id) for r in visible(asked, own).collect()} == {(1, 1), (2, 1), (1, 2)}

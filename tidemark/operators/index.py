@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..plans.staging import broadcast_blocks, union_all
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -78,7 +79,8 @@ def visible(requests: DataFrame, records: DataFrame) -> DataFrame:
     Two equi joins in place of one join on ``scope = 'user' or project``, which would be a nested loop.
     """
     own = requests.select("query_id", F.col("project_key").alias("for_project"))
-    everyones = records.where("scope = 'user'").crossJoin(F.broadcast(own.select("query_id")))
+    shared = records.where("scope = 'user'")
+    everyones = union_all([shared.crossJoin(b) for b in broadcast_blocks(own.select("query_id"), "query_id")])
     projects = records.where("scope <> 'user'").join(own, F.col("project_key") == F.col("for_project")).drop("for_project")
     return everyones.unionByName(projects)
 
@@ -101,10 +103,11 @@ def status_pools(scored: DataFrame, limit: int) -> DataFrame:
 def like_fallback(requests: DataFrame, records: DataFrame, direct: DataFrame, limit: int) -> DataFrame:
     """For requests without any direct hit: records that contain the whole query, without wildcards."""
     waiting = requests.join(direct.select("query_id").distinct(), "query_id", "left_anti")
-    # the waiting queries are a stated set against all rows
-    met = records.join(F.broadcast(waiting.select("query_id", "query", F.col("project_key").alias("for_project"))),
-        ((F.col("scope") == "user") | (F.col("project_key") == F.col("for_project")))
-        & (F.contains(F.lower("title"), F.lower("query")) | F.contains(F.lower("content"), F.lower("query"))))
+    # the waiting queries are a stated set against all rows, in blocks of bounded size
+    asked = waiting.select("query_id", "query", F.col("project_key").alias("for_project"))
+    seen = (F.col("scope") == "user") | (F.col("project_key") == F.col("for_project"))
+    holds = F.contains(F.lower("title"), F.lower("query")) | F.contains(F.lower("content"), F.lower("query"))
+    met = union_all([records.join(b, seen & holds) for b in broadcast_blocks(asked, "query_id")])
     by = Window.partitionBy("query_id").orderBy(F.when(F.col("status") == "stale", 1).otherwise(0), F.desc("verified_count"), "id")
     return met.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= limit).select("query_id", "id", "rank")
 

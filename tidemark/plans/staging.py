@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +25,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_blocks(rows: DataFrame, key: str, limit: int = 10_000) -> list[DataFrame]:
+    """A query set as parts that are safe to broadcast: about ``limit`` rows each, by the hash of a key; usually one.
+
+    Joins that only a nested loop can do (a text contains another) take the parts one after the other.
+    """
+    n = -(-rows.count() // limit)
+    if n <= 1:
+        return [F.broadcast(rows)]
+    return [F.broadcast(rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
