@@ -42,7 +42,7 @@ def test_redaction(spark):
 def test_concepts_markers_and_aliases(spark):
     query = "Why is the database locked during concurrent writes?"
     assert set(one(spark, query, concepts.concepts)) == {"database", "concurrency", "write", "lock"}
-    assert one(spark, query, concepts.markers)[0] == "mwconcept_concurrency"
+    assert one(spark, query, concepts.markers)[0] == "concept_concurrency"
     assert one(spark, query, concepts.aliases)[:4] == ["database", "concurrent", "write", "locked"]
 
 
