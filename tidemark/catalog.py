@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import evaluate, expand, experiences, gates, governance, index, lifecycle, metrics, reuse, search, versions
+from .operators import evaluate, expand, experiences, gates, governance, index, lifecycle, metrics, projections, reuse, search, versions
 from .sources import adapters as src
 from .sources.corpora import chunks
 from .streaming import streams
@@ -827,6 +827,37 @@ def holdout_levels(spark, sf_dir):
     return kr.rollup("knowledge_type", "scope").agg(level.alias("level"), F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"))
 
 
+@query(f"""WITH {_KR} SELECT id, title, knowledge_type, scope, status, source_agent, round(coalesce(verified_count::DOUBLE / nullif(verified_count + rejected_count, 0), 0), 3) AS confidence,
+source_agent <> 'en' AS cross_agent FROM kr""")
+def public_records(spark, sf_dir):
+    return projections.public(src.knowledge_records(spark, sf_dir), F.lit("en"))
+
+
+@query(f"""WITH {_KR}, {_EV}, o AS (SELECT knowledge_id AS id, string_agg(DISTINCT agent_id, ',' ORDER BY agent_id) AS agents, bool_or(outcome = 'verified') AS ok FROM ev GROUP BY 1)
+SELECT id, coalesce(agents, '') AS agents, CASE WHEN ok THEN 'confirmed' WHEN status IN ('active', 'stale') THEN 'available' ELSE 'private' END AS sharing_state FROM kr LEFT JOIN o USING (id)""")
+def sharing_rows(spark, sf_dir):
+    rows = projections.sharing(src.knowledge_records(spark, sf_dir), src.evidence(spark, sf_dir))
+    return rows.withColumn("agents", F.array_join("agents", ","))
+
+
+@query(f"""WITH {_TT} SELECT DISTINCT c.id FROM tt c WHERE c.status = 'candidate'
+AND EXISTS (SELECT 1 FROM tt s WHERE s.status IN ('active', 'stale') AND s.project_key = c.project_key AND s.term = c.term AND s.id <> c.id)""")
+def related_accepted(spark, sf_dir):
+    terms = _title_terms(spark, sf_dir)
+    return projections.related_accepted(terms.where("status = 'candidate'"), terms.where("status in ('active', 'stale')"))
+
+
+@query(f"""WITH {_BM25}, {_GOLD}, h AS (SELECT query_id, id FROM gold), k AS (SELECT id FROM kr WHERE status IN ('active', 'stale', 'candidate')),
+c AS (SELECT q.query_id, count(k.id) AS n FROM q LEFT JOIN h USING (query_id) LEFT JOIN k USING (id) GROUP BY 1)
+SELECT CASE WHEN n > 0 THEN 'answer_kept' ELSE 'lost' END AS outcome, count(*) AS cases FROM c GROUP BY 1""")
+def retention_audit(spark, sf_dir):
+    kr = src.knowledge_records(spark, sf_dir).where("status in ('active', 'stale', 'candidate')")
+    texts = src.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(kr.select("id"), "id", "left_semi")
+    heads = src.search_requests(spark, sf_dir).select("query_id", F.regexp_replace(F.substring("query", 1, 60), r"\w*$", "").alias("answer"))
+    answers = heads.join(src.gold(spark, sf_dir), "query_id", "left")
+    return projections.retention_audit(answers, texts)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
