@@ -853,7 +853,7 @@ SELECT CASE WHEN n > 0 THEN 'answer_kept' ELSE 'lost' END AS outcome, count(*) A
 def retention_audit(spark, sf_dir):
     kr = src.knowledge_records(spark, sf_dir).where("status in ('active', 'stale', 'candidate')")
     texts = src.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(kr.select("id"), "id", "left_semi")
-    heads = src.search_requests(spark, sf_dir).select("query_id", F.regexp_replace(F.substring("query", 1, 60), r"\w*$", "").alias("answer"))
+    heads = src.search_requests(spark, sf_dir).select("query_id", F.regexp_replace(F.substring("query", 1, 60), r"(?U)\w*$", "").alias("answer"))
     answers = heads.join(src.gold(spark, sf_dir), "query_id", "left")
     return projections.retention_audit(answers, texts)
 
