@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 CHUNK = 1 << 18
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
