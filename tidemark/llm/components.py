@@ -9,8 +9,8 @@ from .common import staged
 
 
 def _least(sides: DataFrame) -> DataFrame:
-    """For each node u: the least of itself and its neighbours v."""
-    return sides.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    """For each node u: the least of itself and its neighbours v. Written, so that a join with it exchanges both sides."""
+    return staged(sides.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
