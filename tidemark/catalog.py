@@ -87,8 +87,9 @@ def epoch(column: str, name: str | None = None):
 # ---------------------------------------------------------------- retrieval
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     kr, q = src.knowledge_records(spark, sf_dir), src.search_requests(spark, sf_dir)
+    kr = kr if whole else src.stated(kr)
     return index.scores(q, kr, "title", "content"), q, kr
 
 
@@ -125,12 +126,12 @@ FROM w, kr WHERE (scope = 'user' OR project_key = 'src0') AND (contains(lower(ti
 QUALIFY rank <= 5""")
 def search_like_fallback(spark, sf_dir):
     q = src.search_requests(spark, sf_dir).withColumn("query", F.substring("query", 1, 6))
-    return index.like_fallback(q, src.knowledge_records(spark, sf_dir), src.gold(spark, sf_dir), 5)
+    return index.like_fallback(q, src.stated(src.knowledge_records(spark, sf_dir)), src.gold(spark, sf_dir), 5)
 
 
 @query(f"WITH {_BM25} SELECT DISTINCT term, least(coalesce(df, 0), 7)::BIGINT AS df FROM qt LEFT JOIN dfs USING (term)")
 def df_bounded(spark, sf_dir):
-    kr, q = src.knowledge_records(spark, sf_dir), src.search_requests(spark, sf_dir)
+    kr, q = src.stated(src.knowledge_records(spark, sf_dir)), src.search_requests(spark, sf_dir)
     return index.bounded_frequencies(index.postings(kr, "title", "content"), index.query_terms(q), 6)
 
 
@@ -140,7 +141,7 @@ FROM qt JOIN dfs USING (term) WHERE df BETWEEN 1 AND 6 AND length(term) >= 2 QUA
 
 @query(f"WITH {_BM25}, {_ANCHORS} SELECT query_id, term, df, position FROM anch")
 def anchor_terms(spark, sf_dir):
-    kr, q = src.knowledge_records(spark, sf_dir), src.search_requests(spark, sf_dir)
+    kr, q = src.stated(src.knowledge_records(spark, sf_dir)), src.search_requests(spark, sf_dir)
     terms = index.query_terms(q)
     return index.anchors(terms, index.bounded_frequencies(index.postings(kr, "title", "content"), terms, 6))
 
@@ -150,7 +151,7 @@ SELECT query_id, id, CASE WHEN h.id IS NULL THEN 0 ELSE 1 END AS pin, row_number
   ORDER BY CASE WHEN h.id IS NULL THEN 0 ELSE 1 END DESC, CASE status WHEN 'stale' THEN 1 ELSE 0 END, verified_count DESC, position) AS pinned_position
 FROM placed LEFT JOIN holds h USING (query_id, id)""")
 def pin_discriminative(spark, sf_dir):
-    kr, q = src.knowledge_records(spark, sf_dir), src.search_requests(spark, sf_dir)
+    kr, q = src.stated(src.knowledge_records(spark, sf_dir)), src.search_requests(spark, sf_dir)
     posts, terms = index.postings(kr, "title", "content"), index.query_terms(q)
     rare = index.anchors(terms, index.bounded_frequencies(posts, terms, 6)).where("position = 1")
     holds = posts.join(rare.select("query_id", "term"), "term").select("query_id", "id").distinct()
@@ -242,13 +243,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY creat
 
 @query(f"WITH {_HASHED} SELECT id, content_hash FROM ranked WHERE n = 1")
 def publish_dedup(spark, sf_dir):
-    return lifecycle.publish(src.knowledge_records(spark, sf_dir))[0].select("id", "content_hash")
+    return lifecycle.publish(src.knowledge_records(spark, sf_dir), F.substring("content", 1, 8000))[0].select("id", "content_hash")
 
 
 @query(f"WITH {_HASHED} SELECT content_hash, id AS request_id, source_agent, 'confirmed_duplicate' AS outcome, knowledge_id FROM ranked WHERE n > 1")
 def duplicate_evidence(spark, sf_dir):
     # two projects, so that the stand-in corpus has equal requests in one
-    return lifecycle.publish(src.knowledge_records(spark, sf_dir))[1]
+    return lifecycle.publish(src.knowledge_records(spark, sf_dir), F.substring("content", 1, 8000))[1]
 
 
 @query(f"""WITH {_KR}, o AS (SELECT scope, knowledge_type, source_agent, content, arg_min(id, (created_at, id)) AS knowledge_id FROM kr
@@ -736,7 +737,7 @@ def search_omissions(spark, sf_dir):
 
 @query()
 def evidence_ladder(spark, sf_dir):
-    scored, q, kr = _scores(spark, sf_dir)
+    scored, q, kr = _scores(spark, sf_dir, whole=True)
     page = index.top(scored, 3, "query_id").join(q.select("query_id", "query"), "query_id").join(kr, "id")
     s = gates.evidence_support(F.col("query"), F.col("title"), F.lit(""), F.col("content"))
     return page.select("query_id", "id", s.alias("s")).select("query_id", "id", "s.supported", "s.reason", F.round("s.score", 6).alias("score"))
@@ -759,7 +760,7 @@ probes AS (SELECT id, query_id FROM (SELECT *, row_number() OVER (PARTITION BY q
 def _ledger(spark, sf_dir):
     found = shadow_probe(spark, sf_dir)
     rows = found.select(F.lit("src0").alias("project_key"), F.col("id").alias("knowledge_id"), F.col("query_id").cast("string").alias("query_hash"), F.col("query_id").alias("seq"))
-    kr = src.knowledge_records(spark, sf_dir).withColumn("digest", tx.record_digest(F.col("title"), F.col("content")))
+    kr = src.stated(src.knowledge_records(spark, sf_dir)).withColumn("digest", tx.record_digest(F.col("title"), F.col("content")))
     digests = kr.where("status = 'archived'").select(F.col("id").alias("knowledge_id"), "digest")
     return governance.probe_ledger(rows, digests), kr
 

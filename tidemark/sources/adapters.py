@@ -20,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def knowledge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus: documents with their labels as review outcomes."""
+    """The corpus: whole documents with their labels as review outcomes."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     d = docs.join(labels, "doc_id", "left")
     kinds = ("fact", "preference", "procedure", "decision")
@@ -36,7 +36,7 @@ def knowledge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("id"),
         F.substring("text", 1, 80).alias("title"),
-        F.substring("text", 1, 8000).alias("content"),
+        F.col("text").alias("content"),
         F.col("source").alias("project_key"),
         F.col("lang").alias("source_agent"),
         F.when(F.col("doc_id") % 10 == 0, "user").otherwise("project").alias("scope"),
@@ -48,6 +48,11 @@ def knowledge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stated(records: DataFrame) -> DataFrame:
+    """Records with as much content as the SQL of the scored queries states: its first 8000 characters."""
+    return records.withColumn("content", F.substring("content", 1, 8000))
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review outcomes, one row each: verified where quality is 1, rejected where toxic is 1."""
     rows = read(spark, sf_dir, "labels").select(
