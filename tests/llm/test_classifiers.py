@@ -103,3 +103,9 @@ def test_features_do_not_depend_on_batch_or_chunk(monkeypatch):
     monkeypatch.setattr(grams, "CHUNK", 64)
     parts = own.sums(texts, table)
     assert np.allclose(parts[0], whole[0]) and (parts[1] == whole[1]).all()
+
+
+def test_quality_learns_from_all_of_its_sample():
+    import inspect
+
+    assert quality.SAMPLE == 4000 and inspect.signature(quality.train).parameters["epochs"].default == 12

@@ -27,7 +27,7 @@ from .sampling import bags, bounded
 
 GRAMS = Grams(orders=(2, 3, 4), bits=17, words=True)
 #: Rows that are learnt from, about; never more than twice as many.
-SAMPLE = 3000
+SAMPLE = 4000
 THRESHOLD = 0.3
 
 
@@ -46,7 +46,7 @@ def train(
     examples: list[tuple[int, np.ndarray, np.ndarray]],
     grams: Grams,
     dim: int = 16,
-    epochs: int = 8,
+    epochs: int = 12,
     rate: float = 5.0,
     seed: int = 5,
 ) -> Model:
