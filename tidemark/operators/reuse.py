@@ -70,6 +70,14 @@ def live(items: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def scrubbed(traces: DataFrame, removed: DataFrame) -> DataFrame:
-    """Traces without items of removed records."""
-    gone = removed.agg(F.collect_set("id").alias("gone"))  # a removal request is at most 100 ids
-    return traces.crossJoin(F.broadcast(gone)).withColumn("items", F.filter("items", lambda i: ~F.array_contains(F.col("gone"), i["knowledge_id"]))).drop("gone")
+    """Traces without items of removed records, however many are removed; traces that become empty stay.
+
+    Only traces that hold a removed record are changed: their items are joined with the removed ids one by one.
+    """
+    gone = removed.select(F.col("id").alias("__gone")).distinct()
+    held = traces.select(F.col("id").alias("__id"), F.explode("items").alias("__item")).select("__id", F.col("__item.knowledge_id").alias("__gone"))
+    # a trace holds a bounded number of items, and so of removed ids
+    hits = held.join(gone, "__gone").groupBy("__id").agg(F.collect_set("__gone").alias("__gone"))
+    met = traces.join(hits, F.col("id") == F.col("__id"), "left")
+    kept = F.filter("items", lambda i: ~F.coalesce(F.array_contains(F.col("__gone"), i["knowledge_id"]), F.lit(False)))
+    return met.withColumn("items", F.when(F.col("__gone").isNull(), F.col("items")).otherwise(kept)).drop("__id", "__gone")
