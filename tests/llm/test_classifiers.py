@@ -109,3 +109,10 @@ def test_quality_learns_from_all_of_its_sample():
     import inspect
 
     assert quality.SAMPLE == 4000 and inspect.signature(quality.train).parameters["epochs"].default == 12
+
+
+def test_a_rare_language_has_a_class(spark):
+    rows = [(i, f"the and of {i}", "en", "s") for i in range(4000)] + [(4001, "zyx qwv zyx", "xx", "s"), (4002, "zyx qwv", "xx", "s"), (4003, "qwv zyx zyx", "xx", "s")]
+    docs = awkward.documents(spark, rows)
+    model = langid.fit(docs, sample=40)
+    assert model.languages == ["en", "xx"] and model.predict(["zyx qwv qwv"])[0] == ["xx"]

@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies are counted over all documents that may be learnt from. The weights are fitted on a bounded sample
-of them (SAMPLE rows, chosen by the hash of their ids) by follow-the-regularised-leader with an elastic-net penalty,
+of them (SAMPLE rows, chosen by the hash of their ids, with rows of every language) by follow-the-regularised-leader with an elastic-net penalty,
 and a temperature is calibrated on a part of the sample that the weights have not seen. A text's TF-IDF vector is
 linear in its n-grams, so prediction adds one table row for each n-gram of the whole text.
 
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import fold_of, small_arrow_batches
 from .grams import Grams, has_letter
-from .sampling import bags, bounded
+from .sampling import bags, bounded_by_label
 
 GRAMS = Grams(orders=(1, 2, 3), bits=15, only_letters=True)
 #: Rows that the weights are fitted on, about; never more than twice as many.
@@ -142,7 +142,7 @@ def fit(
     rows = docs.where(F.col(lang_col).isNotNull() & (fold_of(id_col) != 0))
     seen, total = document_frequencies(rows, grams, text_col)
     idf = np.log((1 + total) / (1 + seen)) + 1
-    found = [(a, at, n) for a, at, n in bags(bounded(rows, sample, id_col), grams, id_col, lang_col, text_col) if len(at)]
+    found = [(a, at, n) for a, at, n in bags(bounded_by_label(rows, sample, id_col, lang_col), grams, id_col, lang_col, text_col) if len(at)]
     languages = sorted({a for a, _, _ in found})
     if not languages:
         return Model([], np.zeros((grams.size, 0), np.float32), np.zeros(0), 1.0, grams)
@@ -152,6 +152,9 @@ def fit(
         (np.append(at, grams.size), np.append(scale * n / n.sum() * idf[at], 1.0), languages.index(a)) for a, at, n in found
     ]
     kept, checked = examples[len(examples) // 5 :], examples[: len(examples) // 5]
+    # a language that only the checked part has is learnt from
+    fitted = {y for _, _, y in kept}
+    kept, checked = kept + [e for e in checked if e[2] not in fitted], [e for e in checked if e[2] in fitted]
     w = follow_the_leader(kept, grams.size + 1, len(languages))
     logits = np.array([x @ w[at] for at, x, _ in checked]).reshape(-1, len(languages))
     t = temperature_of(logits, np.array([y for _, _, y in checked], np.int64))

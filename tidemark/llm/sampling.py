@@ -21,6 +21,22 @@ def bounded(rows: DataFrame, size: int, id_col: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(_PARTS)) < share).limit(2 * size)
 
 
+def bounded_by_label(rows: DataFrame, size: int, id_col: str, label_col: str) -> DataFrame:
+    """As ``bounded``, but every label has rows: from rare ones up to half of ``size`` more is taken, in equal parts.
+
+    A label has one row at least, that of its least hash, so labels must be fewer than ``size``.
+    """
+    at = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(_PARTS))
+    found = rows.groupBy(F.col(label_col).alias("__of")).agg(F.count("*").alias("n"), F.min(at).alias("least")).collect()
+    if not found:
+        return rows.limit(0)
+    share, part = -(-size * _PARTS // sum(r.n for r in found)), size // (2 * len(found))
+    below = [(r["__of"], min(_PARTS, max(share, part * _PARTS // r.n, r.least + 1))) for r in found]
+    bound = F.broadcast(rows.sparkSession.createDataFrame(below, "__of string, __below long"))
+    met = rows.join(bound, F.col(label_col).cast("string") == F.col("__of")).where(at < F.col("__below"))
+    return met.drop("__of", "__below").limit(2 * size)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
     values = np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, np.int32)
