@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import exact_dedup
 from tidemark.llm.common import fresh_path
 
@@ -36,6 +38,50 @@ def test_index_persists_and_keeps_what_came_first(spark):
     assert "Exchange" not in index.rows().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString().replace("AdaptiveSparkPlan", "")
 
 
+def test_a_batch_that_is_run_again_gets_the_same_decisions(spark):
+    path = fresh_path(spark, "index-again")
+    old = spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id long, text string")
+    new = spark.createDataFrame([(1, "ab  "), (2, "d"), (3, "d ")], "doc_id long, text string")
+    for name in (None, "monday"):
+        at = f"{path}-{name}"
+        run = lambda df, b: sorted(map(repr, exact_dedup.deduplicate(df, exact_dedup.DigestIndex(spark, at, 4), batch=b and b + str(df is new)).collect()))  # noqa: B023, E731
+        first = run(old, name), run(new, name)
+        assert (run(old, name), run(new, name)) == first
+        assert exact_dedup.DigestIndex(spark, at, 4).rows().count() == 3
+
+
+def test_a_batch_that_failed_half_way_is_finished(spark):
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index-half"), 4)
+    new = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    keyed = exact_dedup.keyed(new).withColumnRenamed("doc_id", "keep_id")
+    index.append(keyed.where("keep_id < 15"), "b")
+    got = exact_dedup.deduplicate(new, index, batch="b").collect()
+    assert all(r.kept for r in got) and len(got) == 40 and index.rows().count() == 40
+
+
+def test_merged_index_keeps_its_rows(spark):
+    path = fresh_path(spark, "index-merge")
+    index = exact_dedup.DigestIndex(spark, path, 2)
+    for k in range(3):
+        exact_dedup.deduplicate(spark.createDataFrame([(i, f"text {i}") for i in range(5 * k, 5 * k + 10)], "doc_id long, text string"), index)
+    before = sorted(map(repr, index.rows().collect()))
+    index.merge()
+    again = exact_dedup.DigestIndex(spark, path, 2)
+    assert index.generation == again.generation == 2 and again.files() == 2
+    assert sorted(map(repr, again.rows().collect())) == before and len(before) == 20
+    again.vacuum()
+    assert again.generations() == [2] and again.rows().count() == 20
+
+
+def test_names_of_helper_columns_may_be_the_callers(spark):
+    docs = awkward.documents(spark)
+    for c in ("__id", "__digest", "__times", "__text_digest", "a.b"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    got = exact_dedup.keep_first(docs)
+    assert got.columns == docs.columns and got.count() == 9
+    assert {r["__times"] for r in got.collect()} == {"own __times"}
+
+
 def test_keep_first_keeps_columns_and_one_of_repeated_rows(spark):
     docs = awkward.documents(spark)
     got = exact_dedup.keep_first(docs)

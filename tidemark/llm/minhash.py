@@ -161,7 +161,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (node, pivot) with their exact similarity."""
-    small_arrow_batches(pairs.sparkSession, 128)
+    small_arrow_batches(pairs.sparkSession)
     of_pivot = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
     both = pairs.join(texts, "node").join(of_pivot, "pivot").select("node", "pivot", "text", "pivot_text")
     return staged(both.mapInArrow(_verify, "node binary, pivot binary, sim double"), "verified")
