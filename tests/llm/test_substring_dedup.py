@@ -87,3 +87,23 @@ def test_repeats_within_buckets():
     bucket = np.array([text[p + 5] for p in places])
     seen = collections.Counter(text[p : p + 200] for p in places)
     assert suffixes.repeated(text, bucket, places, 200).tolist() == [seen[text[p : p + 200]] > 1 for p in places]
+
+
+def test_structured_texts_do_not_make_both_hashes_fail():
+    """Sums modulo a power of two cannot tell a Thue-Morse word from its complement; sums modulo a prime can."""
+    word = np.array([bin(i).count("1") % 2 for i in range(2048)], np.uint8)
+    own, other = word + 97, 98 - word
+    start, end = np.array([0]), np.array([2048])
+    one = [substring_dedup._hash(substring_dedup._sums(x), start, end)[0] for x in (own, other)]
+    two = [substring_dedup.PrimeHash(x).of(start, end)[0] for x in (own, other)]
+    assert one[0] == one[1] and two[0] != two[1]
+
+
+def test_prime_hashes_equal_plain_arithmetic():
+    data = np.frombuffer(b"some bytes, some bytes", np.uint8)
+    found = substring_dedup.PrimeHash(data).of(np.array([0, 12, 1]), np.array([10, 22, 22]))
+    p = (1 << 31) - 1
+    for k, base in enumerate(substring_dedup._PRIME_BASES):
+        numbers = [(int(x) >> 2) % p for x in substring_dedup._powers()[2][k + 1]]
+        want = [sum(numbers[c] * pow(base, i, p) for i, c in enumerate(data[a:b].tolist())) % p for a, b in ((0, 10), (12, 22), (1, 22))]
+        assert [int(x) >> 31 * (1 - k) & p for x in found] == want

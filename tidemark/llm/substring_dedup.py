@@ -10,8 +10,8 @@ All suffixes of a large corpus cannot be exchanged, so three steps narrow them d
    bucket (an anchor) at a time, by blockwise suffix sorting: first bytes first, long ties by the ranks of a
    difference cover of the block (suffixes.py). Neighbours in that order that agree for LENGTH bytes are repeated.
 
-An anchor with more than HOT different runs would not fit a block; its strings are compared by 128-bit fingerprints
-instead, grouped over all tasks.
+An anchor with more than HOT different runs would not fit a block; its strings are compared by fingerprints
+instead (64 bits by sums modulo 2^64, 62 by sums modulo a prime), grouped over all tasks. Equal runs are told by the same.
 
 Defined results: null text is empty; texts shorter than LENGTH lose nothing; a string may overlap its own repeat;
 repeated rows repeat each other's strings; what is removed depends on the input alone, never on what is left; empty
@@ -40,24 +40,29 @@ PART = 1 << 20
 #: Bytes of the blocks that suffixes are sorted in, and the runs of one anchor that still go to a block.
 BLOCK = 2 << 20
 HOT = 8192
+#: An anchor with more than this part of all runs that repeat is dealt to SALTS tasks.
+SHARES, SALTS = 512, 64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: A Mersenne prime, by which remainders need no division, and two bases for hashes modulo it.
+_PRIME = np.uint64((1 << 31) - 1)
+_PRIME_BASES = (0x3C6EF372, 0x1B873593)
 
 
 @lru_cache(1)
 def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64, and two random numbers for each byte."""
+    """Powers of an odd base and of its inverse modulo 2^64, and random numbers for each byte."""
     n = PART + LENGTH + 1
     with np.errstate(over="ignore"):
         up = np.concatenate(([np.uint64(1)], np.full(n - 1, _BASE, np.uint64))).cumprod()
         down = np.concatenate(([np.uint64(1)], np.full(n - 1, pow(_BASE, -1, 1 << 64), np.uint64))).cumprod()
-    return up, down, np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+    return up, down, np.random.default_rng(7).integers(1, 1 << 63, (3, 256), dtype=np.uint64)
 
 
-def _sums(data: np.ndarray, which: int) -> np.ndarray:
+def _sums(data: np.ndarray) -> np.ndarray:
     up, _, numbers = _powers()
     with np.errstate(over="ignore"):
-        return np.concatenate(([np.uint64(0)], np.cumsum(numbers[which][data] * up[: len(data)])))
+        return np.concatenate(([np.uint64(0)], np.cumsum(numbers[0][data] * up[: len(data)])))
 
 
 def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -66,6 +71,39 @@ def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * _powers()[1][start] + (end - start).astype(np.uint64))
 
 
+def _remainder(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2^62."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+@lru_cache(4)
+def _prime_powers(base: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < PART + LENGTH + 1:
+        out = np.concatenate((out, _remainder(out * np.uint64(pow(base, len(out), int(_PRIME))))))
+    return out
+
+
+class PrimeHash:
+    """62 bits by two polynomials modulo a prime: texts on which sums modulo 2^64 fail together do not make these fail."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums = []
+        for which, base in enumerate(_PRIME_BASES, 1):
+            numbers = _remainder(_powers()[2][which] >> np.uint64(2))
+            terms = _remainder(numbers[data] * _prime_powers(base)[: len(data)])
+            # at most 2^21 terms below 2^31
+            self.sums.append(_remainder(np.concatenate(([np.uint64(0)], np.cumsum(terms)))))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = []
+        for sums, base in zip(self.sums, _PRIME_BASES):
+            down = _prime_powers(pow(base, -1, int(_PRIME)))[start]
+            out.append(_remainder(_remainder(sums[end] + _PRIME - sums[start]) * down))
+        return (out[0] << np.uint64(31)) | out[1]
+
+
 def parts(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts laid end to end: bytes, and for each piece its text's number, its place in the text and in the bytes."""
     rows, offsets, pieces, total = [], [], [], 0
@@ -100,7 +138,7 @@ class Runs:
 
     @staticmethod
     def _of(data, rows, offsets, bounds, length, gram, whole):
-        first = _sums(data, 0)
+        first = _sums(data)
         at = np.arange(len(data) - gram + 1)
         hashes = _hash(first, at, at + gram)
         low = np.uint64((1 << 24) - 1)
@@ -123,7 +161,7 @@ class Runs:
         a = b = np.zeros(len(start), np.int64)
         if whole:
             end = stop + length - 1
-            a, b = _hash(first, start, end).view(np.int64), _hash(_sums(data, 1), start, end).view(np.int64)
+            a, b = _hash(first, start, end).view(np.int64), PrimeHash(data).of(start, end).view(np.int64)
         return hashes[place[start]].view(np.int64), rows[piece], offsets[piece] + start - bounds[piece], stop - start, a, b
 
 
@@ -193,7 +231,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i in range(len(doc)):
             data = np.frombuffer(context[i], np.uint8)
             at = np.arange(n[i])
-            made = [_hash(_sums(data, k), at, at + LENGTH).view(np.int64) for k in (0, 1)]
+            made = [_hash(_sums(data), at, at + LENGTH).view(np.int64), PrimeHash(data).of(at, at + LENGTH).view(np.int64)]
             ids = [pa.array([x] * n[i], pa.int64()) for x in (doc[i], text_hash[i])]
             yield pa.RecordBatch.from_arrays(
                 [*ids, pa.array(at + start[i], pa.int64()), *(pa.array(x, pa.int64()) for x in made)],
@@ -210,8 +248,15 @@ def hits(docs: DataFrame, hot: int = HOT) -> DataFrame:
     own = docs.where(F.octet_length("data") >= LENGTH)
     # 1. anchors that occur again; counts are summed by task before they are exchanged
     anchors = own.select("data").mapInArrow(_count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    again = staged(anchors.where("n > 1").select("anchor"), "anchors")
-    runs = staged(own.select("doc_id", "text_hash", "data").mapInArrow(_list_runs, RUNS).join(again.hint("merge"), "anchor"), "runs")
+    again = staged(anchors.where("n > 1"), "anchors")
+    found = own.select("doc_id", "text_hash", "data").mapInArrow(_list_runs, RUNS)
+    # an anchor with over a SHARES-th of the runs is hot; there are fewer than SHARES of those. Their runs are dealt out by salt
+    total = again.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head().n
+    warm = F.broadcast(again.where(F.col("n") > total // SHARES).select("anchor", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.when(F.col("n") > total // SHARES, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = again.select("anchor", F.explode(salts).alias("salt"))
+    runs = staged(found.join(warm, "anchor", "left").withColumn("salt", salt).join(known.hint("merge"), ["anchor", "salt"]).drop("salt", "hot"), "runs")
     # 2. runs that occur again as a whole
     kinds = staged(
         runs.groupBy("anchor", "a", "b").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("one")),
