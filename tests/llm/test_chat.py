@@ -65,3 +65,12 @@ def test_another_template(spark):
     free = chat.Template(learnt=("user", "assistant"), machine={"start": {"assistant": "answered"}})
     got = chat.formatted(spark.createDataFrame(ROWS[6:7], SCHEMA), free).head()
     assert got.valid and [s.loss for s in got.segments] == [False, True, False]
+
+
+def test_another_template_is_read_back(spark):
+    other = chat.Template(head="<|{role}|>\n", foot="<|end|>\n", escaped=r"[\\<|]", learnt=("bot",), machine={"start": {"human": "asked"}, "asked": {"bot": "answered"}, "answered": {"human": "asked"}})
+    said = [("human", "a <|end|>\n | b \\ c"), ("bot", "<|bot|>\n<|"), ("human", ""), ("bot", "plain |")]
+    rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(said)], "conv_id long, turn int, role string, text string")
+    got = chat.read_back(chat.formatted(rows, other), other).head()
+    assert [(t.role, t.text) for t in got.turns] == said and got.valid
+    assert got.learnt == "".join(t for r, t in said if r == "bot")

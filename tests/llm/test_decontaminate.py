@@ -84,3 +84,14 @@ def test_awkward_rows_and_empty_tables(spark):
     assert decontaminate.remove_documents(docs, items).columns == docs.columns
     assert decontaminate.report(awkward.empty(spark), items).count() == 0
     assert not any(r.contaminated for r in decontaminate.report(docs, items.limit(0)).collect())
+
+
+def test_columns_with_the_marks_names_stay(spark):
+    from pyspark.sql import functions as F
+
+    docs = awkward.documents(spark)
+    for c in ("__hits", "__items", "__n_words", "__n_hit", "a.b"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    bench = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
+    for out in (decontaminate.remove_documents(docs, bench), decontaminate.remove_spans(docs, bench)):
+        assert out.columns == docs.columns and {r["__hits"] for r in out.collect()} == {"own __hits"}

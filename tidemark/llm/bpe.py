@@ -9,7 +9,7 @@ Rows take a round per merge, which would be quadratic for one very long piece; p
 one in the same order by a heap, so that a text of a million letters takes n log n steps. Both ways are exact.
 
 Defined results: null text is empty and has no tokens; nothing is dropped or cut; rows keep their order and number;
-other columns pass through; an empty table gives an empty result.
+other columns pass through, but for those of the output's names (ids, decoded), which it replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations

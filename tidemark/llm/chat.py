@@ -26,7 +26,8 @@ class Template:
 
     head: str = "### {role}: "
     foot: str = "</turn>\n"
-    #: The characters that tell head and foot from a text, and the backslash.
+    #: The characters that tell head and foot from a text, and the backslash, as a character class. Head and foot begin with one
+    #: and the part after the role does too; a foot that ends a text needs none of its own there.
     escaped: str = r"[\\#<:]"
     learnt: tuple[str, ...] = ("assistant",)
     start: str = "start"
@@ -95,25 +96,22 @@ def formatted(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     return shaped.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "valid")
 
 
-def read_back(output: DataFrame) -> DataFrame:
-    """``output`` of formatted(), for the default template, with the turns (role, text) and the learnt text found in it."""
-    # in a role or text each of these characters has a backslash after it; in head and foot it has none
-    own = r"((?:[^\\#<:]++|[\\#<:]\\)*+)"
-    turn = f"### {own}: {own}</turn>\n"
-    found = output.withColumns(
-        {"__roles": F.regexp_extract_all("formatted", F.lit(turn), F.lit(1)), "__texts": F.regexp_extract_all("formatted", F.lit(turn), F.lit(2))}
-    )
-    learnt = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
-    return found.withColumns(
-        {
-            "turns": F.zip_with("__roles", "__texts", lambda r, t: F.struct(unescape(r).alias("role"), unescape(t).alias("text"))),
-            "learnt": F.array_join(learnt, ""),
-        }
-    ).drop("__roles", "__texts")
+def read_back(output: DataFrame, template: Template = TEMPLATE) -> DataFrame:
+    """``output`` of formatted() with the turns (role, text) and the learnt text found in it."""
+    # in a role or text each escaped character has a backslash after it; in head and foot it has none
+    chars = template.escaped[1:-1]
+    own = rf"((?:[^{chars}]++|[{chars}]\\)*+)"
+    before, after = template.head.split("{role}")
+    quoted = lambda s: "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in s)
+    turn = quoted(before) + own + quoted(after) + own + quoted(template.foot)
+    learnt = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template))
+    part = lambda k: F.regexp_extract_all("formatted", F.lit(turn), F.lit(k))
+    turns = F.zip_with(part(1), part(2), lambda r, t: F.struct(unescape(r, template).alias("role"), unescape(t, template).alias("text")))
+    return output.withColumns({"turns": turns, "learnt": F.array_join(learnt, "")})
 
 
-def report(rows: DataFrame) -> DataFrame:
-    found = read_back(formatted(rows))
+def report(rows: DataFrame, template: Template = TEMPLATE) -> DataFrame:
+    found = read_back(formatted(rows, template), template)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return found.select(
         "conv_id",

@@ -197,9 +197,16 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     )
 
 
+def _numbered(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with its columns named by their places, so that none has a mark's name, and the text's name there."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index(text_col)]
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones."""
-    return marked(docs, benchmark, text_col).where(~is_contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, text = _numbered(docs, text_col)
+    return marked(own, benchmark, text).where(~is_contaminated()).select(own.columns).toDF(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -207,11 +214,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     import re
 
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    own, text = _numbered(docs, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            at = names.index(text_col)
+            at = names.index(text)
             texts = batch.column(at).to_pylist()
             for i, bits in enumerate(batch.column(names.index("__hits")).to_pylist()):
                 if bits:
@@ -233,7 +241,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
             keep = [j for j, n in enumerate(names) if n not in MARKS.names]
             yield pa.RecordBatch.from_arrays([columns[j] for j in keep], [names[j] for j in keep])
 
-    return marked(docs, benchmark, text_col).mapInArrow(cut, docs.schema)
+    return marked(own, benchmark, text).mapInArrow(cut, own.schema).toDF(*docs.columns)
 
 
 def items_digest(items: list[str]) -> str:

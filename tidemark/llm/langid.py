@@ -6,8 +6,8 @@ and a temperature is calibrated on a part of the sample that the weights have no
 linear in its n-grams, so prediction adds one table row for each n-gram of the whole text.
 
 Defined results: texts that are null, empty or without a letter are ``und`` with score 1; with nothing to learn from,
-every text is ``und`` with score 0; repeated rows get equal predictions; rows with a null language are predicted but never learnt from; other columns pass through; an empty
-table gives an empty result.
+every text is ``und`` with score 0; repeated rows get equal predictions; rows with a null language are predicted but never learnt from; other columns pass through, but
+for those of the output's names, which annotate() replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, small_arrow_batches
+from .common import columns_of, fold_of, free_name, small_arrow_batches
 from .grams import Grams, has_letter
 from .sampling import bags, bounded_by_label
 
@@ -189,6 +189,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 def keep_recognised(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without texts that have no language, or none that is likelier than all others together."""
-    found = annotate(docs, fit(docs, text_col=text_col), text_col, "__lang_pred", "__lang_score")
-    good = (F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= least)
-    return found.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = (free_name(n, docs) for n in ("__lang_pred", "__lang_score"))
+    found = annotate(docs, fit(docs, text_col=text_col), text_col, lang, score)
+    good = (F.col(lang) != UNDETERMINED) & (F.col(score) >= least)
+    return found.where(good).select(*columns_of(found, docs.columns))

@@ -2,7 +2,8 @@
 
 A document is the multiset of its five-word shingles (all of its words where it has fewer). A shingle of count w stands
 for the levels (0, w]; levels are cut at powers of two, each cut carries a Poisson process of points in time whose rate is
-the cut's height, and a point halves its cut again and again, by the bits of its hash, until it has one level. Only points at levels
+the cut's height, and a point halves its cut again and again, by the bits of its hash, until it has one level: cuts are powers of
+two high, so the halvings' bits are taken at once, as a remainder, which is the same level as one bit after the other gives. Only points at levels
 within w count. A point falls on one of COMPONENTS positions, and the earliest point at each position is the signature:
 two documents agree at a position with a probability that is exactly their weighted Jaccard similarity. Points are
 made in order of time and stop as soon as they are later than the whole signature.
@@ -12,7 +13,8 @@ of one word sequence are one node, and candidates are verified by the exact mult
 Buckets are never expanded into pairs: each bucket's members are compared with its pivot, the member with the most company.
 Members that are not linked to their pivot are then compared with all members of their bucket, in blocks of bounded
 size, and a block gives a spanning forest of what it links. So no link that would join two classes is lost, and rows stay
-in proportion to the members.
+in proportion to the members. A class is a component of the links, so two of its members may be linked through others
+only and be less similar than the threshold; keep_one() keeps one document of a class all the same.
 
 Defined results: null, empty and wordless texts are near-duplicates of nothing, each a class of its own; repeated rows
 and copies share a class; the class id is its least document id (null ids come last); an empty table gives an
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches, staged, text_or_empty
+from .common import columns_of, free_name, small_arrow_batches, staged, text_or_empty
 from .components import connected
 from .decontaminate import words_of
 
@@ -261,7 +263,7 @@ def links(nodes: DataFrame, texts_of, threshold: float = THRESHOLD, block: int =
     pivots = weighed.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot"))
     met = staged(entries.join(pivots.hint("merge"), "bucket").where("node <> pivot"), "met")
     found = _similarities(met.select("node", "pivot").distinct(), texts)
-    good = found.where(F.col("sim") >= threshold).select("node", "pivot")
+    good = found.where(F.col("sim") >= threshold)
     open_ = met.join(found.where(F.col("sim") < threshold).select("node", "pivot"), ["node", "pivot"]).select("bucket", "node")
     open_ = staged(open_.withColumn("open", F.lit(True)), "open")
     if open_.isEmpty():
@@ -295,11 +297,15 @@ def links(nodes: DataFrame, texts_of, threshold: float = THRESHOLD, block: int =
     dealt = dealt.join(sets, "node").select("bucket", "at.q", "at.e", "node", "label", "at.role", "elements")
     dealt = dealt.repartition("bucket", "q", "e").sortWithinPartitions("bucket", "q", "e")
     more = staged(dealt.mapInArrow(_search_blocks(threshold), "node binary, pivot binary").distinct(), "more")
-    return good.unionByName(_similarities(more, texts).where(F.col("sim") >= threshold).select("node", "pivot"))
+    return good.unionByName(_similarities(more, texts).where(F.col("sim") >= threshold))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, text_hash, class_id, class_size, alone (it has no words)."""
+    """A row for each row of ``docs``: doc_id, text_hash, class_id, class_size, n_links, least_sim, alone (it has no words).
+
+    n_links are the verified links between different texts that hold the class together, least_sim the least of their similarities
+    (null without a link).
+    """
     small_arrow_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -326,6 +332,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     repeated = not wordy.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
     linked = staged(links(nodes.select("node", "bands"), texts_of, threshold), "links")
     roots = connected(linked, "node", "pivot")
+    by_root = linked.join(roots, linked["node"] == roots["node"]).groupBy("root").agg(F.count("*").alias("n_links"), F.min("sim").alias("least_sim"))
     rooted = staged(
         nodes.select("node", "least", "copies")
         .join(roots, "node", "left")
@@ -335,6 +342,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     sizes = rooted.groupBy("root").agg(
         F.min_by("least", F.struct(F.col("least").isNull(), "least")).alias("class_id"), F.sum("copies").alias("class_size")
     )
+    sizes = sizes.join(by_root, "root", "left")
     named = staged(rooted.select("node", "root").join(sizes, "root").drop("root"), "named")
     return (
         sketches.select("doc_id", "text_hash", "node")
@@ -344,6 +352,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             "text_hash",
             F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
             F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            "least_sim",
             F.col("node").isNull().alias("alone"),
         )
     )
@@ -352,28 +362,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     found = classes(docs, id_col, text_col)
     return found.select(
-        "doc_id", "class_id", "class_size", (F.col("alone") | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept")
+        "doc_id", "class_id", "class_size", "n_links", "least_sim", (F.col("alone") | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, that of the least id, and all its columns."""
     found = classes(docs, id_col, text_col)
+    # names that no column of the caller has
+    of_id, of_text, alone, times, of_class = (free_name(n, docs) for n in ("__id", "__hash", "__alone", "__times", "__class"))
     stays = staged(
         found.where(F.col("alone") | F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("alone").alias("__alone"))
-        .agg(F.count("*").alias("__times"), F.first("class_id").alias("__class")),
+        .groupBy(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_text), F.col("alone").alias(alone))
+        .agg(F.count("*").alias(times), F.first("class_id").alias(of_class)),
         "stays",
     )
     # where one id has several texts of a class, one of them stays
-    twice = stays.where("not __alone").groupBy("__id", "__class").agg(F.count("*").alias("n"), F.min("__hash").alias("least"))
+    twice = stays.where(~F.col(alone)).groupBy(F.col(of_id).alias("i"), F.col(of_class).alias("c")).agg(F.count("*").alias("n"), F.min(of_text).alias("least"))
     if not twice.where("n > 1").isEmpty():
-        least = twice.select(F.col("__id").alias("i"), F.col("__class").alias("c"), "least")
-        met = F.col("__id").eqNullSafe(F.col("i")) & F.col("__class").eqNullSafe(F.col("c"))
-        stays = stays.join(least, met, "left").where("__alone or __hash = least").drop("i", "c", "least")
-    met = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__hash"))
+        met = F.col(of_id).eqNullSafe(F.col("i")) & F.col(of_class).eqNullSafe(F.col("c"))
+        stays = stays.join(twice, met, "left").where(F.col(alone) | (F.col(of_text) == F.col("least"))).drop("i", "c", "n", "least")
+    met = docs[id_col].cast("long").eqNullSafe(F.col(of_id)) & (F.xxhash64(text_or_empty(text_col)) == F.col(of_text))
     kept = docs.join(stays.hint("merge"), met)
-    once = kept.where("__times = 1 or __alone").select(docs.columns)
-    if stays.where("__times > 1 and not __alone").isEmpty():
+    once = kept.where((F.col(times) == 1) | F.col(alone))
+    once = once.select(*columns_of(once, docs.columns))
+    more = (F.col(times) > 1) & ~F.col(alone)
+    if stays.where(more).isEmpty():
         return once
-    return once.unionByName(kept.where("__times > 1 and not __alone").dropDuplicates(["__id", "__hash"]).select(docs.columns))
+    again = kept.where(more).dropDuplicates([of_id, of_text])
+    return once.unionByName(again.select(*columns_of(again, docs.columns)))

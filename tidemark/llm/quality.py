@@ -7,7 +7,7 @@ is one number, and scoring adds up the numbers of the whole text's features.
 
 Defined results: null and empty texts have no features and get the layer's score of the zero vector; labels other than 0 and 1
 and null labels are not learnt from; of a document labelled twice each label counts; with nothing to learn from, every score is 0.5; repeated rows get equal scores; other columns
-pass through; an empty table gives an empty result.
+pass through, but for one of the output's name, which annotate() replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, small_arrow_batches
+from .common import columns_of, fold_of, small_arrow_batches
 from .grams import Grams
 from .sampling import bags, bounded
 
@@ -90,7 +90,8 @@ def fit(
     usable = usable.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"))
     # the sample is bounded, 16 bytes a row, whatever the size of the tables
     chosen = F.broadcast(bounded(usable, sample, "__id"))
-    rows = docs.join(chosen, docs[id_col] == F.col("__id")).select("__id", "__label", F.col(text_col).alias("__text"))
+    own = docs.select(*[c.alias(n) for c, n in zip(columns_of(docs, [id_col, text_col]), ("__of", "__text"))])
+    rows = own.join(chosen, F.col("__of") == F.col("__id")).select("__id", "__label", "__text")
     found = [(int(y), at, n) for y, at, n in bags(rows, grams, "__id", "__label", "__text")]
     if not found:
         return Model(np.zeros((grams.size, 1), np.float32), 0.0, grams)
