@@ -83,6 +83,36 @@ def test_codebuddy_follows_the_newest_branch(spark, tmp_path):
     assert (r.user_text, r.assistant_text) == ("q", "kept")
 
 
+def test_gemini_steps_in_order(spark, tmp_path):
+    say = lambda i, text, kind="gemini": {"id": i, "type": kind, "content": text}
+    cases = {
+        "batch": ([{"messages": [say("1", "a", "user"), say("2", "b")]}, {"messages": [say("2", "c"), say("3", "d")]}], ["a", "c", "d"]),
+        "checkpoint": ([say("1", "x", "user"), {"$set": {"messages": [say("5", "q", "user"), say("6", "r")]}}, say("7", "s")], ["q", "r", "s"]),
+        "unknown": ([say("1", "x", "user"), {"$rewindTo": "9"}, say("2", "y", "user"), say("3", "z")], ["y", "z"]),
+        "again": ([say("1", "x", "user"), say("2", "y"), {"$rewindTo": "2"}, say("3", "z"), say("2", "w"), {"$rewindTo": "2"}], ["x", "z"]),
+    }
+    for name, (items, _) in cases.items():
+        write(tmp_path / f"{name}.jsonl", [*items, "not an object"])
+    got = transcripts.gemini(transcripts.tails(spark, str(tmp_path))).orderBy("path", "n").collect()
+    for name, (_, want) in cases.items():
+        assert [r.text for r in got if r.path.endswith(f"{name}.jsonl")] == want
+
+
+def test_codebuddy_internal_entries_and_cycles(spark, tmp_path):
+    say = lambda i, parent, role, text, **more: {"id": i, "parentId": parent, "type": "message", "role": role, "content": [{"type": "text", "text": text}]} | more
+    hidden = {"providerData": {"isCompactInternal": True}}
+    one = write(tmp_path / "one.jsonl", [say("1", None, "user", "q"), say("2", "1", "user", "summary", **hidden), say("3", "2", "assistant", "kept"), say("4", "3", "assistant", "inner", **hidden)])
+    r = transcripts.read_turns(spark, one, "codebuddy").head()
+    assert (r.user_text, r.assistant_text) == ("q", "kept")
+    two = write(tmp_path / "two.jsonl", [say("1", "2", "user", "q"), say("2", "1", "assistant", "a")])
+    lines = transcripts.tails(spark, two)
+    assert transcripts.codebuddy(lines).count() == 0
+    assert [x.reason for x in transcripts.dead_letters(lines).collect()] == ["branch_contains_a_cycle"]
+    roots = write(tmp_path / "three.jsonl", [say("1", None, "user", "old"), {"id": "2", "logicalParentId": "1", "type": "message", "role": "user", "content": "new"}, say("3", "2", "assistant", "a"), say("9", "8", "user", "lost"), say("4", "3", "assistant", "b")])
+    r = transcripts.read_turns(spark, roots, "codebuddy").head()
+    assert (r.user_text, r.assistant_text) == ("new", "a\nb")
+
+
 def test_identity_is_stable(spark, tmp_path):
     p = write(tmp_path / "c.jsonl", [{"type": "user", "uuid": "u", "message": {"role": "user", "content": "hello"}}])
     one, two = (transcripts.compilation_identity(transcripts.read_turns(spark, p, "claude")).head().manifest_hash for _ in range(2))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import evaluate, expand, experiences, gates, governance, index, lifecycle, metrics, projections, reuse, search, versions
 from .sources import adapters as src
+from .plans.staging import shared_dir
+from .schemas import with_defaults
 from .sources.corpora import chunks
 from .streaming import streams
 
@@ -19,8 +21,10 @@ _SQL: dict[str, str] = {}
 
 # ---------------------------------------------------------------- shared SQL
 
-_KR = """kr AS (
-  SELECT d.doc_id AS id, substr(text, 1, 80) AS title, substr(text, 1, 8000) AS content, source AS project_key, lang AS source_agent,
+_IDENTIFIER = "[A-Za-z][A-Za-z0-9]*(?:[-._:][A-Za-z0-9]+)+"
+_KR = rf"""kr AS (
+  SELECT d.doc_id AS id, regexp_extract(text, '{src.TITLE}') AS title, text AS content, source AS project_key, lang AS source_agent,
+         lower(array_to_string(regexp_extract_all(text, '{_IDENTIFIER}'), ' ')) AS search_terms,
          CASE WHEN d.doc_id % 10 = 0 THEN 'user' ELSE 'project' END AS scope,
          CASE d.doc_id % 4 WHEN 0 THEN 'fact' WHEN 1 THEN 'preference' WHEN 2 THEN 'procedure' ELSE 'decision' END AS knowledge_type,
          CASE WHEN quality IS NULL THEN 'candidate' WHEN toxic = 1 THEN 'quarantined' WHEN quality = 0 THEN 'archived'
@@ -37,7 +41,7 @@ _EV = """ev AS (
         UNION ALL SELECT doc_id, 'rejected' FROM labels WHERE toxic = 1))"""
 _FOLD = "translate(lower({0}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy')"
 _TOKENS = "regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}]+')"
-_SCORED = f"""q AS (SELECT item_id AS query_id, substr(text, 1, 500) AS query FROM benchmark),
+_SCORED = f"""q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE length(text) <= {src.MAX_QUERY}),
 toks AS (SELECT id, {_TOKENS.format("title || ' ' || content")} AS t FROM kr),
 stats AS (SELECT count(*)::DOUBLE AS n_docs, avg(len(t)) AS avg_len FROM toks),
 post AS (SELECT id, term, count(*) AS tf, any_value(doc_len) AS doc_len
@@ -67,7 +71,7 @@ _RUNS = """runs AS (
 _LINKS = """links AS (
   SELECT l_orderkey AS run_id, l_partkey AS knowledge_id, CASE l_returnflag WHEN 'R' THEN 'deduplicated' ELSE 'produced' END AS relation,
          l_suppkey AS agent_key FROM lineitem)"""
-_GOLD = """gold AS (SELECT item_id AS query_id, doc_id AS id FROM documents d, benchmark b WHERE contains(d.text, substr(b.text, 1, 60)))"""
+_GOLD = """gold AS (SELECT item_id AS query_id, doc_id AS id FROM documents d, benchmark b WHERE b.text <> '' AND contains(d.text, b.text))"""
 
 
 def query(sql: str = "") -> Callable[[Query], Query]:
@@ -87,25 +91,35 @@ def epoch(column: str, name: str | None = None):
 # ---------------------------------------------------------------- retrieval
 
 
-def _scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    kr, q = src.knowledge_records(spark, sf_dir), src.search_requests(spark, sf_dir)
-    kr = kr if whole else src.stated(kr)
-    return index.scores(q, kr, "title", "content"), q, kr
+_SERVING, _RETIRED = ("active", "stale"), ("active", "stale", "archived")
 
 
-def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, q, kr = _scores(spark, sf_dir)
-    return index.scoped(scored, q, kr, ("active", "stale"))
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index of the records: built for these files once, then opened by every query."""
+    name = src.snapshot_name(spark, sf_dir, "documents", "labels")
+    return index.stored(spark, f"{shared_dir(spark)}/tidemark/indexes/{name}", 1, src.knowledge_records(spark, sf_dir), "title", "content")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, index.Index]:
+    """(query terms, requests, index)"""
+    q = src.search_requests(spark, sf_dir)
+    return index.query_terms(q), q, _index(spark, sf_dir)
+
+
+def _best(spark: SparkSession, sf_dir: str, k: int, statuses: tuple[str, ...] = ()) -> DataFrame:
+    """The k best records of each query: of all records, or of those in the given states that its project may see."""
+    terms, q, idx = _asked(spark, sf_dir)
+    return index.best(terms, idx, k, q, src.knowledge_records(spark, sf_dir) if statuses else None, statuses)
 
 
 @query(f"WITH {_BM25} SELECT query_id, id, score, row_number() OVER w AS rank FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id) QUALIFY rank <= 3")
 def search_naive_bm25_top3(spark, sf_dir):
-    return index.top(_scores(spark, sf_dir)[0], 3, "query_id")
+    return _best(spark, sf_dir, 3)
 
 
 @query(f"WITH {_BM25} SELECT query_id, id, score, row_number() OVER w AS rank FROM scoped WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id) QUALIFY rank <= 3")
 def search_scoped_bm25(spark, sf_dir):
-    return index.top(_scoped(spark, sf_dir), 3, "query_id").select("query_id", "id", "score", "rank")
+    return _best(spark, sf_dir, 3, _SERVING).select("query_id", "id", "score", "rank")
 
 
 _POOL = """pool AS (SELECT query_id, id, status, score, verified_count, row_number() OVER (PARTITION BY query_id, status
@@ -116,23 +130,32 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE stat
 
 @query(f"WITH {_BM25}, {_POOL} SELECT query_id, id, status, score, pool_rank, position FROM placed")
 def search_pool_by_status(spark, sf_dir):
-    return index.status_pools(_scoped(spark, sf_dir), 3).select("query_id", "id", "status", "score", "pool_rank", "position")
+    terms, q, idx = _asked(spark, sf_dir)
+    return index.status_pools(terms, idx, 3, q, src.knowledge_records(spark, sf_dir)).select("query_id", "id", "status", "score", "pool_rank", "position")
+
 
+_FRAGMENT = r"\p{L}(\p{L}{4,})\p{L}"
 
-@query(f"""WITH {_KR}, {_GOLD}, w AS (SELECT item_id AS query_id, substr(text, 1, 6) AS query FROM benchmark
-  WHERE item_id NOT IN (SELECT query_id FROM gold))
+
+@query(rf"""WITH {_KR}, w0 AS (SELECT item_id AS query_id, regexp_extract(text, '{_FRAGMENT}', 1) AS query FROM benchmark WHERE length(text) <= {src.MAX_QUERY}),
+seen AS (SELECT * FROM kr WHERE status IN ('active', 'stale') AND (scope = 'user' OR project_key = 'src0')),
+known AS (SELECT DISTINCT unnest({_TOKENS.format("title || ' ' || content")}) AS term FROM seen),
+w AS (SELECT w0.* FROM w0 WHERE query <> '' AND NOT EXISTS (SELECT 1 FROM known WHERE term = {_FOLD.format('query')}))
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE status WHEN 'stale' THEN 1 ELSE 0 END, verified_count DESC, id) AS rank
-FROM w, kr WHERE (scope = 'user' OR project_key = 'src0') AND (contains(lower(title), lower(query)) OR contains(lower(content), lower(query)))
+FROM w, seen WHERE contains(lower(title), lower(query)) OR contains(lower(content), lower(query))
 QUALIFY rank <= 5""")
 def search_like_fallback(spark, sf_dir):
-    q = src.search_requests(spark, sf_dir).withColumn("query", F.substring("query", 1, 6))
-    return index.like_fallback(q, src.stated(src.knowledge_records(spark, sf_dir)), src.gold(spark, sf_dir), 5)
+    # requests are the inside of a word, which the index seldom has as a term
+    q = src.search_requests(spark, sf_dir).withColumn("query", F.regexp_extract("query", _FRAGMENT, 1)).where("query <> ''")
+    kr = src.knowledge_records(spark, sf_dir)
+    direct = index.best(index.query_terms(q), _index(spark, sf_dir), 1, q, kr, _SERVING)
+    return index.like_fallback(q, kr.where(F.col("status").isin(*_SERVING)), direct, 5)
 
 
 @query(f"WITH {_BM25} SELECT DISTINCT term, least(coalesce(df, 0), 7)::BIGINT AS df FROM qt LEFT JOIN dfs USING (term)")
 def df_bounded(spark, sf_dir):
-    kr, q = src.stated(src.knowledge_records(spark, sf_dir)), src.search_requests(spark, sf_dir)
-    return index.bounded_frequencies(index.postings(kr, "title", "content"), index.query_terms(q), 6)
+    terms, _, idx = _asked(spark, sf_dir)
+    return idx.frequencies_of(terms, 6)
 
 
 _ANCHORS = """anch AS (SELECT query_id, term, df, row_number() OVER (PARTITION BY query_id ORDER BY df, length(term) DESC, term) AS position
@@ -141,31 +164,30 @@ FROM qt JOIN dfs USING (term) WHERE df BETWEEN 1 AND 6 AND length(term) >= 2 QUA
 
 @query(f"WITH {_BM25}, {_ANCHORS} SELECT query_id, term, df, position FROM anch")
 def anchor_terms(spark, sf_dir):
-    kr, q = src.stated(src.knowledge_records(spark, sf_dir)), src.search_requests(spark, sf_dir)
-    terms = index.query_terms(q)
-    return index.anchors(terms, index.bounded_frequencies(index.postings(kr, "title", "content"), terms, 6))
+    terms, _, idx = _asked(spark, sf_dir)
+    return index.anchors(terms, idx.frequencies_of(terms, 6))
 
 
 @query(f"""WITH {_BM25}, {_POOL}, {_ANCHORS}, holds AS (SELECT DISTINCT a.query_id, p.id FROM anch a JOIN post p USING (term) WHERE a.position = 1)
 SELECT query_id, id, CASE WHEN h.id IS NULL THEN 0 ELSE 1 END AS pin, row_number() OVER (PARTITION BY query_id
-  ORDER BY CASE WHEN h.id IS NULL THEN 0 ELSE 1 END DESC, CASE status WHEN 'stale' THEN 1 ELSE 0 END, verified_count DESC, position) AS pinned_position
+  ORDER BY CASE WHEN h.id IS NULL THEN 0 ELSE 1 END DESC, CASE WHEN h.id IS NOT NULL AND status = 'stale' THEN 1 ELSE 0 END,
+           CASE WHEN h.id IS NULL THEN 0 ELSE verified_count END DESC, position) AS pinned_position
 FROM placed LEFT JOIN holds h USING (query_id, id)""")
 def pin_discriminative(spark, sf_dir):
-    kr, q = src.stated(src.knowledge_records(spark, sf_dir)), src.search_requests(spark, sf_dir)
-    posts, terms = index.postings(kr, "title", "content"), index.query_terms(q)
-    rare = index.anchors(terms, index.bounded_frequencies(posts, terms, 6)).where("position = 1")
-    holds = posts.join(rare.select("query_id", "term"), "term").select("query_id", "id").distinct()
-    pool = index.status_pools(index.scoped(index.scores(q, kr, "title", "content", index=posts), q, kr, ("active", "stale")), 3)
+    terms, q, idx = _asked(spark, sf_dir)
+    rare = index.anchors(terms, idx.frequencies_of(terms, 6)).where("position = 1")
+    holds = idx.of(rare.select("query_id", "term")).select("query_id", "id").distinct()
+    pool = index.status_pools(terms, idx, 3, q, src.knowledge_records(spark, sf_dir))
     return index.pinned(pool, holds).select("query_id", "id", "pin", "pinned_position")
 
 
 def _title_terms(spark, sf_dir):
     kr = src.knowledge_records(spark, sf_dir)
-    return kr.select("id", "project_key", "verified_count", "created_at", "status", F.explode(F.array_distinct(tx.tokens(F.col("title")))).alias("term")).where(F.char_length("term") >= 4)
+    return kr.select("id", "project_key", "verified_count", "created_at", "status", F.explode(F.array_distinct(tx.tokens(F.concat_ws(" ", "title", "search_terms")))).alias("term")).where(F.char_length("term") >= 4)
 
 
 _TT = f"""{_KR}, tt AS (SELECT DISTINCT id, project_key, verified_count, created_at, status, term FROM (
-  SELECT id, project_key, verified_count, created_at, status, unnest({_TOKENS.format('title')}) AS term FROM kr) WHERE length(term) >= 4)"""
+  SELECT id, project_key, verified_count, created_at, status, unnest({_TOKENS.format("concat_ws(' ', title, search_terms)")}) AS term FROM kr) WHERE length(term) >= 4)"""
 _EDGES = f"""{_TT}, rar AS (SELECT project_key, term, count(DISTINCT id) AS df FROM tt GROUP BY ALL),
 own AS (SELECT id, project_key, created_at, term FROM tt JOIN rar USING (project_key, term)
         QUALIFY row_number() OVER (PARTITION BY project_key, id ORDER BY df, term) <= 24),
@@ -215,9 +237,7 @@ def sibling_candidates(spark, sf_dir):
 top8 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM retired QUALIFY rank <= 8)
 SELECT query_id, id, score, rank FROM top8 WHERE status = 'archived'""")
 def shadow_probe(spark, sf_dir):
-    scored, q, kr = _scores(spark, sf_dir)
-    wide = index.scoped(scored, q, kr, ("active", "stale", "archived"))
-    return index.top(wide, 8, "query_id").where("status = 'archived'").select("query_id", "id", "score", "rank")
+    return _best(spark, sf_dir, 8, _RETIRED).where("status = 'archived'").select("query_id", "id", "score", "rank")
 
 
 @query(f"""WITH {_BM25}, retired AS (SELECT s.*, status FROM scored s JOIN kr USING (id) WHERE status IN ('active', 'stale', 'archived') AND (scope = 'user' OR project_key = 'src0')),
@@ -228,9 +248,8 @@ b AS (SELECT count(DISTINCT kr.id) AS archived, count(DISTINCT h.id) AS false_ki
 SELECT probed, missed, archived, false_kills, round(missed::DOUBLE / nullif(probed, 0), 6) AS miss_rate,
        round(false_kills::DOUBLE / nullif(archived, 0), 6) AS false_kill_rate FROM a, b""")
 def lfhv_report(spark, sf_dir):
-    scored, q, kr = _scores(spark, sf_dir)
-    probes = index.top(index.scoped(scored, q, kr, ("active", "stale", "archived")), 8, "query_id")
-    return metrics.lfhv_report(probes.withColumn("retired_hit", F.col("status") == "archived"), kr)
+    probes = _best(spark, sf_dir, 8, _RETIRED)
+    return metrics.lfhv_report(probes.withColumn("retired_hit", F.col("status") == "archived"), src.knowledge_records(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- publication and lifecycle
@@ -243,13 +262,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY creat
 
 @query(f"WITH {_HASHED} SELECT id, content_hash FROM ranked WHERE n = 1")
 def publish_dedup(spark, sf_dir):
-    return lifecycle.publish(src.knowledge_records(spark, sf_dir), F.substring("content", 1, 8000))[0].select("id", "content_hash")
+    return lifecycle.publish(src.knowledge_records(spark, sf_dir))[0].select("id", "content_hash")
 
 
 @query(f"WITH {_HASHED} SELECT content_hash, id AS request_id, source_agent, 'confirmed_duplicate' AS outcome, knowledge_id FROM ranked WHERE n > 1")
 def duplicate_evidence(spark, sf_dir):
     # two projects, so that the stand-in corpus has equal requests in one
-    return lifecycle.publish(src.knowledge_records(spark, sf_dir), F.substring("content", 1, 8000))[1]
+    return lifecycle.publish(src.knowledge_records(spark, sf_dir))[1]
 
 
 @query(f"""WITH {_KR}, o AS (SELECT scope, knowledge_type, source_agent, content, arg_min(id, (created_at, id)) AS knowledge_id FROM kr
@@ -586,8 +605,7 @@ res AS (SELECT q.query_id, (SELECT count(*) FROM gold g WHERE g.query_id = q.que
 
 
 def _results(spark, sf_dir):
-    scored, q, _ = _scores(spark, sf_dir)
-    return evaluate.case_results(q.select("query_id"), index.top(scored, 3, "query_id"), src.gold(spark, sf_dir))
+    return evaluate.case_results(src.search_requests(spark, sf_dir).select("query_id"), _best(spark, sf_dir, 3), src.gold(spark, sf_dir))
 
 
 @query(f"""WITH {_RESULTS} SELECT count(*) FILTER (n_gold > 0) AS positives, count(*) FILTER (n_gold = 0) AS negatives,
@@ -629,9 +647,9 @@ j AS (SELECT a.*, g.id IS NOT NULL AS relevant, strlen(content)::BIGINT AS bytes
 
 
 def _arms(spark, sf_dir):
-    scored, q, kr = _scores(spark, sf_dir)
-    naive = index.top(scored, 3, "query_id").select(F.lit("naive").alias("arm"), "query_id", "id")
-    gated = index.top(index.scoped(scored, q, kr, ("active", "stale")), 3, "query_id").select(F.lit("gated").alias("arm"), "query_id", "id")
+    kr = src.knowledge_records(spark, sf_dir)
+    naive = _best(spark, sf_dir, 3).select(F.lit("naive").alias("arm"), "query_id", "id")
+    gated = _best(spark, sf_dir, 3, _SERVING).select(F.lit("gated").alias("arm"), "query_id", "id")
     marked = src.gold(spark, sf_dir).withColumn("relevant", F.lit(True))
     sized = kr.select("id", F.octet_length("content").cast("long").alias("bytes"))
     return naive.unionByName(gated).join(sized, "id").join(marked, ["query_id", "id"], "left").fillna(False, ["relevant"])
@@ -697,8 +715,8 @@ sized AS (SELECT query_id, id, position, length(content)::BIGINT AS chars FROM p
 
 
 def _page(spark, sf_dir):
-    scored, _, kr = _scores(spark, sf_dir)
-    page = index.top(scored, 8, "query_id").select("query_id", "id", F.col("rank").alias("position"))
+    kr = src.knowledge_records(spark, sf_dir)
+    page = _best(spark, sf_dir, 8).select("query_id", "id", F.col("rank").alias("position"))
     return page.join(kr.select("id", F.char_length("content").cast("long").alias("chars")), "id")
 
 
@@ -722,7 +740,12 @@ def context_pack_greedy(spark, sf_dir):
 
 
 def _full(spark, sf_dir):
-    return search.search(src.search_requests(spark, sf_dir), src.knowledge_records(spark, sf_dir).withColumn("source_session", F.col("project_key")))
+    """search() over all requests. Its enriched index is stored like the plain one."""
+    kr = with_defaults(src.knowledge_records(spark, sf_dir).withColumn("source_session", F.col("project_key")))
+    name = src.snapshot_name(spark, sf_dir, "documents", "labels")
+    text = tx.indexed_text(F.col("title"), F.col("content"), F.col("search_terms"))
+    idx = index.stored(spark, f"{shared_dir(spark)}/tidemark/indexes/{name}-enriched", 1, kr, text=text, places=True)
+    return search.search(src.search_requests(spark, sf_dir), kr, idx=idx)
 
 
 @query()
@@ -737,8 +760,7 @@ def search_omissions(spark, sf_dir):
 
 @query()
 def evidence_ladder(spark, sf_dir):
-    scored, q, kr = _scores(spark, sf_dir, whole=True)
-    page = index.top(scored, 3, "query_id").join(q.select("query_id", "query"), "query_id").join(kr, "id")
+    page = _best(spark, sf_dir, 3).join(src.search_requests(spark, sf_dir).select("query_id", "query"), "query_id").join(src.knowledge_records(spark, sf_dir), "id")
     s = gates.evidence_support(F.col("query"), F.col("title"), F.lit(""), F.col("content"))
     return page.select("query_id", "id", s.alias("s")).select("query_id", "id", "s.supported", "s.reason", F.round("s.score", 6).alias("score"))
 
@@ -760,7 +782,7 @@ probes AS (SELECT id, query_id FROM (SELECT *, row_number() OVER (PARTITION BY q
 def _ledger(spark, sf_dir):
     found = shadow_probe(spark, sf_dir)
     rows = found.select(F.lit("src0").alias("project_key"), F.col("id").alias("knowledge_id"), F.col("query_id").cast("string").alias("query_hash"), F.col("query_id").alias("seq"))
-    kr = src.stated(src.knowledge_records(spark, sf_dir)).withColumn("digest", tx.record_digest(F.col("title"), F.col("content")))
+    kr = src.knowledge_records(spark, sf_dir).withColumn("digest", tx.record_digest(F.col("title"), F.col("content")))
     digests = kr.where("status = 'archived'").select(F.col("id").alias("knowledge_id"), "digest")
     return governance.probe_ledger(rows, digests), kr
 
@@ -812,10 +834,9 @@ def slot_peer_counts(spark, sf_dir):
     return versions.peer_counts(_claims(spark, sf_dir))
 
 
-@query("""WITH gone AS (SELECT p_partkey FROM part WHERE p_size = 1 ORDER BY p_partkey LIMIT 100)
+@query("""WITH gone AS (SELECT p_partkey FROM part WHERE p_size = 1)
 SELECT l_orderkey AS id, count(*) FILTER (l_partkey NOT IN (SELECT p_partkey FROM gone)) AS n_items FROM lineitem GROUP BY 1""")
 def trace_scrub(spark, sf_dir):
-    # all that are removed, where the SQL stops after the first 100
     gone = src.catalogue_records(spark, sf_dir).where("p_size = 1").select(F.col("knowledge_id").alias("id"))
     return reuse.scrubbed(_traces(spark, sf_dir), gone).select("id", F.size("items").cast("long").alias("n_items"))
 
@@ -848,15 +869,22 @@ def related_accepted(spark, sf_dir):
     return projections.related_accepted(terms.where("status = 'candidate'"), terms.where("status in ('active', 'stale')"))
 
 
-@query(f"""WITH {_BM25}, {_GOLD}, h AS (SELECT query_id, id FROM gold), k AS (SELECT id FROM kr WHERE status IN ('active', 'stale', 'candidate')),
-c AS (SELECT q.query_id, count(k.id) AS n FROM q LEFT JOIN h USING (query_id) LEFT JOIN k USING (id) GROUP BY 1)
-SELECT CASE WHEN n > 0 THEN 'answer_kept' ELSE 'lost' END AS outcome, count(*) AS cases FROM c GROUP BY 1""")
+_SENTENCE, _END = r"^[^.!?]+[.!?]", r"[^.!?]+[.!?]*$"
+
+
+@query(rf"""WITH {_KR}, b AS (SELECT item_id AS query_id, regexp_extract(text, '{_SENTENCE}') AS quote, regexp_extract(text, '{_END}') AS answer FROM benchmark),
+h AS (SELECT query_id, doc_id AS id, text AS content FROM b JOIN documents d ON quote <> '' AND contains(d.text, quote)),
+k AS (SELECT h.* FROM h JOIN kr USING (id) WHERE status IN ('active', 'stale', 'candidate')),
+w AS (SELECT b.query_id, content, ' ' || array_to_string(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+'), ' ') || ' ' AS own,
+      ' ' || array_to_string(regexp_extract_all(lower(answer), '[\p{{L}}\p{{N}}_]+'), ' ') || ' ' AS wanted FROM b LEFT JOIN k USING (query_id)),
+c AS (SELECT query_id, count(content) AS n, bool_or(coalesce(length(wanted) > 2 AND contains(own, wanted), false)) AS answered FROM w GROUP BY 1)
+SELECT CASE WHEN answered THEN 'answer_kept' WHEN n > 0 THEN 'evidence_kept' ELSE 'lost' END AS outcome, count(*) AS cases FROM c GROUP BY 1""")
 def retention_audit(spark, sf_dir):
+    """A passage's evidence is a document that has its first sentence, the answer is its last one."""
     kr = src.knowledge_records(spark, sf_dir).where("status in ('active', 'stale', 'candidate')")
-    texts = src.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(kr.select("id"), "id", "left_semi")
-    heads = src.search_requests(spark, sf_dir).select("query_id", F.regexp_replace(F.substring("query", 1, 60), r"(?U)\w*$", "").alias("answer"))
-    answers = heads.join(src.gold(spark, sf_dir), "query_id", "left")
-    return projections.retention_audit(answers, texts)
+    passages = src.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", _END, 0).alias("answer"))
+    held = src.quoting(spark, sf_dir, F.regexp_extract("text", _SENTENCE, 0))
+    return projections.retention_audit(passages.join(held, "query_id", "left"), kr.select("id", "content"))
 
 
 def queries() -> dict[str, Query]:

@@ -110,16 +110,37 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
+#: Ways to speak of the theme of pages, which are one for queries.
+THEME_TALK, THEME = "视觉习惯|常用风格|页面颜色|清爽配色|默认视觉", "页面主题"
+
+
 def query_tokens(query: Column, limit: int = 64) -> Column:
     """Tokens that a query is matched by: up to 24 words, concept markers, aliases, further words, Han grams; at most 64."""
     from .concepts import aliases, markers
 
+    query = F.regexp_replace(query, THEME_TALK, THEME)
     raw = words(query)
     named = F.array_distinct(F.flatten(F.transform(raw, lambda w: F.array(normalize_word(w), w))))
     head, tail = F.slice(named, 1, 24), F.slice(named, 25, 10_000)
     return F.slice(F.array_distinct(F.concat(head, markers(query), aliases(query), tail, cjk_ngrams(query))), 1, limit)
 
 
+def index_terms(token: Column) -> Column:
+    """A query token as the index knows it: its index tokens in a row, parted by spaces; a phrase if there are several."""
+    return F.array_join(tokens(token), " ")
+
+
+def indexed_text(title: Column, content: Column, search_terms: Column) -> Column:
+    """What a record is indexed by: its texts, the markers of its concepts, its Han grams and inflections undone."""
+    from .concepts import markers
+
+    text = F.concat_ws(" ", title, search_terms, content)
+    plain = F.filter(words(text), lambda w: w.rlike("^[ -~]+$"))
+    undone = F.array_distinct(F.transform(F.filter(plain, lambda w: normalize_word(w) != casefold(w)), normalize_word))
+    more = F.array_distinct(F.concat(markers(text, None), cjk_ngrams(text), undone))
+    return F.concat_ws("\n", title, content, search_terms, F.array_join(more, " "))
+
+
 def sentence_units(text: Column) -> Column:
     """Sentences of a text: parted at Han stops, line ends, and Western stops that white space follows."""
     return F.filter(F.transform(F.split(text, r"[。！？\n]|(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda u: u != "")

@@ -1,43 +1,59 @@
 """Full-text index and BM25 as relations: postings, document lengths, document frequencies.
 
-Document frequency counts all indexed records, whatever their scope or status. Scoring joins query terms with
-postings on the term, sums scores by (query, record) before anything is ranked, and ranks with a window whose limit
-Spark pushes below the exchange (WindowGroupLimit).
+An index is built once for a snapshot and stored: postings bucketed by term, frequencies, and the two numbers of the corpus.
+Document frequency counts all indexed records, whatever their scope or status. A term with more than a part of all
+postings is dealt to several buckets by the hash of the record, so that no bucket holds a frequent term alone.
+
+Scoring joins query terms with postings on the term, sums scores by (query, record) before anything is ranked, and ranks with a
+window whose limit Spark pushes below the exchange (WindowGroupLimit). A term that most records have adds almost nothing (its weight is
+a floor), so such terms are added for the records that the others have put near the top; where they could decide
+who gets there, which a bound tells, all of a query's terms are scored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..plans.staging import broadcast_blocks, union_all
+from ..plans import bucketed
+from ..plans.snapshots import Snapshots
+from ..plans.staging import broadcast_blocks, shared_dir, staged, union_all
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: A term with more than this part of all postings is dealt to SALTS buckets; there are fewer than SHARES such terms.
+SHARES, SALTS = 1024, 32
+#: Rows kept beyond the best k before the floor terms are added.
+SPARE = 64
+_POSTING = "term STRING, salt INT, id BIGINT, tf BIGINT, doc_len BIGINT, places ARRAY<INT>"
 
 
-def tokenized(records: DataFrame, *text_cols: str) -> DataFrame:
-    return records.select("id", tokens(F.concat_ws(" ", *text_cols)).alias("tokens"))
+def tokenized(records: DataFrame, text: Column) -> DataFrame:
+    return records.select("id", tokens(text).alias("tokens"))
 
 
-def postings(records: DataFrame, *text_cols: str) -> DataFrame:
-    """(id, term, tf, doc_len): one row for each record and distinct term."""
+def postings(records: DataFrame, *text_cols: str, text: Column | None = None, places: bool = False) -> DataFrame:
+    """(id, term, tf, doc_len, places): one row for each record and distinct term; its places only where they are asked for."""
     # the length is taken before the tokens are multiplied, so that no row carries its record's whole token list
-    sized = tokenized(records, *text_cols).withColumn("doc_len", F.size("tokens").cast("long"))
-    own = sized.select("id", "doc_len", F.explode("tokens").alias("term"))
-    return own.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    sized = tokenized(records, F.concat_ws(" ", *text_cols) if text is None else text).withColumn("doc_len", F.size("tokens").cast("long"))
+    if places:
+        own = sized.select("id", "doc_len", F.posexplode("tokens").alias("place", "term"))
+        at = F.sort_array(F.collect_list("place"))
+    else:
+        own = sized.select("id", "doc_len", F.explode("tokens").alias("term"))
+        at = F.lit(None).cast("array<int>")
+    by = own.groupBy("id", "term")
+    counts = [F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")]
+    return by.agg(*counts, at.alias("places")) if places else by.agg(*counts).withColumn("places", at)
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bounded_frequencies(index: DataFrame, terms: DataFrame, ceiling: int) -> DataFrame:
-    """(term, df): how many records have a term, cut off above the ceiling; 0 for terms of none."""
-    df = document_frequencies(index.join(terms.select("term").distinct(), "term", "left_semi"))
-    return terms.select("term").distinct().join(df, "term", "left").select("term", F.least(F.coalesce("df", F.lit(0)), F.lit(ceiling + 1)).cast("long").alias("df"))
-
-
 def query_terms(requests: DataFrame, limit: int = 64) -> DataFrame:
     """(query_id, term): the first ``limit`` distinct tokens of each query."""
     found = F.slice(F.array_distinct(tokens(F.col("query"))), 1, limit)
@@ -48,23 +64,79 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
 
 
-def statistics(records: DataFrame, *text_cols: str) -> DataFrame:
-    """One row: number of records and mean length, in tokens, over all of them."""
-    sizes = tokenized(records, *text_cols).select(F.size("tokens").alias("n"))
-    return sizes.agg(F.count("*").cast("double").alias("n_docs"), F.avg("n").alias("avg_len"))
-
-
-def scores(requests: DataFrame, records: DataFrame, *text_cols: str, index: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score): the positive BM25 score of every record that shares a term with a query."""
-    index = postings(records, *text_cols) if index is None else index
-    terms = query_terms(requests)
-    # only the queries' terms leave the scan
-    own = index.join(terms.select("term").distinct(), "term", "left_semi")
-    stats = statistics(records, *text_cols)
-    met = terms.join(own, "term").join(document_frequencies(own), "term").crossJoin(F.broadcast(stats))
-    f = F.col("tf").cast("double")
-    gain = idf(F.col("n_docs"), F.col("df").cast("double")) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return met.groupBy("query_id", "id").agg(F.round(F.sum(gain), 6).alias("score"))
+@dataclass(frozen=True)
+class Index:
+    """A stored index: postings (term, salt, id, tf, doc_len, places), frequencies (term, df, salts), and the corpus's numbers."""
+
+    postings: DataFrame
+    frequencies: DataFrame
+    n_docs: float
+    avg_len: float
+
+    @staticmethod
+    def build(records: DataFrame, *text_cols: str, text: Column | None = None, places: bool = False, path: str | None = None) -> Index:
+        spark = records.sparkSession
+        path = path or f"{shared_dir(spark)}/tidemark/index-{uuid.uuid4().hex}"
+        raw = staged(postings(records, *text_cols, text=text, places=places), "postings")
+        counted = staged(document_frequencies(raw), "frequencies")
+        sums = counted.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).head().n
+        hot = F.col("df") > max(sums // SHARES, SALTS)
+        buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        terms = counted.withColumn("salts", F.when(hot, SALTS).otherwise(1))
+        # fewer than SHARES terms are hot
+        warm = F.broadcast(terms.where("salts > 1").select("term", "salts"))
+        dealt = raw.join(warm, "term", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
+        bucketed.write(dealt.select("term", "salt", "id", "tf", "doc_len", "places"), f"{path}/postings", _POSTING, ["term", "salt"], buckets)
+        terms.write.parquet(f"{path}/frequencies")
+        length = raw.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).head().n
+        n = records.count()
+        spark.createDataFrame([(float(n), length / n if n else 0.0, buckets)], "n_docs double, avg_len double, buckets int").coalesce(1).write.parquet(f"{path}/numbers")
+        return Index.open(spark, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> Index:
+        found = spark.read.parquet(f"{path}/numbers").head()
+        rows = bucketed.read(spark, f"{path}/postings", _POSTING, ["term", "salt"], found.buckets)
+        return Index(rows, spark.read.parquet(f"{path}/frequencies"), found.n_docs, found.avg_len)
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """The postings of terms (term, ...), with the columns of ``terms`` and df: the terms are exchanged to the buckets, not the postings."""
+        known = terms.join(self.frequencies, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        return self.postings.join(known.drop("salts"), ["term", "salt"]).drop("salt")
+
+    def frequencies_of(self, terms: DataFrame, ceiling: int) -> DataFrame:
+        """(term, df): how many records have a term, cut off above the ceiling; 0 for terms of none."""
+        own = terms.select("term").distinct().join(self.frequencies, "term", "left")
+        return own.select("term", F.least(F.coalesce("df", F.lit(0)), F.lit(ceiling + 1)).cast("long").alias("df"))
+
+    def gain(self) -> Column:
+        f = F.col("tf").cast("double")
+        weight = idf(F.lit(self.n_docs), F.col("df").cast("double"))
+        return weight * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("doc_len") / F.lit(self.avg_len)))
+
+    def is_floor(self) -> Column:
+        return idf(F.lit(self.n_docs), F.col("df").cast("double")) <= IDF_FLOOR
+
+    def scores(self, terms: DataFrame) -> DataFrame:
+        """(query_id, id, score): the positive BM25 score of every record that shares a term with a query (query_id, term)."""
+        times = F.col("times") if "times" in terms.columns else F.lit(1)
+        return self.of(terms).groupBy("query_id", "id").agg(F.round(F.sum(self.gain() * times), 6).alias("score"))
+
+
+def versions(spark: SparkSession, root: str) -> Snapshots:
+    """Where indexes of snapshots are kept: version n of an index is that of version n of the records."""
+    return Snapshots(spark, root)
+
+
+def stored(spark: SparkSession, root: str, version: int, records: DataFrame, *text_cols: str, **how) -> Index:
+    """The index of a snapshot's records: opened if it has been built before, else built, and swapped in whole by a rename."""
+    own = versions(spark, root)
+    path = f"{own.root}/v{version:08d}"
+    if version not in own.versions():
+        made = f"{own.root}/staging-{uuid.uuid4().hex}"
+        Index.build(records, *text_cols, path=made, **how)
+        own.publish(made, version)
+    return Index.open(spark, path)
 
 
 def top(scored: DataFrame, k: int, *partition: str, order: tuple = ()) -> DataFrame:
@@ -73,10 +145,58 @@ def top(scored: DataFrame, k: int, *partition: str, order: tuple = ()) -> DataFr
     return scored.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= k)
 
 
+def best(
+    terms: DataFrame,
+    index: Index,
+    k: int,
+    requests: DataFrame | None = None,
+    records: DataFrame | None = None,
+    statuses: tuple[str, ...] = (),
+    by_status: bool = False,
+    order: tuple = (),
+) -> DataFrame:
+    """The k best records of each query (query_id, term), or of each query and status, as ``top`` of all scores would give them.
+
+    ``requests``, ``records`` and ``statuses`` limit the records to those that a request may see. Terms of a floor weight are only joined for records that
+    the other terms have put among the best k and SPARE more, unless they could lift another record there.
+    """
+    times = F.col("times") if "times" in terms.columns else F.lit(1)
+    partition = ("query_id", "status") if by_status else ("query_id",)
+    weighed = staged(terms.join(index.frequencies.select("term", F.col("df").alias("n_df")), "term").withColumn("floor", idf(F.lit(index.n_docs), F.col("n_df").cast("double")) <= IDF_FLOOR).drop("n_df"), "terms")
+    bound = weighed.groupBy("query_id").agg((F.sum(F.when(F.col("floor"), times)) * (IDF_FLOOR * (K1 + 1)) + 2e-6).alias("bound"))
+
+    def seen(scored: DataFrame) -> DataFrame:
+        return scored if records is None else scoped(scored, requests, records, statuses)
+
+    first = index.of(weighed.where("not floor").drop("floor")).groupBy("query_id", "id").agg(F.sum(index.gain() * times).alias("part"))
+    head = staged(top(seen(first.withColumn("score", F.round("part", 6))), k + SPARE, *partition, order=order), "head")
+    # a partition is settled if no record outside of the head can come to the best k by its floor terms
+    edges = head.groupBy(*partition).agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("rank") <= k, F.col("score"))).alias("kth"), F.min("score").alias("last")
+    ).join(bound, "query_id")
+    reach = F.when(F.col("n") == k + SPARE, F.col("last")).otherwise(0.0) + F.col("bound")
+    sure = F.col("bound").isNull() | ((F.col("n") >= k) & (F.col("kth") > reach))
+    settled = edges.where(sure).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") == (len(statuses) if by_status else 1))
+    none = bound.where("bound is null").select("query_id")
+    settled = staged(settled.select("query_id").unionByName(none).distinct(), "settled")
+
+    floor = weighed.where("floor").drop("floor")
+    wanted = head.join(settled, "query_id", "left_semi")
+    more = index.of(floor.join(settled, "query_id", "left_semi")).select("query_id", "id", (index.gain() * times).alias("more"))
+    added = more.join(wanted.select("query_id", "id"), ["query_id", "id"]).groupBy("query_id", "id").agg(F.sum("more").alias("more"))
+    near = wanted.join(added, ["query_id", "id"], "left")
+    near = near.withColumn("score", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), 6)).drop("part", "more", "rank")
+    rest = weighed.drop("floor").join(settled, "query_id", "left_anti")
+    if not rest.isEmpty():
+        near = near.unionByName(seen(index.scores(rest)).select(near.columns))
+    return top(near, k, *partition, order=order)
+
+
 def visible(requests: DataFrame, records: DataFrame) -> DataFrame:
     """(query_id, record columns) of what a request may see: records of scope user, and those of its project.
 
-    Two equi joins in place of one join on ``scope = 'user' or project``, which would be a nested loop.
+    Two equi joins in place of one join on ``scope = 'user' or project``, which would be a nested loop. Records of scope
+    user are met by every request, which are a stated query set, in blocks of bounded size.
     """
     own = requests.select("query_id", F.col("project_key").alias("for_project"))
     shared = records.where("scope = 'user'")
@@ -92,12 +212,19 @@ def scoped(scored: DataFrame, requests: DataFrame, records: DataFrame, statuses:
     return met.where((F.col("scope") == "user") | (F.col("project_key") == F.col("for_project"))).drop("for_project")
 
 
-def status_pools(scored: DataFrame, limit: int) -> DataFrame:
-    """A relevance pool of max(8 * limit, 24) from each state, then all of a query's pools in one order."""
-    pool = max(8 * limit, 24)
-    ranked = top(scored, pool, "query_id", "status", order=(F.desc("verified_count"),)).withColumnRenamed("rank", "pool_rank")
+def pool_size(limit: int) -> int:
+    return max(8 * limit, 24)
+
+
+def status_pools(terms: DataFrame, index: Index, limit: int, requests: DataFrame, records: DataFrame, statuses: tuple[str, ...] = ("active", "stale")) -> DataFrame:
+    """A relevance pool of each state, then all of a query's pools in one order: active first, then by score."""
+    ranked = best(terms, index, pool_size(limit), requests, records, statuses, by_status=True, order=(F.desc("verified_count"),))
+    return in_one_order(ranked.withColumnRenamed("rank", "pool_rank"))
+
+
+def in_one_order(pools: DataFrame) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("status") == "active", 0).otherwise(1), F.desc("score"), F.desc("verified_count"), "id")
-    return ranked.withColumn("position", F.row_number().over(order).cast("long"))
+    return pools.withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def like_fallback(requests: DataFrame, records: DataFrame, direct: DataFrame, limit: int) -> DataFrame:
@@ -108,7 +235,7 @@ def like_fallback(requests: DataFrame, records: DataFrame, direct: DataFrame, li
     seen = (F.col("scope") == "user") | (F.col("project_key") == F.col("for_project"))
     holds = F.contains(F.lower("title"), F.lower("query")) | F.contains(F.lower("content"), F.lower("query"))
     met = union_all([records.join(b, seen & holds) for b in broadcast_blocks(asked, "query_id")])
-    by = Window.partitionBy("query_id").orderBy(F.when(F.col("status") == "stale", 1).otherwise(0), F.desc("verified_count"), "id")
+    by = Window.partitionBy("query_id").orderBy(F.when(F.col("status") == "archived", 2).when(F.col("status") == "stale", 1).otherwise(0), F.desc("verified_count"), "id")
     return met.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= limit).select("query_id", "id", "rank")
 
 
@@ -120,7 +247,32 @@ def anchors(terms: DataFrame, frequencies: DataFrame, max_df: int = 6, keep: int
 
 
 def pinned(pool: DataFrame, holds: DataFrame) -> DataFrame:
-    """A pool with the records that hold a query's rarest identifier first; state, reviews and the former order decide ties."""
+    """A pool with the records that hold a query's rarest identifier first, by state and reviews; the former order decides ties and all the rest."""
     met = pool.join(holds.select("query_id", "id", F.lit(1).alias("pin")), ["query_id", "id"], "left").fillna(0, ["pin"])
-    by = Window.partitionBy("query_id").orderBy(F.desc("pin"), F.when(F.col("status") == "stale", 1).otherwise(0), F.desc("verified_count"), "position")
+    held = F.col("pin") == 1
+    state = F.when(held, F.when(F.col("status") == "archived", 2).when(F.col("status") == "stale", 1).otherwise(0)).otherwise(0)
+    by = Window.partitionBy("query_id").orderBy(F.desc("pin"), state, F.when(held, -F.col("verified_count")).otherwise(0), "position")
     return met.withColumn("pinned_position", F.row_number().over(by).cast("long"))
+
+
+def phrases(index: Index, terms: DataFrame) -> Index:
+    """An index that also knows the phrases among ``terms``: index tokens in a row, parted by spaces. It needs places.
+
+    Postings of a phrase's tokens are joined by record and place, one token after the other, for the phrases asked for only.
+    """
+    asked = terms.select(F.col("term").alias("phrase"), F.split("term", " ").alias("t")).where(F.size("t") > 1).distinct()
+    asked = staged(asked, "phrases")
+    longest = asked.agg(F.max(F.size("t")).alias("n")).head().n
+    if longest is None:
+        return index
+    parts = staged(index.of(asked.select(F.explode("t").alias("term")).distinct()).select("id", "term", "doc_len", F.explode("places").alias("place")), "places")
+    met = parts.join(asked.withColumn("term", F.element_at("t", 1)), "term").select("phrase", "t", "id", "doc_len", "place")
+    done = []
+    for n in range(2, longest + 1):
+        step = parts.select("id", F.col("term").alias("next"), (F.col("place") - (n - 1)).cast("int").alias("place"))
+        met = met.where(F.size("t") >= n).withColumn("next", F.try_element_at("t", F.lit(n))).join(step, ["id", "place", "next"]).drop("next")
+        done.append(met.where(F.size("t") == n).select("phrase", "id", "doc_len"))
+    found = staged(union_all(done).groupBy("phrase", "id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")), "phrase-postings")
+    own = found.select(F.col("phrase").alias("term"), F.lit(0).alias("salt"), "id", "tf", "doc_len", F.lit(None).cast("array<int>").alias("places"))
+    counts = document_frequencies(own).withColumn("salts", F.lit(1))
+    return Index(index.postings.unionByName(own), index.frequencies.unionByName(counts), index.n_docs, index.avg_len)

@@ -15,19 +15,13 @@ def numbered(rows: DataFrame, keys: list, order: list, name: str = "n") -> DataF
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
-def publish(requests: DataFrame, shown: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(candidates, duplicate evidence): of equal requests the earliest becomes a record, the others confirm it.
-
-    Requests are equal by their whole content; ``shown`` is the part of it that content_hash is taken of, if not all.
-    """
-    own = lambda content: content_hash(F.col("project_key"), F.col("scope"), F.col("knowledge_type"), F.col("title"), content)
-    hashed = requests.withColumn("whole_hash", own(F.col("content")))
-    hashed = hashed.withColumn("content_hash", F.col("whole_hash") if shown is None else own(shown))
-    ranked = numbered(hashed, ["whole_hash"], ["created_at", "id"])
+def publish(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, duplicate evidence): of equal requests the earliest becomes a record, the others confirm it."""
+    own = content_hash(F.col("project_key"), F.col("scope"), F.col("knowledge_type"), F.col("title"), F.col("content"))
+    ranked = numbered(requests.withColumn("content_hash", own), ["content_hash"], ["created_at", "id"])
     first = ranked.where("n = 1").drop("n")
-    again = ranked.where("n > 1").select("whole_hash", "content_hash", F.col("id").alias("request_id"), "source_agent", F.lit("confirmed_duplicate").alias("outcome"))
-    met = again.join(first.select("whole_hash", F.col("id").alias("knowledge_id")), "whole_hash")
-    return first.drop("whole_hash"), met.drop("whole_hash")
+    again = ranked.where("n > 1").select("content_hash", F.col("id").alias("request_id"), "source_agent", F.lit("confirmed_duplicate").alias("outcome"))
+    return first, again.join(first.select("content_hash", F.col("id").alias("knowledge_id")), "content_hash")
 
 
 def body_duplicates(requests: DataFrame, records: DataFrame) -> DataFrame:

@@ -39,16 +39,20 @@ class Snapshots:
             if keys := (partition_by or {}).get(name):
                 writer = writer.partitionBy(*keys)
             writer.parquet(f"{staging}/{name}")
+        self.publish(staging, base + 1)
+        return base + 1
+
+    def publish(self, staging: str, version: int) -> None:
+        """Shows a folder that has been written to its end as a version, unless there is one already."""
         files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self._conf)
         kind = self._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(kind, 1)
         options[0] = getattr(kind, "NONE")
         try:
-            files.rename(self._path(staging), self._path(f"{self.root}/v{base + 1:08d}"), options)
+            files.rename(self._path(staging), self._path(f"{self.root}/v{version:08d}"), options)
         except Exception as e:
             self._fs.delete(self._path(staging), True)
-            raise Conflict(f"version {base + 1}") from e
-        return base + 1
+            raise Conflict(f"version {version}") from e
 
     def vacuum(self, keep: int = 2) -> None:
         for v in self.versions()[:-keep]:

@@ -5,14 +5,21 @@ Each adapter is a projection: filters and column choices made on top of it reach
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import composite_identifiers
 from ..plans.staging import broadcast_blocks, union_all
 
 #: The moment that lifecycle queries look at the relations from; logic never asks for the current time.
 AS_OF = "2024-04-30 00:00:00"
+#: A text's first sentence.
+TITLE = r"^[^.!?\n]*"
+#: Longer queries are refused, never cut.
+MAX_QUERY = 500
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +27,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def knowledge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus: whole documents with their labels as review outcomes."""
+    """The corpus: whole documents with their labels as review outcomes.
+
+    A document has neither a title nor search terms of its own: its first sentence is the one, the composite identifiers of
+    its whole text are the other.
+    """
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     d = docs.join(labels, "doc_id", "left")
     kinds = ("fact", "preference", "procedure", "decision")
@@ -35,7 +46,8 @@ def knowledge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     created = F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") * 137 % 2880) * 3600)
     return d.select(
         F.col("doc_id").alias("id"),
-        F.substring("text", 1, 80).alias("title"),
+        F.regexp_extract("text", TITLE, 0).alias("title"),
+        F.array_join(F.array_sort(composite_identifiers(F.col("text"))), " ").alias("search_terms"),
         F.col("text").alias("content"),
         F.col("source").alias("project_key"),
         F.col("lang").alias("source_agent"),
@@ -48,11 +60,6 @@ def knowledge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stated(records: DataFrame) -> DataFrame:
-    """Records with as much content as the SQL of the scored queries states: its first 8000 characters."""
-    return records.withColumn("content", F.substring("content", 1, 8000))
-
-
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review outcomes, one row each: verified where quality is 1, rejected where toxic is 1."""
     rows = read(spark, sf_dir, "labels").select(
@@ -66,20 +73,34 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_requests(spark: SparkSession, sf_dir: str, project: str = "src0") -> DataFrame:
-    return read(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.substring("text", 1, 500).alias("query"), F.lit(project).alias("project_key")
-    )
+    own = read(spark, sf_dir, "benchmark").where(F.char_length("text") <= MAX_QUERY)
+    return own.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(project).alias("project_key"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, id): the documents that quote the first 60 characters of a passage."""
-    heads = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
+    """(query_id, id): the documents that quote a passage."""
+    return quoting(spark, sf_dir, F.col("text"))
+
+
+def quoting(spark: SparkSession, sf_dir: str, quote: Column) -> DataFrame:
+    """(query_id, id): the documents that hold what ``quote`` takes of a passage."""
+    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), quote.alias("quote")).where("quote <> ''")
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     # passages are a stated query set against all rows, in blocks of bounded size
-    met = [docs.join(b, F.col("text").contains(F.col("head"))) for b in broadcast_blocks(heads, "query_id")]
+    met = [docs.join(b, F.col("text").contains(F.col("quote"))) for b in broadcast_blocks(passages, "query_id")]
     return union_all(met).select("query_id", "id")
 
 
+def snapshot_name(spark: SparkSession, sf_dir: str, *tables: str) -> str:
+    """A name for the content of tables, by the paths, sizes and times of their files: what was derived from them is found by it."""
+    jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in [f for t in tables for f in read(spark, sf_dir, t).inputFiles()]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log; success is unknown (null) unless the event says so."""
     success = F.when(F.col("event_type") == "error", False).when(F.col("event_type") == "purchase", True)

@@ -113,35 +113,46 @@ def codex(lines: DataFrame) -> DataFrame:
     return _flat(lines, F.array(event))
 
 
-def _fold_gemini(pdf: pd.DataFrame) -> pd.DataFrame:
-    """An ordered log of one file: upserts by id, rewinds that drop a message and all after it, and checkpoints."""
-    import json
-
-    live: dict[str, dict] = {}
-    for line in pdf.sort_values("n")["line"]:
-        try:
-            item = json.loads(line)
-        except ValueError:
-            continue
-        if not isinstance(item, dict):
-            continue
-        batch = item["$set"].get("messages") if isinstance(item.get("$set"), dict) else item.get("messages")
-        if "$rewindTo" in item:
-            ids = list(live)
-            for gone in ids[ids.index(item["$rewindTo"]) if item["$rewindTo"] in live else 0 :]:
-                live.pop(gone)
-        elif isinstance(batch, list):
-            kept = {m["id"]: m for m in batch if isinstance(m, dict) and m.get("id")}
-            live = kept if "$set" in item else live | kept
-        elif item.get("id"):
-            live[item["id"]] = item
-    path = pdf["path"].iloc[0] if len(pdf) else ""
-    return pd.DataFrame({"path": path, "n": range(len(live)), "line": [json.dumps(m) for m in live.values()]}, columns=["path", "n", "line"])
+_MESSAGES = "array<struct<id:string,line:string>>"
+
+
+def _gemini_steps(lines: DataFrame) -> DataFrame:
+    """(path, n, i, kind, id, line): what a log's lines do to the list of messages: reset it, rewind it to an id, or put a message."""
+    keys = F.coalesce(F.json_object_keys("line"), F.array().cast("array<string>"))
+    set_ = F.get_json_object("line", "$['$set'].messages")
+    batch = F.from_json(F.coalesce(set_, _get("$.messages")), "array<string>")
+    put = lambda text: F.struct(F.lit("put").alias("kind"), F.get_json_object(text, "$.id").alias("id"), text.alias("line"))
+    mark = lambda kind, id_: F.struct(F.lit(kind).alias("kind"), id_.cast("string").alias("id"), F.lit(None).cast("string").alias("line"))
+    puts = F.transform(batch, put)
+    steps = (
+        F.when(F.array_contains(keys, "$rewindTo"), F.array(mark("rewind", F.get_json_object("line", "$['$rewindTo']"))))
+        .when(set_.isNotNull() & batch.isNotNull(), F.concat(F.array(mark("reset", F.lit(None))), puts))
+        .when(batch.isNotNull(), puts)
+        .otherwise(F.array(put(F.col("line"))))
+    )
+    found = lines.where(F.size(keys) > 0).select("path", "n", F.posexplode(steps).alias("i", "s")).select("path", "n", "i", "s.*")
+    return found.where("kind <> 'put' or coalesce(id, '') <> ''")
+
+
+def _after(live: Column, step: Column) -> Column:
+    """A list of messages after one step: a rewind cuts from its message on, or everything where it names none; a put replaces in place."""
+    ids = F.transform(live, lambda m: m["id"])
+    at = F.array_position(ids, F.coalesce(step["id"], F.lit(""))).cast("int")
+    empty, own = F.array().cast(_MESSAGES), F.struct(step["id"].alias("id"), step["line"].alias("line"))
+    replaced = F.transform(live, lambda m: F.when(m["id"] == step["id"], own).otherwise(m))
+    return (
+        F.when((step["kind"] == "reset") | ((step["kind"] == "rewind") & (at == 0)), empty)
+        .when(step["kind"] == "rewind", F.slice(live, F.lit(1), F.greatest(at - 1, F.lit(0))))
+        .when(at == 0, F.array_append(live, own))
+        .otherwise(replaced)
+    )
 
 
 def gemini(lines: DataFrame) -> DataFrame:
-    """Logs are folded per file, which the tail bounds; the folded messages are events like any others."""
-    rows = lines.groupBy("path").applyInPandas(_fold_gemini, "path string, n long, line string")
+    """A log is a list of steps, which are folded in order, for each file within the tail's bound; the messages left are events like any others."""
+    steps = _gemini_steps(lines).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("n", "i", "kind", "id", "line"))).alias("steps"))
+    live = F.aggregate("steps", F.array().cast(_MESSAGES), _after)
+    rows = steps.select("path", F.posexplode(live).alias("n", "m")).select("path", F.col("n").cast("long").alias("n"), "m.line")
     said = _event(F.when(_get("$.type") == "user", "user").otherwise("assistant"), key=_get("$.id"), text=F.when(_get("$.content").startswith("["), _joined_plain(_get("$.content"))).otherwise(_get("$.content")))
     calls = F.coalesce(F.from_json(_get("$.toolCalls"), "array<struct<id:string,name:string,args:string,status:string,result:string>>"), F.array().cast("array<struct<id:string,name:string,args:string,status:string,result:string>>"))
     asked = F.transform(calls, lambda c: _event("call", call_id=c["id"], name=c["name"], input=c["args"]))
@@ -153,38 +164,54 @@ def _joined_plain(content: Column) -> Column:
     return F.array_join(F.transform(F.from_json(content, "array<struct<text:string,thought:boolean>>"), lambda b: F.when(~F.coalesce(b["thought"], F.lit(False)), b["text"])), "\n")
 
 
-def _walk_branch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The persisted branch of one file: from its newest leaf to the root; a broken edge ends it, a cycle empties it."""
-    import json
-
-    items = []
-    for n, line in pdf.sort_values("n")[["n", "line"]].itertuples(index=False):
-        try:
-            item = json.loads(line)
-        except ValueError:
-            continue
-        if isinstance(item, dict):
-            items.append((n, line, item))
-    turn = {"message", "function_call", "function_call_output", "function_call_result"}
-    leaves = [x for x in items if x[2].get("type") in turn]
-    kept = items
-    if leaves and any("parentId" in i or "logicalParentId" in i for _, _, i in items):
-        by_id = {i["id"]: (n, line, i) for n, line, i in items if isinstance(i.get("id"), str)}
-        kept, seen, at = [], set(), leaves[-1]
-        while at is not None:
-            if at[2].get("id") in seen:
-                kept = []
-                break
-            seen.add(at[2].get("id"))
-            kept.append(at)
-            at = by_id.get(at[2].get("parentId") or at[2].get("logicalParentId"))
-        kept.reverse()
-    path = pdf["path"].iloc[0] if len(pdf) else ""
-    return pd.DataFrame({"path": path, "n": range(len(kept)), "line": [x[1] for x in kept]}, columns=["path", "n", "line"])
+#: Kinds of entries that may end a branch.
+TURN_TYPES = ("message", "function_call", "function_call_output", "function_call_result")
+
+
+def branches(lines: DataFrame) -> DataFrame:
+    """(path, nodes, cycle): the numbers of the lines of each file's newest branch, from its newest turn up to the root.
+
+    A file without any parent is one branch. An edge to an id that is not there ends the branch; one that comes back to it is a cycle.
+    The edges of one file, which the tail bounds, are a map that a fold looks the next parent up in.
+    """
+    flag = lambda name: F.coalesce(_get(f"$.providerData.{name}") == "true", F.lit(False))
+    keys = F.json_object_keys("line")
+    parent = F.coalesce(F.nullif(_get("$.parentId"), F.lit("")), _get("$.logicalParentId"))
+    nodes = lines.where(keys.isNotNull()).select(
+        "path", "n", _get("$.id").alias("id"), parent.alias("parent"), (_get("$.type").isin(*TURN_TYPES) & ~flag("isCompactInternal")).alias("turn"),
+        (F.array_contains(keys, "parentId") | F.array_contains(keys, "logicalParentId")).alias("edge"),
+    )
+    node = F.struct("n", "parent", "id")
+    by_id = nodes.where("id is not null").groupBy("path", "id").agg(F.max_by(node, "n").alias("node"))
+    known = by_id.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("id", "node"))).alias("known"))
+    files = nodes.groupBy("path").agg(
+        F.max_by(node, F.when(F.coalesce("turn", F.lit(False)), F.col("n"))).alias("leaf"), F.bool_or("edge").alias("edges"), F.array_sort(F.collect_list("n")).alias("all"), F.count("*").alias("size"),
+    )
+    met = files.join(known, "path", "left")
+    start = F.struct(F.col("leaf").alias("at"), F.array().cast("array<long>").alias("kept"), F.lit(False).alias("cycle"))
+
+    def up(s: Column, _: Column) -> Column:
+        again = F.array_contains(s["kept"], s["at"]["n"])
+        nxt = F.try_element_at(F.col("known"), s["at"]["parent"])
+        moved = F.struct(nxt.alias("at"), F.array_append(s["kept"], s["at"]["n"]).alias("kept"), s["cycle"].alias("cycle"))
+        stopped = F.struct(F.when(F.lit(False), s["at"]).alias("at"), s["kept"].alias("kept"), F.lit(True).alias("cycle"))
+        return F.when(s["at"].isNull(), s).when(again, stopped).otherwise(moved)
+
+    walked = F.aggregate(F.sequence(F.lit(0), F.col("size")), start, up)
+    branched = F.col("edges") & F.col("leaf").isNotNull()
+    return met.withColumn("w", walked).select("path", F.when(branched, F.reverse("w.kept")).otherwise(F.col("all")).alias("nodes"), (branched & F.col("w.cycle")).alias("cycle"))
+
+
+def dead_letters(lines: DataFrame) -> DataFrame:
+    """(path, reason): files of this format that have no turn to read, because their branch is a cycle."""
+    return branches(lines).where("cycle").select("path", F.lit("branch_contains_a_cycle").alias("reason"))
 
 
 def codebuddy(lines: DataFrame) -> DataFrame:
-    rows = lines.groupBy("path").applyInPandas(_walk_branch, "path string, n long, line string")
+    """Entries that are internal to a compaction hold a branch together and say nothing; files with a cycle are dead letters."""
+    own = branches(lines).where("not cycle").select("path", F.posexplode("nodes").alias("place", "n"))
+    rows = lines.join(own, ["path", "n"]).select("path", F.col("place").cast("long").alias("n"), "line")
+    rows = rows.where(~F.coalesce(_get("$.providerData.isCompactInternal") == "true", F.lit(False)))
     rows = rows.where(~F.coalesce(_get("$.providerData.isMeta") == "true", F.lit(False)))
     kind, call_id = _get("$.type"), F.coalesce(_get("$.callId"), _get("$.call_id"))
     what = (
