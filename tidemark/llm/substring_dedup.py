@@ -262,9 +262,12 @@ def hits(docs: DataFrame, hot: int = HOT) -> DataFrame:
         runs.groupBy("anchor", "a", "b").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("one")),
         "kinds",
     )
-    whole = runs.join(kinds.where("times > 1").select("anchor", "a", "b").hint("merge"), ["anchor", "a", "b"]).select(
-        "doc_id", "text_hash", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end")
-    )
+    keys = ["anchor", "a", "b"]
+    # kinds with more than a SHARES-th of the runs are fewer than that too: their runs stay where they are
+    often = F.broadcast(kinds.where(F.col("times") > max(1, total // SHARES)).select(keys))
+    twice = kinds.where("times > 1").select(keys)
+    seldom = runs.join(often, keys, "left_anti").join(twice.hint("merge"), keys)
+    whole = runs.join(often, keys).unionByName(seldom).select("doc_id", "text_hash", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end"))
     # 3. anchors with several different runs; of equal runs one stands for all
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     edges = kinds.join(mixed.hint("merge"), "anchor").select("anchor", "kinds", "one.*")
