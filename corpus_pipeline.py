@@ -1,6 +1,10 @@
 """A corpus pipeline over `documents`: each stage works on all that the one before has kept.
 
 language ID -> exact deduplication -> near-deduplication -> benchmark decontamination -> byte-level BPE
+
+Defined results: a row with a null or empty text, or one without a letter, goes at the first stage, so that no later stage sees it; a null id, language or
+source stays as it is; of rows that are repeated with their id one stays; very long texts are read whole; an empty table gives an empty result; columns
+that documents has besides stay up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, exact_dedup, langid, minhash
-from tidemark.llm.common import fresh_path, table
+from tidemark.llm.common import fresh_path, scratch, table
 from tidemark.llm.queries import tokenizer
 
 
@@ -64,6 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        # what a stage has staged is not needed once its rows are written
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

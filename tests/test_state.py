@@ -155,12 +155,16 @@ def test_zero_denominators(spark):
 def test_percentiles(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 21)] + [(None,)], "v double")
     assert df.agg(metrics.nearest_rank("v", 0.95).alias("x")).head().x == 19.0
-    assert df.agg(metrics.at_place("v", 0.95, 0.0).alias("x")).head().x == 19.0
+    assert metrics.at_place(df, "v", 0.95, 0.0).head().x == 19.0
+    two = df.withColumn("g", F.lit(1)).union(spark.createDataFrame([(5.0, 2), (5.0, 2), (7.0, 2)], "v double, g int"))
+    assert {(r.g, r.x) for r in metrics.at_place(two, "v", 0.5, 0.5, "g").collect()} == {(1, 10.0), (2, 5.0)}
 
 
 def test_versions(spark):
     claims = spark.createDataFrame([(1, "s", "a"), (2, "s", "b"), (3, "s", "a"), (4, "t", "a")], "id long, slot string, value string")
-    assert {(r.id, r.peer_id) for r in versions.peers(claims).select("id", "peer_id").collect()} == {(1, 2), (2, 1), (2, 3), (3, 2)}
+    # 1 and 3 claim the same, and the first of them speaks for both
+    assert {(r.id, r.peer_id) for r in versions.peers(claims).collect()} == {(1, 2), (2, 1)}
+    assert {(r.slot, r.value, r.id, r.n_records) for r in versions.standpoints(claims).collect()} == {("s", "a", 1, 2), ("s", "b", 2, 1), ("t", "a", 4, 1)}
     assert {(r.id, r.n_peers) for r in versions.peer_counts(claims).collect()} == {(1, 1), (2, 2), (3, 1), (4, 0)}
 
 

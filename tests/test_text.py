@@ -103,11 +103,11 @@ SCHEMA = """id long, title string, content string, scope string, knowledge_type
     "query, change, want",
     [
         ("ledger colours", {}, None),
-        ("ledger colours", {"superseded_by": "9"}, "superseded"),
+        ("ledger colours", {"superseded_by": "9"}, "superseded_version"),
         ("previous decision on ledger colours", {"superseded_by": "9"}, None),
         ("previous decision on ledger", {"status": "archived"}, "ordinary_archive_not_version_history"),
-        ("ledger", {"claim_fingerprint": "a", "fingerprint": "b"}, "claim_fingerprint_changed"),
-        ("ledger", {"claim_conflicted": True}, "conflicting_versions"),
+        ("ledger", {"claim_fingerprint": "a", "fingerprint": "b"}, "assertion_source_changed"),
+        ("ledger", {"claim_conflicted": True}, "unresolved_value_conflict"),
         ("do not use any memory for the ledger", {}, "memory_opt_out"),
         ("ledger", {"content": "This rule has been revoked."}, "explicitly_obsolete"),
         ("ledger", {"content": "See whether, if this rule is revoked, it applies."}, None),

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import patterns as P
 from .functions import text as tx
-from .operators import evaluate, expand, experiences, gates, governance, index, lifecycle, metrics, projections, reuse, search, versions
+from .operators import evaluate, expand, experiences, gates, governance, index, lifecycle, metrics, projections, reports, reuse, search, statements, versions
 from .sources import adapters as src
 from .plans.staging import shared_dir
 from .schemas import with_defaults
@@ -30,7 +31,9 @@ _KR = rf"""kr AS (
          CASE WHEN quality IS NULL THEN 'candidate' WHEN toxic = 1 THEN 'quarantined' WHEN quality = 0 THEN 'archived'
               WHEN d.doc_id % 7 = 0 THEN 'stale' ELSE 'active' END AS status,
          CAST(coalesce(quality, 0) AS BIGINT) AS verified_count, CAST(coalesce(toxic, 0) AS BIGINT) AS rejected_count,
-         TIMESTAMP '2024-01-01' + to_hours(CAST(d.doc_id * 137 % 2880 AS INTEGER)) AS created_at
+         d.doc_id % 7 AS hit_count, d.doc_id % 3 AS adopted_count,
+         TIMESTAMP '2024-01-01' + to_hours(CAST(d.doc_id * 137 % 2880 AS INTEGER)) AS created_at,
+         TIMESTAMP '2024-01-01' + to_hours(CAST(d.doc_id * 137 % 2880 + d.doc_id % 50 AS INTEGER)) AS updated_at
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 _EV = """ev AS (
   SELECT doc_id AS knowledge_id, outcome,
@@ -285,14 +288,21 @@ def merge_plan(spark, sf_dir):
     return lifecycle.merge_plan(kr)
 
 
-@query(f"""WITH {_KR} SELECT id, status, knowledge_type, epoch(created_at)::BIGINT AS created_at FROM kr
-WHERE project_key = 'src3' AND status IN ('active', 'stale', 'candidate') AND scope = 'project' AND created_at >= TIMESTAMP '2024-01-05'
-  AND (contains(lower(title), 'the') OR contains(lower(content), 'the') OR contains(lower(source_agent), 'the')) ORDER BY created_at DESC, id LIMIT 100""")
+@query(f"""WITH {_KR}, f AS (SELECT *, count(*) OVER () AS total FROM kr
+WHERE scope = 'project' AND project_key = 'src3' AND status = 'active' AND updated_at >= TIMESTAMP '2024-01-05' AND updated_at <= TIMESTAMP '2024-04-20 23:59:59.999999'
+  AND (contains(lower(title), 'th') OR contains(lower(content), 'th') OR contains(lower(search_terms), 'th') OR contains(lower(source_agent), 'th') OR contains(lower(project_key), 'th')))
+SELECT id, status, knowledge_type, epoch(updated_at)::BIGINT AS updated_at, total FROM f ORDER BY updated_at DESC, id LIMIT 100 OFFSET 1""")
 def list_records_filtered(spark, sf_dir):
-    kr, q = src.knowledge_records(spark, sf_dir), F.lit("the")
-    holds = F.contains(F.lower("title"), q) | F.contains(F.lower("content"), q) | F.contains(F.lower("source_agent"), q)
-    own = kr.where((F.col("project_key") == "src3") & F.col("status").isin("active", "stale", "candidate") & (F.col("scope") == "project"))
-    return own.where((F.col("created_at") >= F.lit("2024-01-05").cast("timestamp")) & holds).orderBy(F.desc("created_at"), "id").limit(100).select("id", "status", "knowledge_type", epoch("created_at"))
+    kr = src.knowledge_records(spark, sf_dir)
+    page, total = lifecycle.list_records(kr, "src3", status="active", scope="project", query="Th", updated_from="2024-01-05", updated_to="2024-04-20", limit=100, offset=1)
+    return page.select("id", "status", "knowledge_type", epoch("updated_at")).crossJoin(total)
+
+
+@query(f"""WITH {_KR}, f AS (SELECT *, count(*) OVER () AS total FROM kr WHERE (scope = 'user' OR project_key = 'src1') AND knowledge_type = 'fact' AND source_agent = 'en')
+SELECT id, total FROM f ORDER BY updated_at DESC, id LIMIT 50""")
+def list_records_visible(spark, sf_dir):
+    page, total = lifecycle.list_records(src.knowledge_records(spark, sf_dir), "src1", knowledge_type="fact", source_agent="en", limit=50)
+    return page.select("id").crossJoin(total)
 
 
 @query(f"WITH {_KR} SELECT id, project_key, row_number() OVER (PARTITION BY project_key ORDER BY created_at, id) AS n FROM kr WHERE status = 'candidate' QUALIFY n <= 20")
@@ -333,7 +343,7 @@ def last_confirmed(spark, sf_dir):
 
 
 @query(f"""WITH {_LAST}, aged AS (SELECT *, (epoch_us(TIMESTAMP '{src.AS_OF}') - epoch_us(greatest(created_at, last_confirmed_at))) / 86400e6::DOUBLE AS days FROM lc),
-w AS (SELECT id, row_number() OVER (PARTITION BY project_key ORDER BY verified_count, created_at, id) AS weakness,
+w AS (SELECT id, row_number() OVER (PARTITION BY project_key ORDER BY verified_count, hit_count, adopted_count, updated_at, id) AS weakness,
              count(*) OVER (PARTITION BY project_key) AS n_active FROM kr WHERE status = 'active'),
 p AS (SELECT a.*, coalesce(weakness <= greatest(0, least(n_active - 12, n_active - 5)), false) AS over,
         CASE WHEN status IN ('active', 'stale') AND days >= 90 THEN 'archived' WHEN status = 'active' AND days >= 30 THEN 'stale'
@@ -346,7 +356,7 @@ def sweep_plan(spark, sf_dir):
     return lifecycle.sweep_plan(kr, src.AS_OF, capacity=12, floor=5)
 
 
-@query(f"""WITH {_KR}, w AS (SELECT id, project_key, row_number() OVER (PARTITION BY project_key ORDER BY verified_count, created_at, id) AS weakness,
+@query(f"""WITH {_KR}, w AS (SELECT id, project_key, row_number() OVER (PARTITION BY project_key ORDER BY verified_count, hit_count, adopted_count, updated_at, id) AS weakness,
 count(*) OVER (PARTITION BY project_key) AS n_active FROM kr WHERE status = 'active') SELECT * FROM w WHERE weakness <= least(n_active - 12, n_active - 5)""")
 def capacity_evictions(spark, sf_dir):
     return lifecycle.evictions(src.knowledge_records(spark, sf_dir), 12, 5).select("id", "project_key", "weakness", "n_active")
@@ -381,7 +391,7 @@ def transit_cas(spark, sf_dir):
  bool_or(outcome = 'verified') AS has_verified FROM ev GROUP BY 1)
 SELECT kr.id, CASE WHEN last_sound = 2 THEN 'quarantined'
    WHEN last_sound = 1 AND (status IN ('candidate', 'active', 'stale') OR kind = 'user_approval') THEN 'active' ELSE status END AS status,
- coalesce(adopted, 0) AS adopted_count, coalesce(verified, 0) + verified_count AS verified_count, coalesce(rejected, 0) + rejected_count AS rejected_count
+ coalesce(adopted, 0) + adopted_count AS adopted_count, coalesce(verified, 0) + verified_count AS verified_count, coalesce(rejected, 0) + rejected_count AS rejected_count
 FROM kr LEFT JOIN c USING (id)""")
 def feedback_fold(spark, sf_dir):
     feed = src.evidence(spark, sf_dir).select(
@@ -401,9 +411,16 @@ def _claims(spark, sf_dir):
 _CLAIMS = "claims AS (SELECT p_partkey AS id, p_brand || '|' || p_size AS slot, p_type AS value FROM part)"
 
 
-@query(f"WITH {_CLAIMS} SELECT a.id, b.id AS peer_id FROM claims a JOIN claims b USING (slot) WHERE a.id <> b.id AND a.value <> b.value")
+@query(f"""WITH {_CLAIMS}, v AS (SELECT slot, value, min(id) AS id FROM claims GROUP BY ALL)
+SELECT a.slot, a.id, a.value, b.id AS peer_id, b.value AS peer_value FROM v a JOIN v b USING (slot) WHERE a.value <> b.value""")
 def slot_peers(spark, sf_dir):
-    return versions.peers(_claims(spark, sf_dir)).select("id", "peer_id")
+    return versions.peers(_claims(spark, sf_dir))
+
+
+@query(f"WITH {_CLAIMS} SELECT c.id, s.slot, s.id AS standpoint FROM claims c JOIN (SELECT slot, value, min(id) AS id FROM claims GROUP BY ALL) s USING (slot, value)")
+def slot_members(spark, sf_dir):
+    claims = _claims(spark, sf_dir)
+    return claims.join(versions.standpoints(claims).select("slot", "value", F.col("id").alias("standpoint")), ["slot", "value"]).select("id", "slot", "standpoint")
 
 
 @query(f"WITH {_CLAIMS} SELECT slot, count(DISTINCT value) AS n_values, count(*) AS n_records, count(DISTINCT value) > 1 AS conflicted FROM claims GROUP BY 1")
@@ -545,10 +562,7 @@ def turn_pairs(spark, sf_dir):
 
 @query(f"WITH {_KR}, n AS (SELECT id, project_key, row_number() OVER (PARTITION BY project_key ORDER BY created_at, id) AS n, count(*) OVER (PARTITION BY project_key) AS total FROM kr) SELECT id, project_key FROM n WHERE n <= total // 2")
 def oldest_half_archive(spark, sf_dir):
-    kr = src.knowledge_records(spark, sf_dir)
-    sizes = kr.groupBy("project_key").agg(F.count("*").alias("total"))
-    own = lifecycle.numbered(kr, ["project_key"], ["created_at", "id"]).join(sizes, "project_key")
-    return own.where(F.col("n") <= F.floor(F.col("total") / 2)).select("id", "project_key")
+    return lifecycle.oldest_half(src.knowledge_records(spark, sf_dir)).select("id", "project_key")
 
 
 @query("""SELECT doc_id AS id, n AS chunk, length(substr(text, n * 8000 + 1, 8000))::BIGINT AS chars, sha256(substr(text, n * 8000 + 1, 8000)) AS digest
@@ -567,18 +581,21 @@ def redact_scan(spark, sf_dir):
     return d.select("id", (F.col("text") != F.col("out")).alias("changed"), F.char_length("out").cast("long").alias("chars"), F.sha2("out", 256).alias("digest"))
 
 
-@query(r"""SELECT conv_id, turn, regexp_matches(lower(text), '\b(before|previous|earlier|formerly)\b') AS historical,
- regexp_matches(lower(text), '\b(do not|don''t|without) (use|using|include|including|mention)\b') AS excludes, regexp_matches(lower(text), '\b(what is|explain|define)\b') AS general
-FROM conversations WHERE role = 'user'""")
+_SAYS = lambda text, pattern: f"regexp_matches({text}, '(?i){pattern}')"
+
+
+@query(rf"""WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'user'),
+s AS (SELECT *, regexp_replace(t, '{gates.DATA}', ' ', 'g') AS said FROM u),
+p AS (SELECT *, CASE WHEN {_SAYS('said', P.PIVOT)} THEN regexp_replace(said, '(?is)^.*((?:{P.PIVOT}))', '\1') ELSE t END AS pivoted FROM s),
+f AS (SELECT *, trim(regexp_replace(pivoted, '(?i){P.EXCLUSION}', ' ', 'g')) AS focus FROM p)
+SELECT conv_id, turn, {_SAYS('said', P.HISTORICAL)} AS historical, {_SAYS('said', P.MEMORY_DISABLED)} AS memory_disabled,
+ {_SAYS('focus', P.EXPLANATION)} AND NOT {_SAYS('focus', P.PERSONAL)} AS general_explanation, {_SAYS('said', P.EXCLUDES_PROJECT_SCOPE)} AS exclude_project_scope,
+ {_SAYS('said', P.EXCLUDES_PREFERENCES)} AS exclude_user_preferences, len(regexp_extract_all(said, '(?i){P.EXCLUSION}')) AS n_excluded FROM f""")
 def query_intent_flags(spark, sf_dir):
-    c = src.conversations(spark, sf_dir).where("role = 'user'")
-    has = lambda p: F.lower("text").rlike(p)
-    return c.select(
-        "conv_id", "turn",
-        has(r"\b(before|previous|earlier|formerly)\b").alias("historical"),
-        has(r"\b(do not|don't|without) (use|using|include|including|mention)\b").alias("excludes"),
-        has(r"\b(what is|explain|define)\b").alias("general"),
-    )
+    """The intent of each user turn."""
+    said = src.conversations(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", gates.query_intent(F.coalesce("text", F.lit(""))).alias("i"))
+    flags = ("historical", "memory_disabled", "general_explanation", "exclude_project_scope", "exclude_user_preferences")
+    return said.select("conv_id", "turn", *[F.col(f"i.{f}") for f in flags], F.size("i.excluded").cast("long").alias("n_excluded"))
 
 
 @query(f"WITH t AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS t FROM documents) SELECT id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms FROM t")
@@ -687,12 +704,21 @@ def admission_distribution(spark, sf_dir):
 def _traces(spark, sf_dir):
     """Traces made of orders: their lines are the items."""
     i = src.read(spark, sf_dir, "lineitem")
+    line = F.col("l_linenumber")
+    origin = F.when(line == 2, "sibling").when(line == 3, "bridged").when(line == 4, "anchored").when(line == 5, "lfhv_recovered").when(line == 6, "direct")
+    k = F.col("l_partkey") % 5
+    check = F.when(k == 0, "constraint_pass").when(k == 1, "constraint_fail").when(k == 2, "unchecked")
     item = F.struct(
-        F.col("l_partkey").alias("knowledge_id"), F.col("l_linenumber").alias("rank"), (F.col("l_returnflag") != "N").alias("emitted"),
-        (F.col("l_returnflag") == "A").alias("citation_observed"), (F.col("l_quantity") > 40).alias("source_attribution_observed"),
+        F.col("l_partkey").alias("knowledge_id"), line.alias("rank"), F.concat(F.lit("agent"), (F.col("l_suppkey") % 3).cast("string")).alias("source_agent"), origin.alias("origin"),
+        (F.col("l_returnflag") != "N").alias("emitted"), (F.col("l_returnflag") == "A").alias("citation_observed"), (F.col("l_quantity") > 40).alias("source_attribution_observed"),
+        check.alias("check_status"),
     )
     items = i.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(item).alias("items"))
-    o = src.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("task_success"))
+    ok = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F")
+    o = src.read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("agent"), (F.col("o_custkey") % 3).cast("string")).alias("agent_id"),
+        F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate").cast("timestamp")).alias("completed_at"), F.col("o_totalprice").alias("retrieval_ms"), ok.alias("task_success"),
+    )
     return o.join(items, "id")
 
 
@@ -701,11 +727,26 @@ def trace_item_filter(spark, sf_dir):
     return reuse.holding(_traces(spark, sf_dir), F.lit(7)).select("id", F.size("items").cast("long").alias("n_items"))
 
 
-@query("""WITH t AS (SELECT l_orderkey AS id, l_partkey AS k, l_returnflag <> 'N' AS emitted, l_returnflag = 'A' AS cited, l_quantity > 40 AS attributed,
- CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'F' END AS ok FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT count(DISTINCT id) AS turns, count(*) FILTER (emitted) AS emitted, count(*) FILTER (cited) AS cited, count(DISTINCT id) FILTER (emitted) AS turns_emitted,
-count(DISTINCT id) FILTER (cited) AS turns_cited, count(DISTINCT id) FILTER (cited OR attributed) AS turns_shown,
-count(DISTINCT id) FILTER (emitted AND ok) AS turns_successful, count(DISTINCT k) FILTER (emitted) AS records_emitted FROM t""")
+_TRACES = """tr AS (SELECT l_orderkey AS id, l_partkey AS k, l_returnflag <> 'N' AS emitted, l_returnflag = 'A' AS cited, l_quantity > 40 AS attributed,
+ 'agent' || (l_suppkey % 3) AS source, 'agent' || (o_custkey % 3) AS agent, o_orderstatus <> 'O' AS completed, o_totalprice AS ms,
+ CASE l_linenumber WHEN 2 THEN 'sibling' WHEN 3 THEN 'bridged' WHEN 4 THEN 'anchored' WHEN 5 THEN 'lfhv_recovered' WHEN 6 THEN 'direct' END AS origin,
+ CASE l_partkey % 5 WHEN 0 THEN 'constraint_pass' WHEN 1 THEN 'constraint_fail' WHEN 2 THEN 'unchecked' END AS checked,
+ CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'F' END AS ok FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+
+
+@query(f"""WITH {_TRACES}, x AS (SELECT *, coalesce(origin, 'direct') AS way, emitted AND source <> agent AS across FROM tr), m AS (SELECT DISTINCT id, ms FROM x),
+q AS (SELECT round(quantile_disc(ms, 0.5), 3) AS p50, round(quantile_disc(ms, 0.95), 3) AS p95 FROM m)
+SELECT count(DISTINCT id) AS turns, count(*) AS retrieved, count(*) FILTER (emitted) AS emitted, count(*) FILTER (way = 'direct') AS direct, count(*) FILTER (way = 'sibling') AS inferred,
+count(*) FILTER (way = 'bridged') AS bridged, count(*) FILTER (way = 'anchored') AS anchored, count(*) FILTER (way = 'lfhv_recovered') AS recovery_candidates,
+count(*) FILTER (way = 'lfhv_recovered' AND emitted) AS recovery_emitted, 0::BIGINT AS recovery_restored, count(*) FILTER (way = 'lfhv_recovered' AND NOT emitted) AS recovery_not_emitted,
+count(*) FILTER (emitted AND cited) AS cited, count(DISTINCT id) FILTER (emitted) AS turns_emitted, count(DISTINCT id) FILTER (emitted AND cited) AS turns_cited,
+count(DISTINCT id) FILTER (emitted AND attributed) AS turns_attributed, count(DISTINCT id) FILTER (emitted AND (cited OR attributed)) AS turns_shown,
+count(DISTINCT id) FILTER (emitted AND ok) AS turns_successful, count(DISTINCT k) FILTER (emitted) AS records_emitted, count(DISTINCT id) FILTER (across) AS cross_agent_turns_emitted,
+count(DISTINCT id) FILTER (across AND completed AND cited) AS cross_agent_turns_cited, count(DISTINCT id) FILTER (across AND completed AND attributed) AS cross_agent_turns_attributed,
+count(DISTINCT id) FILTER (across AND completed AND (cited OR attributed)) AS cross_agent_turns_shown,
+count(*) FILTER (emitted AND checked IN ('constraint_pass', 'constraint_fail')) AS checked, count(*) FILTER (across AND checked IN ('constraint_pass', 'constraint_fail')) AS cross_agent_checked,
+count(*) FILTER (emitted AND checked = 'constraint_pass') AS constraint_pass, count(*) FILTER (across AND checked = 'constraint_pass') AS cross_agent_constraint_pass,
+any_value(p50) AS retrieval_p50_ms, any_value(p95) AS retrieval_p95_ms FROM x, q""")
 def reuse_metrics(spark, sf_dir):
     return metrics.reuse_metrics(_traces(spark, sf_dir))
 
@@ -767,12 +808,129 @@ def evidence_ladder(spark, sf_dir):
 
 @query()
 def admission_user_turns(spark, sf_dir):
+    """What becomes of each user turn that quotes itself. Clause cuts look ahead, which SQL's patterns cannot; tests/test_statements.py has their cases."""
     said = src.conversations(spark, sf_dir).where("role = 'user'")
     made = said.select(
-        "conv_id", "turn", F.lit("durable").alias("declared"), F.lit("user").alias("role"), F.array("text").alias("quotes"),
-        F.col("text").alias("user_text"), F.lit("").alias("assistant_text"), F.lit(0).alias("n_tools"),
+        "conv_id", "turn", F.lit("durable").alias("declared"), F.lit("user").alias("role"), F.array(F.coalesce("text", F.lit(""))).alias("quotes"), F.lit("preference").alias("knowledge_type"),
+        F.coalesce("text", F.lit("")).alias("user_text"), F.lit("").alias("assistant_text"), F.lit(0).alias("n_tools"),
     )
-    return gates.admission(made).select("conv_id", "turn", "category", "reason", "proposed_scope")
+    return statements.admit(made).select("conv_id", "turn", "category", "reason", "admitted_as", F.array_join("kept", "\n").alias("kept"), "proposed_scope", "auto_accept")
+
+
+# ---------------------------------------------------------------- reports
+
+
+_RUNS3 = """r3 AS (SELECT o_custkey AS task_id, o_orderkey % 3 AS repeat, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'auto' WHEN o_orderpriority = '5-LOW' THEN 'oracle' ELSE 'baseline' END AS mode,
+ 'c' || (o_custkey % 4) AS category, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS success, o_orderpriority AS failure_kind, o_orderkey % 7 AS field_hits,
+ o_orderkey % 4 AS convention_hits, o_orderkey % 3 AS plain_hits, o_orderkey % 5 AS specific_hits, 5 AS specific_total FROM orders)"""
+
+
+def _mode_runs(spark, sf_dir):
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    return src.read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("task_id"), (k % 3).alias("repeat"), F.when(p.isin("1-URGENT", "2-HIGH"), "auto").when(p == "5-LOW", "oracle").otherwise("baseline").alias("mode"),
+        F.concat(F.lit("c"), (F.col("o_custkey") % 4).cast("string")).alias("category"), F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("success"),
+        p.alias("failure_kind"), (k % 7).alias("field_hits"), (k % 4).alias("convention_hits"), (k % 3).alias("plain_hits"), (k % 5).alias("specific_hits"), F.lit(5).alias("specific_total"),
+    )
+
+
+@query(f"""WITH {_RUNS3}, t AS (SELECT task_id, repeat, max(category) FILTER (mode = 'auto') AS category, max(success::INT) FILTER (mode = 'baseline') AS a, max(success::INT) FILTER (mode = 'auto') AS b,
+ max(success::INT) FILTER (mode = 'oracle') AS c FROM r3 GROUP BY ALL), w AS (SELECT *, a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AS whole FROM t)
+SELECT CASE grouping(category) WHEN 1 THEN 'all' ELSE category END AS category, count(*) FILTER (whole) AS complete_triples, count(*) FILTER (NOT whole) AS incomplete_triples,
+ round(avg(a) FILTER (whole), 6) AS baseline_rate, round(avg(b) FILTER (whole), 6) AS auto_rate, round(avg(c) FILTER (whole), 6) AS oracle_rate, round(avg(b - a) FILTER (whole), 6) AS auto_minus_baseline,
+ round(avg(c - b) FILTER (whole), 6) AS oracle_minus_auto, count(*) FILTER (whole AND b = 1 AND a = 0) AS helped, count(*) FILTER (whole AND b = 0 AND a = 1) AS harmed
+FROM w GROUP BY GROUPING SETS ((), (category)) HAVING grouping(category) = 1 OR (category IS NOT NULL AND count(*) FILTER (whole) > 0)""")
+def extended_paired(spark, sf_dir):
+    return reports.extended_paired(_mode_runs(spark, sf_dir))
+
+
+@query(f"WITH {_RUNS3} SELECT failure_kind, count(*) AS n FROM r3 WHERE success = false GROUP BY 1")
+def failure_kinds(spark, sf_dir):
+    return reports.failure_kinds(_mode_runs(spark, sf_dir))
+
+
+@query(f"""WITH {_RUNS3} SELECT mode, count(*) AS n, count(success) AS usable, count(*) - count(success) AS api_errors, round(avg(success::INT), 6) AS task_success_rate,
+ round(sum(field_hits) FILTER (success IS NOT NULL) / nullif(6.0::DOUBLE * count(success), 0), 6) AS field_compliance_rate,
+ round(sum(convention_hits) FILTER (success IS NOT NULL) / nullif(3.0::DOUBLE * count(success), 0), 6) AS convention_hit_rate,
+ round(sum(plain_hits) FILTER (success IS NOT NULL) / nullif(3.0::DOUBLE * count(success), 0), 6) AS plain_field_rate,
+ round(sum(specific_hits) FILTER (success IS NOT NULL) / nullif(sum(specific_total) FILTER (success IS NOT NULL)::DOUBLE, 0), 6) AS service_specific_rate FROM r3 GROUP BY 1""")
+def field_compliance(spark, sf_dir):
+    return reports.field_compliance(_mode_runs(spark, sf_dir))
+
+
+_CASES = """cs AS (SELECT 'c' || (event_id % 5) AS category, event_type <> 'error' AS decision_correct, CASE WHEN event_id % 3 > 0 THEN (event_id % 3) / 2.0::DOUBLE END AS evidence_recall,
+ event_id % 11 = 0 AS forbidden_injected, CASE WHEN event_id % 4 = 0 THEN event_id % 8 = 0 END AS shadow_candidate_found, CASE WHEN event_id % 6 = 0 THEN event_id % 12 = 0 END AS same_turn_recovery,
+ CASE event_type WHEN 'error' THEN false WHEN 'purchase' THEN true END AS answer_correct, value AS adapter_ms FROM events)"""
+
+
+@query(f"""WITH {_CASES} SELECT CASE grouping(category) WHEN 1 THEN 'all' ELSE category END AS category, count(*) AS cases, round(avg(decision_correct::INT), 6) AS decision_accuracy,
+ round(avg(evidence_recall), 6) AS positive_evidence_recall, round(avg(decision_correct::INT) FILTER (evidence_recall IS NULL), 6) AS abstention_clean_rate,
+ round(avg(forbidden_injected::INT), 6) AS forbidden_injection_rate, round(avg(shadow_candidate_found::INT), 6) AS shadow_candidate_recall, round(avg(same_turn_recovery::INT), 6) AS same_turn_recovery_rate,
+ round(avg(answer_correct::INT), 6) AS answer_accuracy, round(count(answer_correct) / count(*)::DOUBLE, 6) AS answer_grade_coverage,
+ round(quantile_disc(adapter_ms, 0.5), 3) AS adapter_p50_ms, round(quantile_disc(adapter_ms, 0.95), 3) AS adapter_p95_ms FROM cs GROUP BY GROUPING SETS ((), (category))""")
+def cross_agent_score(spark, sf_dir):
+    e, i = src.agent_events(spark, sf_dir), F.col("id")
+    every = lambda n, flag: F.when(i % n == 0, flag)
+    cases = e.select(
+        F.concat(F.lit("c"), (i % 5).cast("string")).alias("category"), (F.col("event_type") != "error").alias("decision_correct"), F.when(i % 3 > 0, (i % 3) / 2.0).alias("evidence_recall"),
+        (i % 11 == 0).alias("forbidden_injected"), every(4, i % 8 == 0).alias("shadow_candidate_found"), every(6, i % 12 == 0).alias("same_turn_recovery"),
+        F.col("success").alias("answer_correct"), F.col("value").alias("adapter_ms"),
+    )
+    return reports.cross_agent(cases)
+
+
+@query(f"""WITH {_ARMS}, every AS (SELECT query_id, arm FROM (SELECT query_id FROM arms UNION SELECT query_id FROM gold), (SELECT DISTINCT arm FROM arms)),
+n AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1), h AS (SELECT arm, query_id, count(*) AS n, count(*) FILTER (relevant) AS hits FROM j GROUP BY ALL),
+s AS (SELECT arm, query_id, n_gold, coalesce(hits, 0) AS hits, coalesce(n, 0) AS shown FROM every LEFT JOIN n USING (query_id) LEFT JOIN h USING (arm, query_id))
+SELECT arm, count(n_gold) AS positive_questions, count(*) - count(n_gold) AS abstention_questions, round(avg((hits > 0)::INT) FILTER (n_gold IS NOT NULL), 6) AS hit,
+ round(avg(hits / n_gold::DOUBLE), 6) AS mean_evidence_recall, round(avg((hits = n_gold)::INT) FILTER (n_gold IS NOT NULL), 6) AS complete,
+ round(avg((shown = 0)::INT) FILTER (n_gold IS NULL), 6) AS abstention_empty_rate FROM s GROUP BY 1""")
+def ablation_summary(spark, sf_dir):
+    found = _arms(spark, sf_dir).withColumn("rank", F.lit(1))
+    return reports.ablation(reports.evidence_found(src.gold(spark, sf_dir), found))
+
+
+_E2E = """ex AS (SELECT l_orderkey * 8 + l_linenumber AS question_id, CASE WHEN l_tax > 0.04 THEN 'native' ELSE 'retired' END AS scenario, 't' || (l_partkey % 3) AS question_type,
+ l_extendedprice AS retrieval_ms, l_quantity::BIGINT AS context_bytes, l_returnflag, l_linestatus, l_discount FROM lineitem),
+rs AS (SELECT question_id, scenario, CASE WHEN l_discount > 0.095 THEN 'error' ELSE 'ok' END AS status, l_returnflag = 'A' AS correct, l_linestatus = 'F' AS abstention, retrieval_ms / 2 AS answer_ms FROM ex WHERE scenario = 'retired' OR l_discount > 0.01),
+m AS (SELECT ex.*, rs.status, rs.correct, rs.abstention, rs.answer_ms, coalesce(status = 'ok', false) AS good FROM ex LEFT JOIN rs USING (question_id, scenario))"""
+
+
+@query(f"""WITH {_E2E}
+SELECT scenario, 'x' AS arm, count(*) AS expected, count(*) FILTER (good) AS valid, count(*) FILTER (NOT good) AS errors_or_missing,
+ CASE WHEN bool_and(good) THEN round(avg(correct::INT) FILTER (good), 6) END AS accuracy, CASE WHEN bool_and(good) THEN round(avg(correct::INT) FILTER (good AND NOT abstention), 6) END AS positive_accuracy,
+ CASE WHEN bool_and(good) THEN round(avg(correct::INT) FILTER (good AND abstention), 6) END AS abstention_accuracy, round(count(*) FILTER (good AND correct) / count(*)::DOUBLE, 6) AS lower_bound,
+ round(quantile_disc(retrieval_ms, 0.95), 3) AS retrieval_p95_ms, CASE WHEN bool_and(good) THEN round(quantile_disc(answer_ms, 0.95), 3) END AS answer_p95_ms, sum(context_bytes)::BIGINT AS context_bytes
+FROM m GROUP BY 1""")
+def end_to_end_report(spark, sf_dir):
+    i = src.read(spark, sf_dir, "lineitem")
+    own = i.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("question_id"), F.when(F.col("l_tax") > 0.04, "native").otherwise("retired").alias("scenario"), F.lit("x").alias("arm"),
+        F.concat(F.lit("t"), (F.col("l_partkey") % 3).cast("string")).alias("question_type"), F.col("l_extendedprice").alias("retrieval_ms"), F.col("l_quantity").cast("long").alias("context_bytes"),
+        "l_returnflag", "l_linestatus", "l_discount",
+    )
+    expected = own.select("question_id", "scenario", "arm", "question_type", "retrieval_ms", "context_bytes")
+    results = own.where("scenario = 'retired' or l_discount > 0.01").select(
+        "question_id", "scenario", "arm", F.when(F.col("l_discount") > 0.095, "error").otherwise("ok").alias("status"), (F.col("l_returnflag") == "A").alias("correct"),
+        (F.col("l_linestatus") == "F").alias("abstention"), (F.col("retrieval_ms") / 2).alias("answer_ms"),
+    )
+    return reports.end_to_end(expected, results)
+
+
+@query("""WITH a AS (SELECT o_custkey % 50 AS family, CASE o_orderkey % 2 WHEN 0 THEN 'baseline' ELSE 'memory' END AS g, o_orderkey % 3 AS stage, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS success FROM orders),
+f AS (SELECT count(DISTINCT family) AS families FROM a)
+SELECT g AS "group", stage, round(avg(success::INT), 6) AS success_rate, count(*) FILTER (success = false) AS failures, round(count(*) FILTER (success = false) / any_value(families)::DOUBLE, 6) AS failures_per_family FROM a, f GROUP BY ALL""")
+def learning_curve(spark, sf_dir):
+    o, k = src.read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return reports.learning_curve(o.select(
+        (F.col("o_custkey") % 50).alias("family"), F.when(k % 2 == 0, "baseline").otherwise("memory").alias("group"), (k % 3).alias("stage"),
+        F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("success"),
+    ))
+
+
+@query(f"WITH {_RUNS} SELECT status, count(*) AS n FROM runs GROUP BY 1")
+def queue_summary(spark, sf_dir):
+    return reports.queue_summary(src.learning_runs(spark, sf_dir))
 
 
 _PROBES = f"""{_BM25}, retired AS (SELECT s.*, status FROM scored s JOIN kr USING (id) WHERE status IN ('active', 'stale', 'archived') AND (scope = 'user' OR project_key = 'src0')),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gates import obsolete
@@ -13,11 +13,18 @@ PLAN_HOURS, MAX_ACTIONS, RING = 24, 20, 32
 
 def guards(records: DataFrame, evidence: DataFrame, audit: DataFrame) -> DataFrame:
     """(id, guard): a hash over a record, its evidence and its audit; it changes when any of them does."""
-    ev = evidence.groupBy(F.col("knowledge_id").alias("id")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*sorted(evidence.columns))))).alias("e"))
-    au = audit.groupBy(F.col("knowledge_id").alias("id")).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*sorted(audit.columns))))).alias("a"))
+    ev, au = (_checksum(rows, prefix) for rows, prefix in ((evidence, "e"), (audit, "a")))
     row = F.to_json(F.struct(*sorted(records.columns)))
     met = records.select("id", row.alias("r")).join(ev, "id", "left").join(au, "id", "left")
-    return met.select("id", F.sha2(F.concat_ws("\x1f", "r", F.coalesce("e", F.lit("")), F.coalesce("a", F.lit(""))), 256).alias("guard"))
+    parts = ["r", *[F.coalesce(F.col(f"{p}{k}").cast("string"), F.lit("")) for p in "ea" for k in range(3)]]
+    return met.select("id", F.sha2(F.concat_ws("\x1f", *parts), 256).alias("guard"))
+
+
+def _checksum(rows: DataFrame, prefix: str) -> DataFrame:
+    """(id, ...): how many rows a record has and two sums of their hashes, in whatever order; a row told twice counts twice."""
+    text = F.to_json(F.struct(*sorted(rows.columns)))
+    own = [F.count("*"), F.sum(F.xxhash64(text).cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(1), text).cast("decimal(38,0)"))]
+    return rows.groupBy(F.col("knowledge_id").alias("id")).agg(*[c.alias(f"{prefix}{k}") for k, c in enumerate(own)])
 
 
 def _refusal() -> Column:
@@ -104,11 +111,12 @@ def probe_ledger(probes: DataFrame, digests: DataFrame) -> DataFrame:
     Probes (project_key, knowledge_id, query_hash, seq) are folded in order of seq; the last 32 distinct queries are kept.
     """
     firsts = probes.groupBy("project_key", "knowledge_id", "query_hash").agg(F.max("seq").alias("seq"), F.count("*").alias("n"))
-    own = firsts.groupBy("project_key", "knowledge_id").agg(
-        F.sum("n").cast("long").alias("hits"),
-        F.transform(F.slice(F.sort_array(F.collect_list(F.struct("seq", "query_hash")), asc=False), 1, RING), lambda x: x["query_hash"]).alias("recent"),
-    )
-    return own.select("project_key", "knowledge_id", "hits", F.reverse("recent").alias("query_hashes")).join(digests, "knowledge_id", "left")
+    hits = firsts.groupBy("project_key", "knowledge_id").agg(F.sum("n").cast("long").alias("hits"))
+    # only the last of each record are gathered: the window's limit is pushed below the exchange
+    by = Window.partitionBy("project_key", "knowledge_id").orderBy(F.desc("seq"), F.desc("query_hash"))
+    last = firsts.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= RING)
+    recent = last.groupBy("project_key", "knowledge_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "query_hash"))), lambda x: x["query_hash"]).alias("query_hashes"))
+    return hits.join(recent, ["project_key", "knowledge_id"]).select("project_key", "knowledge_id", "hits", "query_hashes").join(digests, "knowledge_id", "left")
 
 
 def resurrect_plan(ledger: DataFrame, records: DataFrame, threshold: int = 1) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from ..schemas import KNOWLEDGE_TYPES, LIMITS, SCOPES, STATUSES, with_defaults
 
 STALE_DAYS, ARCHIVE_DAYS, CAPACITY, FLOOR, REVIEW_DAYS, AUDIT_ROWS = 30, 90, 200, 5, 1, 50
 OBJECTIVE = ("test", "command", "user_approval", "artifact")
@@ -15,6 +18,41 @@ def numbered(rows: DataFrame, keys: list, order: list, name: str = "n") -> DataF
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
+#: The order in which records are given up: what is confirmed stays longest, then what is served, then what is used.
+GIVEN_UP = ("verified_count", "hit_count", "adopted_count", "updated_at")
+
+
+def first_of(rows: DataFrame, keys: list[str], leading: list[Column], order: list, quota: DataFrame, name: str = "n") -> DataFrame:
+    """The first rows of each key by ``leading`` and then ``order``, as many as ``quota`` (keys, quota) says, with their rank.
+
+    Rows are counted by key and leading values; what the counts decide needs no sort. Only rows of equal leading values are ranked among each other,
+    so that a key with a third of all rows is ranked in many tasks.
+    """
+    names = [f"__l{i}" for i in range(len(leading))]
+    own = rows.withColumns(dict(zip(names, leading)))
+    counts = own.groupBy(*keys, *names).agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.withColumn("__before", F.coalesce(before, F.lit(0))).join(quota, keys).where("__before < quota").drop("__size")
+    of = {c: f"__of_{c}" for c in (*keys, *names)}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in of.items()]
+    met = own.join(placed.withColumnsRenamed(of), _all(same)).drop(*of.values())
+    ranked = met.withColumn(name, (F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)) + F.col("__before")).cast("long"))
+    return ranked.where(F.col(name) <= F.col("quota")).drop(*names, "__before", "quota")
+
+
+def _all(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p
+    return out
+
+
+def with_counters(records: DataFrame) -> DataFrame:
+    """Records with all that the order of giving up reads; a counter that is not there is 0, and the last change is the creation."""
+    neutral = {"verified_count": F.lit(0).cast("long"), "hit_count": F.lit(0).cast("long"), "adopted_count": F.lit(0).cast("long"), "updated_at": F.col("created_at")}
+    return records.withColumns({n: c for n, c in neutral.items() if n not in records.columns})
+
+
 def publish(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates, duplicate evidence): of equal requests the earliest becomes a record, the others confirm it."""
     own = content_hash(F.col("project_key"), F.col("scope"), F.col("knowledge_type"), F.col("title"), F.col("content"))
@@ -62,9 +100,7 @@ def sweep_plan(records: DataFrame, as_of: str, capacity: int = CAPACITY, floor:
     now = F.lit(as_of).cast("timestamp")
     days = idle_days(now, F.col("created_at"), F.col("last_confirmed_at"))
     aged = records.withColumn("days", days).withColumn("over", F.lit(False))
-    active = numbered(records.where("status = 'active'"), ["project_key"], ["verified_count", "created_at", "id"], "weakness")
-    sizes = records.where("status = 'active'").groupBy("project_key").agg(F.count("*").alias("n_active"))
-    over = active.join(sizes, "project_key").where(F.col("weakness") <= F.greatest(F.lit(0), F.least(F.col("n_active") - capacity, F.col("n_active") - floor)))
+    over = evictions(records, capacity, floor)
     rows = aged.drop("over").join(over.select("id", F.lit(True).alias("over")), "id", "left")
     expired = (F.col("status") == "candidate") & (F.col("created_at") + F.expr(f"INTERVAL {REVIEW_DAYS} DAYS") <= now)
     to = (
@@ -83,10 +119,19 @@ def sweep_plan(records: DataFrame, as_of: str, capacity: int = CAPACITY, floor:
 
 
 def evictions(records: DataFrame, capacity: int, floor: int) -> DataFrame:
-    """The weakest active records of each project beyond its capacity, never below the floor."""
-    active = numbered(records.where("status = 'active'"), ["project_key"], ["verified_count", "created_at", "id"], "weakness")
+    """The weakest active records of each project beyond its capacity, never below the floor; ties by the last change, then the id."""
+    active = with_counters(records.where("status = 'active'"))
     sizes = active.groupBy("project_key").agg(F.count("*").alias("n_active"))
-    return active.join(sizes, "project_key").where(F.col("weakness") <= F.least(F.col("n_active") - capacity, F.col("n_active") - floor))
+    quota = sizes.withColumn("quota", F.least(F.col("n_active") - capacity, F.col("n_active") - floor)).where("quota > 0")
+    leading = [F.col(c) for c in GIVEN_UP[:-1]] + [F.to_date(GIVEN_UP[-1])]
+    weakest = first_of(active, ["project_key"], leading, [GIVEN_UP[-1], "id"], quota.select("project_key", "quota"), "weakness")
+    return weakest.join(sizes, "project_key")
+
+
+def oldest_half(records: DataFrame) -> DataFrame:
+    """The older half of each project's records, with their rank."""
+    quota = records.groupBy("project_key").agg(F.floor(F.count("*") / 2).alias("quota")).where("quota > 0")
+    return first_of(records, ["project_key"], [F.to_date("created_at")], ["created_at", "id"], quota)
 
 
 def expired(records: DataFrame, as_of: str) -> DataFrame:
@@ -154,6 +199,96 @@ def feedback(records: DataFrame, feed: DataFrame) -> DataFrame:
     return met.select(*keep, status.alias("status"), add("adopted_count", "adopted"), add("verified_count", "verified"), add("rejected_count", "rejected"))
 
 
+def review(records: DataFrame, decisions: DataFrame, claims: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(results, changes) of review decisions (id, outcome, evidence_kind, expected_status, supersedes: ids or null), one for each record.
+
+    A verification of a record whose value is in conflict with served ones must name exactly those; then they are archived and replaced in the same
+    change. results: id, error (null: done), result. changes: id, status, superseded_by, valid_from, valid_until. ``claims`` (id, slot, value, source_changed) are
+    the records' assertions. Conflicts are counted, never listed.
+    """
+    own = records.select("id", "status", "superseded_by")
+    verified = F.col("outcome") == "verified"
+    met = decisions.join(own, "id", "left").join(claims, "id", "left")
+    serving = claims.join(own.where("status in ('active', 'stale') and superseded_by is null").select("id"), "id", "left_semi")
+    other = serving.select("slot", F.col("id").alias("peer"), F.col("value").alias("peer_value"), F.col("source_changed").alias("peer_changed"))
+    pairs = met.where(verified & F.col("slot").isNotNull()).select("id", "slot", "value", "supersedes").join(other, "slot").where("peer <> id and peer_value <> value")
+    named = F.array_contains(F.coalesce("supersedes", F.array().cast("array<long>")), F.col("peer"))
+    counts = pairs.groupBy("id").agg(F.count("*").alias("n_conflicts"), F.count_if(named).alias("n_named"), F.bool_or(F.coalesce("peer_changed", F.lit(False))).alias("peer_changed"))
+    met = met.join(counts, "id", "left").fillna(0, ["n_conflicts", "n_named"])
+    n_given = F.coalesce(F.size(F.array_distinct("supersedes")), F.lit(0))
+    exact = (n_given == F.col("n_conflicts")) & (F.col("n_named") == F.col("n_conflicts"))
+    why = F.coalesce(
+        F.when(F.col("status").isNull(), "record_not_found"),
+        F.when(F.col("expected_status").isNotNull() & (F.col("expected_status") != F.col("status")), "status_changed"),
+        F.when(verified & F.col("superseded_by").isNotNull(), "superseded_record"),
+        F.when((F.col("n_conflicts") > 0) & ~exact & (n_given == 0), "conflicting_values"),
+        F.when((n_given > 0) & ~exact, "conflicts_changed"),
+        F.when(verified & F.coalesce("source_changed", F.lit(False)), "source_changed"),
+        F.when(F.coalesce("peer_changed", F.lit(False)), "conflict_source_changed"),
+    )
+    approval = F.col("evidence_kind") == "user_approval"
+    already = verified & approval & (F.col("status") == "active") & (F.col("n_conflicts") == 0) & (n_given == 0)
+    to = (
+        F.when(F.col("outcome") == "rejected", "quarantined")
+        .when(verified & (F.col("status").isin("candidate", "active", "stale") | approval), "active").otherwise(F.col("status"))
+    )
+    judged = met.withColumns({"error": why, "to_status": to}).withColumn("result", F.when(F.col("error").isNull(), F.when(already, "already_active").otherwise("recorded")))
+    now, none = F.lit(at).cast("timestamp"), F.lit(None)
+    done = judged.where("result = 'recorded'")
+    begun = F.when((F.col("to_status") == "active") & (F.col("status") != "active"), now)
+    changed = done.where("to_status <> status").select("id", F.col("to_status").alias("status"), none.cast("long").alias("superseded_by"), begun.alias("valid_from"), none.cast("timestamp").alias("valid_until"))
+    replaced = pairs.join(done.where("n_conflicts > 0").select("id"), "id", "left_semi").select(
+        F.col("peer").alias("id"), F.lit("archived").alias("status"), F.col("id").alias("superseded_by"), none.cast("timestamp").alias("valid_from"), now.alias("valid_until")
+    )
+    return judged.select("id", "error", "result"), changed.unionByName(replaced)
+
+
+def deadline_migration(records: DataFrame, old_days: int = 3) -> DataFrame:
+    """Candidates whose deadline is exactly the old number of days after their creation get the current one; others keep theirs."""
+    stale = (F.col("status") == "candidate") & (F.col("candidate_expires_at") == F.col("created_at") + F.expr(f"INTERVAL {old_days} DAYS"))
+    return records.withColumn("candidate_expires_at", F.when(stale, F.col("created_at") + F.expr(f"INTERVAL {REVIEW_DAYS} DAYS")).otherwise(F.col("candidate_expires_at")))
+
+
+def list_records(
+    records: DataFrame, project_key: str, *, status: str = "all", limit: int = 100, offset: int = 0, query: str = "", knowledge_type: str = "all", scope: str = "all",
+    source_agent: str | None = None, updated_from: str | None = None, updated_to: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(page, total): the records that a project sees and that match, newest change first, and how many there are in all.
+
+    A query is literal, in any case, over title, content, search terms, agent and project; a date without a time ends with its day.
+    """
+    if not 1 <= limit <= 1000 or offset < 0:
+        raise ValueError("limit 1 to 1000, offset from 0")
+    if status != "all" and status not in STATUSES or scope not in ("all", *SCOPES) or knowledge_type != "all" and knowledge_type not in KNOWLEDGE_TYPES:
+        raise ValueError("unknown status, scope or type")
+    query = (query or "").strip()
+    if len(query) > LIMITS["query"]:
+        raise ValueError("query of at most 500 characters")
+    bounds = [dt.datetime.fromisoformat(b) if b else None for b in (updated_from, updated_to)]
+    if updated_to and len(updated_to) == 10:
+        bounds[1] += dt.timedelta(days=1, microseconds=-1)
+    c = F.col
+    own, shared = (c("scope") == "project") & (c("project_key") == project_key), c("scope") == "user"
+    keep = {"user": shared, "project": own, "all": shared | (c("project_key") == project_key)}[scope]
+    for column, value in (("status", status), ("knowledge_type", knowledge_type), ("source_agent", source_agent or "all")):
+        keep = keep & (c(column) == value) if value != "all" else keep
+    for bound, holds in zip(bounds, (c("updated_at").__ge__, c("updated_at").__le__)):
+        keep = keep & holds(F.lit(bound)) if bound else keep
+    found = with_defaults(with_counters(records)).where(keep)
+    if query:
+        said = F.lit(query.lower())
+        texts = [F.contains(F.lower(F.coalesce(n, F.lit(""))), said) for n in ("title", "content", "search_terms", "source_agent", "project_key")]
+        found = found.where(_any(texts))
+    return found.orderBy(F.desc("updated_at"), "id").offset(offset).limit(limit), found.agg(F.count("*").alias("total"))
+
+
+def _any(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out | p
+    return out
+
+
 def register_agents(agents: DataFrame, changes: DataFrame) -> DataFrame:
     """Upsert: the latest row of each agent."""
     both = agents.unionByName(changes)

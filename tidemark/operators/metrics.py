@@ -11,10 +11,17 @@ def nearest_rank(column: str, p: float) -> Column:
     return F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})"), 3)
 
 
-def at_place(column: str, p: float, shift: float) -> Column:
-    """Percentiles by a truncated place, int(n * p + shift) - 1 from 0, as older reports have them."""
-    values = F.sort_array(F.collect_list(column))
-    return F.element_at(values, F.greatest(F.lit(1), F.floor(F.size(values) * p + shift)).cast("int"))
+def at_place(rows: DataFrame, column: str, p: float, shift: float, *by: str) -> DataFrame:
+    """(by, x): the value at a truncated place, int(n * p + shift) - 1 from 0, as older reports have it.
+
+    Values are counted first; places are sums of counts, so that a group is one row for each value that it has, in whatever task.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("x")).agg(F.count("*").alias("n"))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy("x")))
+    place = F.greatest(F.lit(1), F.floor(F.col("total") * p + shift))
+    met = upto.join(total, list(by)) if by else upto.crossJoin(total)
+    return met.where((F.col("upto") - F.col("n") < place) & (place <= F.col("upto"))).select(*by, "x")
 
 
 def ratio(part: Column, whole: Column, empty: float | None = 0.0) -> Column:
@@ -79,20 +86,69 @@ def latency_deltas(pairs: DataFrame, *by: str, least: int = 20) -> DataFrame:
     )
 
 
-def reuse_metrics(traces: DataFrame) -> DataFrame:
-    """Counters over the items of traces: emitted, cited, attributed, and distinct turns by what they show."""
-    items = traces.select("id", "task_success", F.explode_outer("items").alias("i"))
-    turn = F.col("id")
-    return items.agg(
+TRACE_FIELDS = {"agent_id": "string", "completed_at": "timestamp", "retrieval_ms": "double", "task_success": "boolean"}
+ITEM_FIELDS = {
+    "knowledge_id": "long", "source_agent": "string", "origin": "string", "emitted": "boolean", "citation_observed": "boolean", "source_attribution_observed": "boolean",
+    "check_status": "string", "lfhv_recovery_outcome": "string",
+}
+
+
+def reuse_metrics(traces: DataFrame, *by: str) -> DataFrame:
+    """Counters over traces and their items: by origin, what was emitted, cited and attributed, across agents, checks, and retrieval times.
+
+    A turn counts once whatever it shows; an item without an origin is direct. Fields that a trace or an item does not have are unknown.
+    """
+    has = {f.name for f in traces.schema["items"].dataType.elementType.fields}
+    own = traces.withColumns({n: F.lit(None).cast(t) for n, t in TRACE_FIELDS.items() if n not in traces.columns})
+    fields = [(F.col(f"i.{n}") if n in has else F.lit(None)).cast(t).alias(n) for n, t in ITEM_FIELDS.items()]
+    items = own.select(*by, "id", *TRACE_FIELDS, F.explode_outer("items").alias("i")).select(*by, "id", *TRACE_FIELDS, F.col("i").isNotNull().alias("there"), *fields)
+    c = F.col
+    yes = lambda n: F.coalesce(c(n), F.lit(False))
+    origin = F.coalesce(c("origin"), F.lit("direct"))
+    emitted, cited, shown = yes("emitted"), yes("emitted") & yes("citation_observed"), yes("emitted") & yes("source_attribution_observed")
+    recovered = c("there") & (origin == "lfhv_recovered")
+    cross = emitted & (c("agent_id") != c("source_agent"))
+    done = cross & c("completed_at").isNotNull()
+    checked = emitted & F.coalesce(c("check_status").isin("constraint_pass", "constraint_fail"), F.lit(False))
+    passed = emitted & F.coalesce(c("check_status") == "constraint_pass", F.lit(False))
+    turns = lambda flag: F.countDistinct(F.when(flag, c("id")))
+    of = lambda name: F.count_if(c("there") & (origin == name))
+    out = items.groupBy(*by).agg(
         F.countDistinct("id").alias("turns"),
-        F.count_if("i.emitted").alias("emitted"),
-        F.count_if("i.citation_observed").alias("cited"),
-        F.countDistinct(F.when(F.col("i.emitted"), turn)).alias("turns_emitted"),
-        F.countDistinct(F.when(F.col("i.citation_observed"), turn)).alias("turns_cited"),
-        F.countDistinct(F.when(F.col("i.citation_observed") | F.col("i.source_attribution_observed"), turn)).alias("turns_shown"),
-        F.countDistinct(F.when(F.col("i.emitted") & F.col("task_success"), turn)).alias("turns_successful"),
-        F.countDistinct(F.when(F.col("i.emitted"), F.col("i.knowledge_id"))).alias("records_emitted"),
+        F.count_if("there").alias("retrieved"),
+        F.count_if(emitted).alias("emitted"),
+        of("direct").alias("direct"),
+        of("sibling").alias("inferred"),
+        of("bridged").alias("bridged"),
+        of("anchored").alias("anchored"),
+        F.count_if(recovered).alias("recovery_candidates"),
+        F.count_if(recovered & emitted).alias("recovery_emitted"),
+        F.count_if(recovered & F.coalesce(c("lfhv_recovery_outcome") == "restored", F.lit(False))).alias("recovery_restored"),
+        F.count_if(recovered & ~emitted).alias("recovery_not_emitted"),
+        F.count_if(cited).alias("cited"),
+        turns(emitted).alias("turns_emitted"),
+        turns(cited).alias("turns_cited"),
+        turns(shown).alias("turns_attributed"),
+        turns(cited | shown).alias("turns_shown"),
+        turns(emitted & yes("task_success")).alias("turns_successful"),
+        F.countDistinct(F.when(emitted, c("knowledge_id"))).alias("records_emitted"),
+        turns(cross).alias("cross_agent_turns_emitted"),
+        turns(done & cited).alias("cross_agent_turns_cited"),
+        turns(done & shown).alias("cross_agent_turns_attributed"),
+        turns(done & (cited | shown)).alias("cross_agent_turns_shown"),
+        F.count_if(checked).alias("checked"),
+        F.count_if(checked & cross).alias("cross_agent_checked"),
+        F.count_if(passed).alias("constraint_pass"),
+        F.count_if(passed & cross).alias("cross_agent_constraint_pass"),
     )
+    times = own.groupBy(*by).agg(nearest_rank("retrieval_ms", 0.5).alias("retrieval_p50_ms"), nearest_rank("retrieval_ms", 0.95).alias("retrieval_p95_ms"))
+    return out.join(times, list(by)) if by else out.crossJoin(times)
+
+
+def latest_experiment(pairs: DataFrame) -> DataFrame:
+    """The pairs (experiment, created_at, ...) of the newest experiment only."""
+    newest = pairs.agg(F.max_by("experiment", F.struct("created_at", "experiment")).alias("experiment"))
+    return pairs.join(newest, "experiment", "left_semi")
 
 
 def overview(records: DataFrame) -> DataFrame:

@@ -39,9 +39,10 @@ def recall(requests: DataFrame, records: DataFrame, policy: Policy = Policy(), b
     merged = staged(insert_recovered(scored.select("query_id", "id", "position", "score"), recover(requests, records, policy)), "pages")
     sized = merged.join(texts.select("id", (F.char_length("title") + F.char_length("content")).cast("long").alias("chars")), "id")
     packed = staged(reuse.pack_greedy(sized, budget), "packed")
-    items = packed.select("query_id", F.posexplode("ids").alias("rank", "id")).join(texts, "id")
+    found_by = selected.select("query_id", "id", "origin", "parent")
+    items = packed.select("query_id", F.posexplode("ids").alias("rank", "id")).join(texts, "id").join(found_by, ["query_id", "id"], "left")
     item = F.struct(
-        "rank", F.col("id").alias("knowledge_id"), "source_agent", F.when(F.col("status") == "archived", "lfhv_recovered").otherwise("direct").alias("origin"),
+        "rank", F.col("id").alias("knowledge_id"), "source_agent", F.when(F.col("status") == "archived", "lfhv_recovered").otherwise(F.coalesce("origin", F.lit("direct"))).alias("origin"), F.col("parent").alias("related_to"),
         F.lit(True).alias("emitted"), record_digest(F.col("title"), F.col("content")).alias("content_hash"), F.lit(False).alias("citation_observed"),
     )
     lists = items.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))

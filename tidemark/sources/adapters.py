@@ -56,7 +56,10 @@ def knowledge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"),
         F.coalesce(F.col("quality"), F.lit(0)).cast("long").alias("verified_count"),
         F.coalesce(F.col("toxic"), F.lit(0)).cast("long").alias("rejected_count"),
+        (F.col("doc_id") % 7).alias("hit_count"),
+        (F.col("doc_id") % 3).alias("adopted_count"),
         created.alias("created_at"),
+        (created + F.make_interval(hours=(F.col("doc_id") % 50).cast("int"))).alias("updated_at"),
     )
 
 
