@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 from .metrics import nearest_rank, ratio
 
 
-def case_results(cases: DataFrame, retrieved: DataFrame, gold: DataFrame) -> DataFrame:
-    """(query_id, ..., retrieved, expected): arrays of ids; queries without either have empty ones."""
-    got = retrieved.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda r: r["id"]).alias("retrieved"))
-    want = gold.groupBy("query_id").agg(F.sort_array(F.collect_set("id")).alias("expected"))
-    empty = F.array().cast("array<long>")
-    met = cases.join(got, "query_id", "left").join(want, "query_id", "left")
-    return met.withColumns({"retrieved": F.coalesce("retrieved", empty), "expected": F.coalesce("expected", empty)})
+def case_results(cases: DataFrame, retrieved: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """(query_id, ..., n_gold, n_got, hits, first_hit) of cases: how many records a query expects, got among its first k, and had right, and at which place first.
+
+    Counts by query, so that a query may expect any number of records.
+    """
+    wanted = gold.select("query_id", "id").distinct()
+    got = retrieved.groupBy("query_id").agg(F.count_if(F.col("rank") <= k).alias("n_got"))
+    right = retrieved.join(wanted, ["query_id", "id"]).groupBy("query_id").agg(F.count_if(F.col("rank") <= k).alias("hits"), F.min("rank").alias("first_hit"))
+    n = wanted.groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    met = cases.join(got, "query_id", "left").join(right, "query_id", "left").join(n, "query_id", "left")
+    return met.fillna(0, ["n_got", "hits", "n_gold"])
 
 
 def judged(results: DataFrame, k: int) -> DataFrame:
-    """Each case with its hits, precision at k (of k places), recall, reciprocal rank of the first hit."""
-    head = F.slice("retrieved", 1, k)
-    hits = F.size(F.array_intersect(head, "expected"))
-    places = F.filter(F.transform("retrieved", lambda x, i: F.when(F.array_contains(F.col("expected"), x), i + 1)), lambda p: p.isNotNull())
+    """Each case with its precision at k (of k places), recall, reciprocal rank of the first hit."""
     return results.withColumns(
         {
-            "positive": F.size("expected") > 0,
-            "hits": hits,
-            "precision": hits / F.lit(float(k)),
-            "recall": F.coalesce(F.try_divide(hits.cast("double"), F.size("expected").cast("double")), F.lit(0.0)),
-            "rr": F.coalesce(F.try_divide(F.lit(1.0), F.array_min(places).cast("double")), F.lit(0.0)),
-            "injected": F.size(head) > 0,
+            "positive": F.col("n_gold") > 0,
+            "precision": F.col("hits") / F.lit(float(k)),
+            "recall": F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("n_gold").cast("double")), F.lit(0.0)),
+            "rr": F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0)),
+            "injected": F.col("n_got") > 0,
         }
     )
 
@@ -50,9 +50,7 @@ def retrieval_metrics(results: DataFrame, k: int = 3, *by: str) -> DataFrame:
 
 def quality_block(results: DataFrame, k: int, category: str) -> DataFrame:
     """hit@1, hit@k, recall and MRR overall and by category: grouping sets, one pass."""
-    j = judged(results, k).where("positive")
-    first = F.array_contains(F.col("expected"), F.try_element_at(F.col("retrieved"), F.lit(1)))
-    j = j.withColumns({"first": F.coalesce(first, F.lit(False)), "any": F.col("hits") > 0})
+    j = judged(results, k).where("positive").withColumns({"first": F.coalesce(F.col("first_hit") == 1, F.lit(False)), "any": F.col("hits") > 0})
     return j.groupingSets([[], [category]], category).agg(
         F.count("*").alias("cases"),
         ratio(F.count_if("first"), F.count("*")).alias("hit_1"),

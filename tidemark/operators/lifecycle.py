@@ -171,29 +171,27 @@ def remove(records: DataFrame, ids: DataFrame) -> DataFrame:
 def feedback(records: DataFrame, feed: DataFrame) -> DataFrame:
     """The snapshot after an ordered change feed (id, seq, outcome, evidence_kind, has_ref).
 
-    Counters are sums; the state is a fold in the order of seq, over the outcomes of one record, which is one row after
-    the exchange. Outcomes without objective evidence and a reference change no state.
+    Counters are sums. Of the outcomes with objective evidence and a reference, which alone change a state, three facts decide it, however many there are: when the record
+    was last rejected, when a user last approved it, and whether it was verified at all. Of equal seq, an approval comes after a rejection.
     """
-    step = F.struct("seq", "outcome", "evidence_kind", F.coalesce(F.col("has_ref"), F.lit(False)).alias("has_ref"))
+    sound = F.col("evidence_kind").isin(*OBJECTIVE) & F.coalesce(F.col("has_ref"), F.lit(False))
+    verified, rejected = F.col("outcome") == "verified", F.col("outcome") == "rejected"
     own = feed.groupBy("id").agg(
-        F.sort_array(F.collect_list(step)).alias("steps"),
         F.count_if(F.col("outcome").isin("used", "verified")).alias("adopted"),
-        F.count_if(F.col("outcome") == "verified").alias("verified"),
-        F.count_if(F.col("outcome") == "rejected").alias("rejected"),
+        F.count_if(verified).alias("verified"),
+        F.count_if(rejected).alias("rejected"),
+        F.max(F.when(rejected & sound, F.col("seq"))).alias("last_rejected"),
+        F.max(F.when(verified & sound & (F.col("evidence_kind") == "user_approval"), F.col("seq"))).alias("last_approved"),
+        F.count_if(verified & sound).alias("n_sound"),
     )
     met = records.join(own, "id", "left")
-
-    def move(state: Column, s: Column) -> Column:
-        sound = s["evidence_kind"].isin(*OBJECTIVE) & s["has_ref"]
-        verified = (s["outcome"] == "verified") & sound
-        return (
-            F.when((s["outcome"] == "rejected") & sound, "quarantined")
-            .when(verified & state.isin("candidate", "active", "stale"), "active")
-            .when(verified & (s["evidence_kind"] == "user_approval"), "active")
-            .otherwise(state)
-        )
-
-    status = F.when(F.col("steps").isNull(), F.col("status")).otherwise(F.aggregate("steps", F.col("status"), move))
+    approved = F.col("last_approved").isNotNull()
+    open_ = F.col("status").isin("candidate", "active", "stale")
+    status = (
+        F.when(F.col("last_rejected").isNotNull(), F.when(approved & (F.col("last_approved") >= F.col("last_rejected")), "active").otherwise("quarantined"))
+        .when(approved | ((F.col("n_sound") > 0) & open_), "active")
+        .otherwise(F.col("status"))
+    )
     keep = [c for c in records.columns if c not in ("status", "adopted_count", "verified_count", "rejected_count")]
     add = lambda name, col: ((F.col(name) if name in records.columns else F.lit(0)) + F.coalesce(col, F.lit(0))).cast("long").alias(name)
     return met.select(*keep, status.alias("status"), add("adopted_count", "adopted"), add("verified_count", "verified"), add("rejected_count", "rejected"))
