@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RING = 32
+#: Keys that one note counts by; a note is for people.
+MAX_KEYS = 100
 
 
 def ingest(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -74,3 +76,17 @@ def learn(turns: DataFrame, batch: Callable[[DataFrame, int], None], dead_letter
         batch(rows.where(~bad), number)
 
     return turns.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def announce(changes: DataFrame, by: list[str], publish: Callable[[dict], None], checkpoint: str) -> StreamingQuery:
+    """Tells ``publish`` of each micro-batch of changes: its number, how many rows it has, and how many by key.
+
+    A note holds counts by a few keys, never rows; a batch that is run again has the same number.
+    """
+
+    def run(rows: DataFrame, number: int) -> None:
+        key = F.concat_ws("/", *[F.col(b).cast("string") for b in by])
+        counts = {r["key"]: r["n"] for r in rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).orderBy("key").limit(MAX_KEYS).collect()}
+        publish({"batch": number, "rows": rows.count(), "changes": counts})
+
+    return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
