@@ -54,7 +54,7 @@ WIDE = {
     "phone": r"(?<![0-9])(?:\+\x20?|00)?[(]?[0-9](?:[\x20()./–-]{0,3}[0-9]){6,14}(?![0-9])",
 }
 WIDE_NEEDS = {
-    "email": rf"{_AT}[^\n]{{0,80}}?{_DOT}",
+    "email": rf"{_AT}{_HOST}{_DOT}[A-Za-z0-9-]",
     "ip": rf"[0-9](?:{_DOT})[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|::[0-9A-Fa-f]",
     "card": r"[0-9](?:[\x20\t./_,–-]{0,3}[0-9]){11}",
     "phone": r"[0-9](?:[\x20()./–-]{0,3}[0-9]){6}",
@@ -90,8 +90,15 @@ def _running(steps: Column, n: Column) -> Column:
 _SPAN = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
 
 
-def matches(text: Column, pattern: str, needs: str) -> Column:
-    """All matches: start, end, the match and what stands around it. The pieces between matches give the places."""
+#: What a text must have for any number: a digit, or the colons of an address that has none. Looked for once, for six patterns.
+DIGITS = "[0-9]|::"
+
+
+def matches(text: Column, pattern: str, needs: str, worth: Column | None = None) -> Column:
+    """All matches: start, end, the match and what stands around it. The pieces between matches give the places.
+
+    ``worth`` tells beforehand where a search is worth while.
+    """
 
     def places(v: Column) -> Column:
         n = F.size(v["found"])
@@ -118,7 +125,7 @@ def matches(text: Column, pattern: str, needs: str) -> Column:
 
     both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     useful = text.contains(needs) if needs == "@" else text.rlike(needs)
-    return F.when(useful, let(both, places)).otherwise(F.array().cast(_SPAN))
+    return F.when(useful if worth is None else worth & useful, let(both, places)).otherwise(F.array().cast(_SPAN))
 
 
 def digits_of(s: Column) -> Column:
@@ -390,8 +397,8 @@ class Model:
     thresholds: tuple[float, ...]
 
 
-def candidates(text: Column, kind: int) -> Column:
-    return matches(text, WIDE[KINDS[kind]], WIDE_NEEDS[KINDS[kind]])
+def candidates(text: Column, kind: int, numbers: Column | None = None) -> Column:
+    return matches(text, WIDE[KINDS[kind]], WIDE_NEEDS[KINDS[kind]], None if kind == 0 else numbers)
 
 
 _PLACED = "array<struct<start:int,kind:int,end:int>>"
@@ -401,12 +408,12 @@ def _placed(kind: int, found: Column) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))).cast(_PLACED)
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(text: Column, numbers: Column | None = None) -> Column:
     """All base spans (start, kind, end), sorted."""
 
     def strict(kind: int) -> Column:
         name = KINDS[kind]
-        return _placed(kind, F.filter(matches(text, BASE[name], NEEDS[name]), lambda m: is_base(name, m["s"])))
+        return _placed(kind, F.filter(matches(text, BASE[name], NEEDS[name], None if kind == 0 else numbers), lambda m: is_base(name, m["s"])))
 
     return F.sort_array(F.concat(*map(strict, range(len(KINDS)))))
 
@@ -494,9 +501,10 @@ def found(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         def probability(c: Column) -> Column:
             return let(features(kind, c), lambda x: model.trees.column(lambda f: F.element_at(x, f + 1)))
 
-        return _placed(kind, F.filter(candidates(F.col("text"), kind), lambda c: probability(c) >= model.thresholds[kind]))
+        return _placed(kind, F.filter(candidates(F.col("text"), kind, F.col("__numbers")), lambda c: probability(c) >= model.thresholds[kind]))
 
-    rows = rows.withColumn("base", base_spans(F.col("text")))
+    rows = rows.withColumn("__numbers", F.col("text").rlike(DIGITS))
+    rows = rows.withColumn("base", base_spans(F.col("text"), F.col("__numbers")))
     rows = rows.withColumn("__likely", F.concat(*map(likely, range(len(KINDS)))))
 
     def free(v: Column) -> Column:
@@ -528,7 +536,7 @@ def found(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         .when(F.size("base") == 0, F.col("__likely"))
         .otherwise(let(F.struct(F.col("base"), F.col("__likely").alias("likely")), free))
     )
-    return rows.withColumn("spans", F.sort_array(F.concat("base", added))).drop("__likely")
+    return rows.withColumn("spans", F.sort_array(F.concat("base", added))).drop("__likely", "__numbers")
 
 
 def model_for(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
