@@ -332,10 +332,9 @@ def overview_summary(spark, sf_dir):
     return metrics.overview(src.knowledge_records(spark, sf_dir))
 
 
-@query(f"WITH {_KR} SELECT project_key, count(*) AS n, epoch(max(created_at))::BIGINT AS last_updated FROM kr GROUP BY 1 ORDER BY last_updated DESC, project_key")
+@query(f"WITH {_KR} SELECT project_key, count(*) AS n, epoch(max(updated_at))::BIGINT AS last_updated FROM kr GROUP BY 1 ORDER BY last_updated DESC, project_key")
 def project_list(spark, sf_dir):
-    kr = src.knowledge_records(spark, sf_dir)
-    return kr.groupBy("project_key").agg(F.count("*").alias("n"), F.unix_timestamp(F.max("created_at")).alias("last_updated")).orderBy(F.desc("last_updated"), "project_key")
+    return metrics.projects(src.knowledge_records(spark, sf_dir)).withColumn("last_updated", F.unix_timestamp("last_updated"))
 
 
 @query(f"WITH {_KR} SELECT status, count(*) AS n, sum(verified_count)::BIGINT AS verified, sum(rejected_count)::BIGINT AS rejected FROM kr GROUP BY 1")
@@ -473,15 +472,14 @@ def supersession_links(spark, sf_dir):
 @query(f"""WITH {_RUNS}, {_LINKS} SELECT l.knowledge_id, r.run_id, r.status, a.s_name AS agent_name, l.relation
 FROM links l JOIN runs r USING (run_id) JOIN supplier a ON a.s_suppkey = l.agent_key WHERE r.status = 'completed'""")
 def run_provenance(spark, sf_dir):
-    links = src.compilation_links(spark, sf_dir)
-    runs = src.learning_runs(spark, sf_dir).where("status = 'completed'").select("run_id", "status")
-    return links.join(runs, "run_id").join(src.agents(spark, sf_dir).select("agent_key", "agent_name"), "agent_key").select("knowledge_id", "run_id", "status", "agent_name", "relation")
+    made = projections.provenance(src.compilation_links(spark, sf_dir), src.learning_runs(spark, sf_dir), src.agents(spark, sf_dir))
+    return made.where("status = 'completed'").select("knowledge_id", "run_id", "status", "agent_name", "relation")
 
 
 @query(f"""WITH {_RUNS}, {_LINKS} SELECT r.status, count(*) AS members FROM runs r WHERE EXISTS (SELECT 1 FROM links l WHERE l.run_id = r.run_id AND relation = 'produced') GROUP BY 1""")
 def run_members_semi(spark, sf_dir):
-    produced = src.compilation_links(spark, sf_dir).where("relation = 'produced'").select("run_id")
-    return src.learning_runs(spark, sf_dir).join(produced, "run_id", "left_semi").groupBy("status").agg(F.count("*").alias("members"))
+    own = projections.with_members(src.learning_runs(spark, sf_dir), src.compilation_links(spark, sf_dir))
+    return own.groupBy("status").agg(F.count("*").alias("members"))
 
 
 @query(f"""WITH {_RUNS} SELECT agent_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, sum(proposal_count)::BIGINT AS proposals,
@@ -563,15 +561,7 @@ def equivalent_rerank(spark, sf_dir):
 SELECT conv_id, g::BIGINT AS turn_group, max(CASE WHEN role = 'user' THEN length(text) END)::BIGINT AS user_chars,
 count(*) FILTER (role = 'assistant') AS replies, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS reply_chars FROM t WHERE g > 0 GROUP BY ALL""")
 def turn_pairs(spark, sf_dir):
-    c = src.conversations(spark, sf_dir)
-    user, reply = F.col("role") == "user", F.col("role") == "assistant"
-    g = F.sum(user.cast("long")).over(Window.partitionBy("conv_id").orderBy("turn"))
-    own = c.withColumn("turn_group", g).where("turn_group > 0").groupBy("conv_id", "turn_group")
-    return own.agg(
-        F.max(F.when(user, F.char_length("text"))).cast("long").alias("user_chars"),
-        F.count_if(reply).alias("replies"),
-        F.coalesce(F.sum(F.when(reply, F.char_length("text"))), F.lit(0)).cast("long").alias("reply_chars"),
-    )
+    return projections.turn_groups(src.conversations(spark, sf_dir))
 
 
 @query(f"WITH {_KR}, n AS (SELECT id, project_key, row_number() OVER (PARTITION BY project_key ORDER BY created_at, id) AS n, count(*) OVER (PARTITION BY project_key) AS total FROM kr) SELECT id, project_key FROM n WHERE n <= total // 2")
@@ -1016,9 +1006,7 @@ def trace_scrub(spark, sf_dir):
 @query(f"""WITH {_KR} SELECT knowledge_type, scope, grouping(knowledge_type)::BIGINT + grouping(scope)::BIGINT AS level, count(*) AS n, count(*) FILTER (status = 'active') AS active FROM kr
 GROUP BY GROUPING SETS ((), (knowledge_type), (knowledge_type, scope))""")
 def holdout_levels(spark, sf_dir):
-    kr = src.knowledge_records(spark, sf_dir)
-    level = F.grouping("knowledge_type").cast("long") + F.grouping("scope").cast("long")
-    return kr.rollup("knowledge_type", "scope").agg(level.alias("level"), F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"))
+    return evaluate.levels(src.knowledge_records(spark, sf_dir), ["knowledge_type", "scope"], F.col("status") == "active", "active")
 
 
 @query(f"""WITH {_KR} SELECT id, title, knowledge_type, scope, status, source_agent, round(coalesce(verified_count::DOUBLE / nullif(verified_count + rejected_count, 0), 0), 3) AS confidence,

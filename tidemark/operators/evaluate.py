@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import nearest_rank, ratio
@@ -113,3 +113,9 @@ def distribution(rows: DataFrame, outcome: str) -> DataFrame:
 
 def timing(rows: DataFrame, column: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(nearest_rank(column, 0.5).alias("p50"), nearest_rank(column, 0.95).alias("p95"))
+
+
+def levels(rows: DataFrame, keys: list[str], flag: Column, name: str) -> DataFrame:
+    """Counts over all rows, by the first key, by the first two, and so on; ``level`` is how many keys a row sums over."""
+    level = sum((F.grouping(k).cast("long") for k in keys), F.lit(0).cast("long"))
+    return rows.rollup(*keys).agg(level.alias("level"), F.count("*").alias("n"), F.count_if(flag).alias(name))

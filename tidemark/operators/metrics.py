@@ -36,6 +36,12 @@ def status_counts(records: DataFrame) -> DataFrame:
     )
 
 
+def projects(records: DataFrame) -> DataFrame:
+    """(project_key, n, last_updated): all projects, the one that changed last first."""
+    own = records.groupBy("project_key").agg(F.count("*").alias("n"), F.max("updated_at").alias("last_updated"))
+    return own.orderBy(F.desc("last_updated"), "project_key")
+
+
 def run_metrics(runs: DataFrame, *by: str) -> DataFrame:
     done = F.col("status") == "completed"
     return runs.groupBy(*by).agg(

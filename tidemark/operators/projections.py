@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lifecycle import confidence
@@ -48,3 +48,25 @@ def retention_audit(answers: DataFrame, kept: DataFrame) -> DataFrame:
     case = met.groupBy("query_id").agg(F.bool_or(F.coalesce("holds", F.lit(False))).alias("answered"), F.count("content").alias("n_kept"))
     outcome = F.when(F.col("answered"), "answer_kept").when(F.col("n_kept") > 0, "evidence_kept").otherwise("lost")
     return case.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("cases"))
+
+
+def provenance(links: DataFrame, runs: DataFrame, agents: DataFrame) -> DataFrame:
+    """Records (knowledge_id, relation) with the runs that made them and the agents behind those."""
+    known = runs.select("run_id", "status")
+    return links.join(known, "run_id").join(agents.select("agent_key", "agent_name"), "agent_key")
+
+
+def with_members(runs: DataFrame, links: DataFrame, relation: str = "produced") -> DataFrame:
+    """Runs that have made at least one record."""
+    return runs.join(links.where(F.col("relation") == relation).select("run_id"), "run_id", "left_semi")
+
+
+def turn_groups(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn_group, user_chars, replies, reply_chars) of turns (conv_id, turn, role, text): each user turn with what follows it."""
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    number = F.sum(user.cast("long")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return turns.withColumn("turn_group", number).where("turn_group > 0").groupBy("conv_id", "turn_group").agg(
+        F.max(F.when(user, F.char_length("text"))).cast("long").alias("user_chars"),
+        F.count_if(reply).alias("replies"),
+        F.coalesce(F.sum(F.when(reply, F.char_length("text"))), F.lit(0)).cast("long").alias("reply_chars"),
+    )
