@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import patterns as P
@@ -100,15 +101,22 @@ _SERVING, _RETIRED = ("active", "stale"), ("active", "stale", "archived")
 _OPEN: dict[tuple[str, str], index.Index] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The stored index of the records: built for these files once, then opened by every session, and kept open by this one."""
-    name = src.snapshot_name(spark, sf_dir, "documents", "labels")
-    at = f"{shared_dir(spark)}/tidemark/indexes/{name}"
+def _stored(spark: SparkSession, sf_dir: str, text: Column, places: bool = False) -> index.Index:
+    """The stored index of the records' ``text``: built for these files once, then opened by every session, and kept open by this one.
+
+    It is found by the files, by the layout of indexes and by how texts are read, so that none that was built otherwise is opened.
+    """
+    how = hashlib.sha256(f"{index.LAYOUT} {src.TITLE} {text} {tx.tokens(F.col('text'))}".encode()).hexdigest()
+    at = f"{shared_dir(spark)}/tidemark/indexes/{src.snapshot_name(spark, sf_dir, 'documents', 'labels')}-{how[:16]}"
     if (key := (spark.sparkContext.applicationId, at)) not in _OPEN:
-        _OPEN[key] = index.stored(spark, at, 1, src.knowledge_records(spark, sf_dir), "title", "content")
+        _OPEN[key] = index.stored(spark, at, 1, with_defaults(src.knowledge_records(spark, sf_dir)), text=text, places=places)
     return _OPEN[key]
 
 
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return _stored(spark, sf_dir, F.concat_ws(" ", "title", "content"))
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, index.Index]:
     """(query terms, requests, index)"""
     q = src.search_requests(spark, sf_dir)
@@ -787,9 +795,7 @@ def context_pack_greedy(spark, sf_dir):
 def _full(spark, sf_dir):
     """search() over all requests. Its enriched index is stored like the plain one."""
     kr = with_defaults(src.knowledge_records(spark, sf_dir).withColumn("source_session", F.col("project_key")))
-    name = src.snapshot_name(spark, sf_dir, "documents", "labels")
-    text = tx.indexed_text(F.col("title"), F.col("content"), F.col("search_terms"))
-    idx = index.stored(spark, f"{shared_dir(spark)}/tidemark/indexes/{name}-enriched", 1, kr, text=text, places=True)
+    idx = _stored(spark, sf_dir, tx.indexed_text(F.col("title"), F.col("content"), F.col("search_terms")), places=True)
     return search.search(src.search_requests(spark, sf_dir), kr, idx=idx)
 
 

@@ -28,6 +28,8 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SHARES, SALTS = 1024, 32
 #: Rows kept beyond the best k before the floor terms are added.
 SPARE = 64
+#: The layout of stored indexes; whoever changes what they hold, or how texts become terms, changes it.
+LAYOUT = "postings-by-term-1"
 _POSTING = "term STRING, salt INT, id BIGINT, tf BIGINT, doc_len BIGINT, places ARRAY<INT>"
 
 
