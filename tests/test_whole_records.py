@@ -1,6 +1,7 @@
-"""Records keep the whole text of long documents wherever the SQL does not state a part of it."""
+"""Records keep the whole text of long documents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import catalog
 
@@ -35,6 +36,7 @@ def test_traces_are_scrubbed_of_more_than_100_removed_records(spark, tmp_path):
     at = str(tmp_path)
     spark.createDataFrame([(k, "n", "b", "t", 1 if k <= 250 else 2, 1.0) for k in range(1, 301)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{at}/part.parquet")
     lines = [(1, k, k, "N", 1.0) for k in range(1, 301)] + [(2, k, k, "N", 1.0) for k in range(101, 251)] + [(3, 300, 1, "N", 1.0)]
-    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber long, l_returnflag string, l_quantity double").write.parquet(f"{at}/lineitem.parquet")
-    spark.createDataFrame([(i, "F") for i in (1, 2, 3)], "o_orderkey long, o_orderstatus string").write.parquet(f"{at}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber long, l_returnflag string, l_quantity double").withColumn("l_suppkey", F.lit(1)).write.parquet(f"{at}/lineitem.parquet")
+    orders = spark.createDataFrame([(i, "F") for i in (1, 2, 3)], "o_orderkey long, o_orderstatus string")
+    orders.withColumns({"o_custkey": F.lit(1), "o_orderdate": F.lit("2024-01-01").cast("timestamp"), "o_totalprice": F.lit(1.0)}).write.parquet(f"{at}/orders.parquet")
     assert {r.id: r.n_items for r in catalog.queries()["trace_scrub"](spark, at).collect()} == {1: 50, 2: 0, 3: 1}
