@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, langid, minhash, pii, quality, sharding, substring_dedup
+from . import align, bpe, chat, decontaminate, exact_dedup, langid, minhash, pii, quality, sharding, substring_dedup
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,13 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def aligned_tokenizers() -> tuple[str, str]:
+    """The two vocabularies that op13 aligns."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -62,8 +69,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(table(spark, sf_dir, "documents"), *aligned_tokenizers())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_chat, op4_byte_bpe, op5_sharding, op6_near_dedup, op7_quality, op8_language_id, op9_suffix_dedup, op10_exact_dedup)}
+    own = (
+        op1_pii,
+        op2_decontaminate,
+        op3_chat,
+        op4_byte_bpe,
+        op5_sharding,
+        op6_near_dedup,
+        op7_quality,
+        op8_language_id,
+        op9_suffix_dedup,
+        op10_exact_dedup,
+        op13_tokenizer_alignment,
+    )
+    return {f.__name__: f for f in own}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
