@@ -73,7 +73,7 @@ class Pair:
         letters = byte_letters()
         self.bytes_a = {i: bytes(letters[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in token)}
         self.bytes_b = {i: self._piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_control(i) and not self.b.is_unknown(i)}
-        self.space_b = next((i for i, x in self.bytes_b.items() if x == b" "), None)
+        self.space_b = self.b.piece_to_id("▁")
         self.lengths_a, self.lengths_b = (np.array([len(of.get(i, b"")) for i in range(max(of) + 1)], np.int64) for of in (self.bytes_a, self.bytes_b))
         self.words, self.chunks = Known(), Known()
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, bpe, chat, decontaminate, exact_dedup, langid, minhash, pii, quality, sharding, substring_dedup
+from . import align, bpe, chat, codes, decontaminate, exact_dedup, langid, minhash, pii, quality, secret_scan, sharding, substring_dedup
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -69,6 +69,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.report(table(spark, sf_dir, "documents"), *aligned_tokenizers())
 
@@ -85,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_language_id,
         op9_suffix_dedup,
         op10_exact_dedup,
+        op11_vector_codes,
+        op12_secrets,
         op13_tokenizer_alignment,
     )
     return {f.__name__: f for f in own}
@@ -94,6 +104,21 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def _assigned(books: str) -> str:
+    """Each part's nearest entry of some codebooks: vec_id, p, v, e, distance."""
+    distance = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - entry[i]) * (v[i] - entry[i])))"
+    return f"""SELECT vec_id, p, any_value(v) AS v, min({{'x': distance, 'e': e}}).e AS e, min(distance) AS distance
+               FROM (SELECT vec_id, p, v, e, CAST({distance} AS BIGINT) AS distance FROM parts JOIN {books} USING (p)) GROUP BY vec_id, p"""
+
+
+def _moved(books: str, found: str) -> str:
+    """The codebooks after a round: p, e, entry."""
+    return f"""SELECT p, e, coalesce(moved, entry) AS entry FROM {books} LEFT JOIN
+               (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS moved FROM
+                 (SELECT p, e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM {found}, unnest(range(1, len(v) + 1)) AS t(i) GROUP BY p, e, i)
+                GROUP BY p, e) USING (p, e)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": f"""
@@ -131,6 +156,19 @@ def oracle_sql() -> dict[str, str]:
                                  WHEN role = 'assistant' THEN before = 'user' ELSE false END
                             AND (NOT last OR role = 'assistant')) AS valid
             FROM o GROUP BY conv_id""",
+        "op11_vector_codes": f"""
+            WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q FROM embeddings
+                          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            parts AS (SELECT vec_id, p, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] AS v FROM kept, range(16) AS t(p)),
+            seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+            c0 AS MATERIALIZED (SELECT p, e, v AS entry FROM seeds JOIN parts USING (vec_id)),
+            a0 AS MATERIALIZED ({_assigned("c0")}), c1 AS MATERIALIZED ({_moved("c0", "a0")}),
+            a1 AS MATERIALIZED ({_assigned("c1")}), c2 AS MATERIALIZED ({_moved("c1", "a1")}),
+            a2 AS MATERIALIZED ({_assigned("c2")}),
+            coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(distance)::BIGINT AS error FROM a2 GROUP BY vec_id)
+            SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+                   (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM c2) AS codebooks_sha256
+            FROM coded JOIN kept USING (vec_id)""",
         "op10_exact_dedup": r"""
             WITH k AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                               sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h FROM documents),
