@@ -10,8 +10,8 @@ A link is a pair of tokens, one of each side, that end at the same byte. The lin
 exchange). A document's links meet those counts by a broadcast join while there are at most BROADCAST_PAIRS different pairs, which is counted first, and
 by a sort-merge join beyond.
 
-Tokens are made by the public libraries, chunk by chunk: a chunk starts at each space that follows a character other than white space, where either
-tokenizer always ends a token, so the chunks' tokens are the text's tokens. A worker keeps the tokens of chunks that it has met.
+Tokens are made by the public libraries, chunk by chunk: a chunk starts at each space or line feed that follows a character other than white space, where either
+tokenizer always ends a token (no piece of the second goes on over a line feed; that is checked), so the chunks' tokens are the text's tokens. A worker keeps the tokens of chunks that it has met.
 
 Defined results: a null or empty text has no tokens, nor has one whose tokens' bytes, joined, differ from the space and the text (as where a text holds
 U+2581 itself); its counts are 0 and its ``groups_text`` is empty. Repeated rows count as often as they are there; no row is dropped; null ids stay;
@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ from pyspark.sql import types as T
 from .common import columns_of, free_name, small_arrow_batches, staged
 
 #: Where either tokenizer ends a token.
-BOUNDARY = re.compile(r"(?<=\S)(?= )")
-#: A worker keeps chunks of so many characters, each counted as EACH more; about 100 MB.
-CACHE, EACH = 24_000_000, 40
+BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
+#: A worker keeps chunks of so many characters, each counted as EACH more, twice; about 150 MB.
+CACHE, EACH = 20_000_000, 40
 #: Different pairs of ids up to which their counts are broadcast: 24 bytes each, some 64 MB as a hash table.
 BROADCAST_PAIRS = 1_000_000
 TOKENS = ("a_ids", "a_ends", "b_ids", "b_ends")
@@ -51,13 +52,27 @@ def byte_letters() -> dict[str, int]:
 
 
 class Known:
-    """The tokens of chunks that a worker has met, by side; None where a side's bytes differ from the chunk's."""
+    """The tokens of chunks that a worker has met, by side; None where a side's bytes differ from the chunk's. What was not met for long is forgotten."""
 
     def __init__(self):
         self.a: dict[str, bytes | None] = {}
         self.b: dict[str, bytes | None] = {}
+        self.older: tuple[dict, dict] = ({}, {})
         self.size = 0
 
+    def make_room(self, chunks: set[str]) -> None:
+        self.size += sum(map(len, chunks)) + EACH * len(chunks)
+        if self.size > CACHE:
+            self.older, self.a, self.b = (self.a, self.b), {}, {}
+            self.size = sum(map(len, chunks)) + EACH * len(chunks)
+
+    def recall(self, chunks: set[str]) -> set[str]:
+        """Those that are not known."""
+        before = chunks.intersection(self.older[0])
+        for side, old in zip((self.a, self.b), self.older):
+            side.update((c, old[c]) for c in before)
+        return chunks - before
+
 
 class Pair:
     """The two tokenizers, and the bytes of their ids."""
@@ -71,59 +86,68 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = byte_letters()
-        self.bytes_a = {i: bytes(letters[c] for c in token) for token, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in token)}
-        self.bytes_b = {i: self._piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_control(i) and not self.b.is_unknown(i)}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else b""
+        self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        if any(b"\n" in x and x != b"\n" for x in self.bytes_b):
+            raise ValueError("a piece of the second tokenizer goes on over a line feed")
         self.space_b = self.b.piece_to_id("▁")
-        self.lengths_a, self.lengths_b = (np.array([len(of.get(i, b"")) for i in range(max(of) + 1)], np.int64) for of in (self.bytes_a, self.bytes_b))
+        self.lengths_a, self.lengths_b = (np.array(list(map(len, of)), np.int64) for of in (self.bytes_a, self.bytes_b))
         self.words, self.chunks = Known(), Known()
 
     def _piece(self, i: int) -> bytes:
+        if self.b.is_control(i) or self.b.is_unknown(i):
+            return b""
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _cut(self, ids: list[list[int]], of: dict[int, bytes], want: list[bytes]) -> list[bytes | None]:
+    @staticmethod
+    def _cut(ids: list[list[int]], of: list[bytes], want: list[bytes]) -> list[bytes | None]:
         """Each chunk's ids as 32-bit integers; None where their bytes are not what is wanted."""
-        flat = np.fromiter(chain.from_iterable(ids), "<i4")
-        packed, ends = flat.tobytes(), (4 * np.cumsum([len(x) for x in ids])).tolist()
+        flat = array("i", chain.from_iterable(ids))
+        packed, ends = flat.tobytes(), [4 * n for n in accumulate(map(len, ids))]
         parts: list[bytes | None] = [packed[i:j] for i, j in zip([0, *ends], ends)]
-        joined, at = b"".join([of.get(i, b"") for i in flat.tolist()]), 0
-        if joined != b"".join(want):
+        if b"".join(map(of.__getitem__, flat)) != b"".join(want):
             for k, own in enumerate(ids):
-                if b"".join([of.get(i, b"") for i in own]) != want[k]:
+                if b"".join(map(of.__getitem__, own)) != want[k]:
                     parts[k] = None
         return parts
 
     def tokens(self, chunks: list[str]) -> tuple[list[bytes | None], list[bytes | None]]:
-        """The ids of both sides of chunks, each given without the space before it."""
-        spaced = [" " + c for c in chunks]
-        want = [c.encode() for c in spaced]
-        side_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        # a lone space at the end is what the second tokenizer puts before an empty text, but leaves out if nothing follows
-        side_b = [ids if c else [self.space_b] for c, ids in zip(chunks, self.b.encode(chunks, num_threads=1))]
+        """The ids of both sides of chunks."""
+        want = [c.encode() for c in chunks]
+        side_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        # the second tokenizer puts a space before what it gets: it stands for that of a chunk, and goes where a chunk has none
+        side_b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        for k, c in enumerate(chunks):
+            if c[0] != " ":
+                # without that space in front, the bytes will not be those wanted
+                side_b[k] = side_b[k][1:] if side_b[k][0] == self.space_b else [self.space_b, *side_b[k]]
+            elif c == " ":  # what stands before an empty text is left out
+                side_b[k] = [self.space_b]
         return self._cut(side_a, self.bytes_a, want), self._cut(side_b, self.bytes_b, want)
 
-    def learn(self, known: Known, chunks: set[str]) -> None:
-        """Adds chunks. Where there would be too many, only these stay of what was known."""
-        new = [c for c in chunks if c not in known.a]
-        known.size += sum(map(len, new)) + EACH * len(new)
-        if known.size > CACHE:
-            kept = chunks.intersection(known.a)
-            known.a, known.b = ({c: side[c] for c in kept} for side in (known.a, known.b))
-            known.size = sum(map(len, chunks)) + EACH * len(chunks)
+    def learn(self, known: Known, chunks: set[str], spaced: bool) -> None:
+        """Adds chunks; ``spaced`` if they are given without the space before them."""
+        known.make_room(chunks.difference(known.a))
+        new = list(known.recall(chunks.difference(known.a)))
         if new:
-            for side, own in zip((known.a, known.b), self.tokens(new)):
-                side.update(zip(new, own))
+            own = [c if c[0] == "\n" else " " + c for c in new] if spaced else new
+            for side, found in zip((known.a, known.b), self.tokens(own)):
+                side.update(zip(new, found))
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Both sides' ids of whole texts; empty where a text has no tokens."""
-        parted = [t.split(" ") if t else [] for t in texts]
-        # spaces part the chunks of a text unless white space stands before one of them
+        parted = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        # spaces and line feeds part the chunks of a text unless white space stands before one of them
         plain = set().union(*parted)
         edged = {w for w in plain if not w or w[-1].isspace()}
-        odd = [not edged.isdisjoint(own) for own in parted]
-        parted = [[c[1:] for c in BOUNDARY.split(" " + t)] if o else own for t, o, own in zip(texts, odd, parted)]
-        self.learn(self.words, plain - edged)
-        self.learn(self.chunks, {c for own, o in zip(parted, odd) if o for c in own})
+        odd = [not edged.isdisjoint(own) or own[:1] != [] and own[0][0] == "\n" for own in parted]
+        parted = [BOUNDARY.split(" " + t) if o else own for t, o, own in zip(texts, odd, parted)]
+        self.learn(self.words, plain - edged, True)
+        self.learn(self.chunks, {c for own, o in zip(parted, odd) if o for c in own}, False)
         side_a, side_b = [], []
         for own, o in zip(parted, odd):
             known = self.chunks if o else self.words
