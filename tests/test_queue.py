@@ -64,4 +64,16 @@ def test_changes_are_announced_once_for_each_batch(spark, tmp_path):
     stream = spark.readStream.schema("id long, status string").parquet(str(tmp_path / "in"))
     seen = []
     streams.announce(stream, ["status"], lambda note: seen.append(note), str(tmp_path / "ck")).awaitTermination(120)
-    assert seen == [{"batch": 0, "rows": 2, "changes": {"active": 1, "stale": 1}}]
+    assert seen == [{"batch": 0, "rows": 2, "keys": 2, "changes": {"active": 1, "stale": 1}, "other": 0}]
+
+
+def test_notes_add_up_and_counts_of_every_key_are_written(spark, tmp_path):
+    spark.range(0, 350).selectExpr("id", "concat('k', id % 140) AS status").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, status string").parquet(str(tmp_path / "in"))
+    seen = []
+    streams.announce(stream, ["status"], lambda note: seen.append(note), str(tmp_path / "ck"), str(tmp_path / "counts")).awaitTermination(120)
+    (note,) = seen
+    assert (note["rows"], note["keys"], len(note["changes"])) == (350, 140, streams.MAX_KEYS)
+    assert sum(note["changes"].values()) + note["other"] == 350 and note["other"] == 40 * 2 + (350 - 140 * 2 - 70)
+    counts = spark.read.parquet(str(tmp_path / "counts")).where("batch = 0")
+    assert counts.count() == 140 and counts.agg({"n": "sum"}).head()[0] == 350

@@ -92,6 +92,11 @@ def test_agents(spark):
     agents = spark.createDataFrame([("a", True, 1), ("b", False, 1)], "agent_id string, enabled boolean, updated_at long")
     new = lifecycle.register_agents(agents, spark.createDataFrame([("b", True, 2)], agents.schema))
     assert {(r.agent_id, r.enabled) for r in new.collect()} == {("a", True), ("b", True)}
+    same = spark.createDataFrame([("b", True, 1), ("c", False, 5)], agents.schema)
+    for rows in (same, same.orderBy("agent_id"), same.orderBy(F.desc("agent_id"))):
+        assert {(r.agent_id, r.enabled) for r in lifecycle.register_agents(agents, rows).collect()} == {("a", True), ("b", True), ("c", False)}
+    several = spark.createDataFrame([("b", True, 1, 2), ("b", False, 1, 3), ("b", True, 1, 1)], "agent_id string, enabled boolean, updated_at long, seq long")
+    assert {(r.agent_id, r.enabled) for r in lifecycle.register_agents(agents, several).collect()} == {("a", True), ("b", False)}
     asked = spark.createDataFrame([("b",), ("z",)], "agent_id string")
     assert [r.agent_id for r in lifecycle.admitted_agents(asked, agents).collect()] == ["z"]
     assert lifecycle.admitted_agents(asked, agents, True).count() == 0

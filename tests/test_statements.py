@@ -22,6 +22,7 @@ def value(spark, column, *texts):
         ('He said "I use vim. I like it" today.', ['He said "I use vim. I like it" today.']),
         ("If it rains, I use the car.", ["If it rains, I use the car."]),
         ("I use vim (and I am happy).", ["I use vim (and I am happy)."]),
+        ("My service uses mode a) (my cache has pages, and our app runs Python) daily.", ["My service uses mode a) (my cache has pages, and our app runs Python) daily."]),
         ("第一。第二？", ["第一。", "第二？"]),
         ("", []),
     ],

@@ -288,9 +288,16 @@ def _any(parts: list[Column]) -> Column:
 
 
 def register_agents(agents: DataFrame, changes: DataFrame) -> DataFrame:
-    """Upsert: the latest row of each agent."""
-    both = agents.unionByName(changes)
-    return numbered(both, ["agent_id"], [F.desc("updated_at")]).where("n = 1").drop("n")
+    """Upsert: the latest row of each agent.
+
+    Of rows of one time a change comes after what is there, and of changes the one of the highest ``seq``, where they have one; what then is still equal is decided by the
+    rows' own values, never by their place.
+    """
+    seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
+    new = changes.withColumn("__seq", seq).select(*agents.columns, "__seq", F.lit(1).alias("__new"))
+    both = agents.withColumns({"__seq": F.lit(None).cast("long"), "__new": F.lit(0)}).unionByName(new)
+    order = [F.desc("updated_at"), F.desc("__new"), F.desc("__seq"), F.to_json(F.struct(*sorted(agents.columns)))]
+    return numbered(both, ["agent_id"], order).where("n = 1").drop("n", "__seq", "__new")
 
 
 def admitted_agents(requests: DataFrame, agents: DataFrame, require_registration: bool = False) -> DataFrame:

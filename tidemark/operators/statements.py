@@ -49,17 +49,23 @@ def clause_head(text: Column) -> Column:
     return (own != "") & ~hangs & (has(own, P.EXPLICIT_SUBJECT) | intent) & (has(own, P.DECLARATIVE) | intent)
 
 
+def _open_brackets(text: Column) -> Column:
+    """How many brackets are open at a text's end; one that closes nothing counts for nothing."""
+    brackets = F.split(F.regexp_replace(text, r"[^(\[{（【)\]}）】]", ""), "")
+    step = lambda n, c: F.when(c.isin(*"([{（【"), n + 1).when(c == "", n).otherwise(F.greatest(n - 1, F.lit(0)))
+    return F.aggregate(brackets, F.lit(0), step)
+
+
 def _coordinated(sentence: Column) -> Column:
     """A sentence with marks around each coordinator that parts two independent statements, outside of brackets."""
 
     def mark(pieces: Column) -> Column:
         text_of = lambda a, n: F.array_join(F.slice(pieces, a, n), "")
-        opened = lambda t: F.char_length(F.regexp_replace(t, r"[^(\[{（【]", "")) - F.char_length(F.regexp_replace(t, r"[^)\]}）】]", ""))
 
         def piece(p: Column, i: Column) -> Column:
             left, right = text_of(F.lit(1), i), text_of(i + 2, F.size(pieces))
             alone = (
-                (opened(left) <= 0) & clause_head(left) & clause_head(right) & ~has(left, P.UNCERTAIN) & ~has(left, P.TEMPORARY) & ~has(left, P.ATTRIBUTED)
+                (_open_brackets(left) == 0) & clause_head(left) & clause_head(right) & ~has(left, P.UNCERTAIN) & ~has(left, P.TEMPORARY) & ~has(left, P.ATTRIBUTED)
             )
             # every second piece is a coordinator; the last of them is the empty end
             return F.when((i % 2 == 1) & (p != "") & alone, F.concat(F.lit(_CUT), p, F.lit(_CUT))).otherwise(p)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RING = 32
-#: Keys that one note counts by; a note is for people.
+#: Keys that a note spells out; the rest is one sum, and all of them are in the relation of counts.
 MAX_KEYS = 100
 
 
@@ -78,15 +78,22 @@ def learn(turns: DataFrame, batch: Callable[[DataFrame, int], None], dead_letter
     return turns.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def announce(changes: DataFrame, by: list[str], publish: Callable[[dict], None], checkpoint: str) -> StreamingQuery:
-    """Tells ``publish`` of each micro-batch of changes: its number, how many rows it has, and how many by key.
+def announce(changes: DataFrame, by: list[str], publish: Callable[[dict], None], checkpoint: str, counts_to: str | None = None) -> StreamingQuery:
+    """Tells ``publish`` of each micro-batch of changes: its number, how many rows and keys it has, and how many rows by key.
 
-    A note holds counts by a few keys, never rows; a batch that is run again has the same number.
+    A note spells out the keys of most rows; ``other`` has the rows of all other keys, so that a note always adds up to its rows. ``counts_to`` is a folder that gets
+    the counts of every key, one subfolder for each batch. A note holds counts, never rows; a batch that is run again has the same number and replaces its counts.
     """
 
     def run(rows: DataFrame, number: int) -> None:
-        key = F.concat_ws("/", *[F.col(b).cast("string") for b in by])
-        counts = {r["key"]: r["n"] for r in rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).orderBy("key").limit(MAX_KEYS).collect()}
-        publish({"batch": number, "rows": rows.count(), "changes": counts})
+        key = F.concat_ws("/", *[F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by])
+        counts = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+        if counts_to is not None:
+            path = f"{counts_to}/batch={number}"
+            counts.write.mode("overwrite").parquet(path)
+            counts = rows.sparkSession.read.schema("key string, n long").parquet(path)
+        sums = counts.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).head()
+        told = {r["key"]: r["n"] for r in counts.orderBy(F.desc("n"), "key").limit(MAX_KEYS).collect()}
+        publish({"batch": number, "rows": sums.rows, "keys": sums["keys"], "changes": told, "other": sums.rows - sum(told.values())})
 
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
