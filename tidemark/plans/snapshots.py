@@ -54,6 +54,9 @@ class Snapshots:
             self._fs.delete(self._path(staging), True)
             raise Conflict(f"version {version}") from e
 
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
     def vacuum(self, keep: int = 2) -> None:
         for v in self.versions()[:-keep]:
             self._fs.delete(self._path(f"{self.root}/v{v:08d}"), True)
