@@ -1,10 +1,9 @@
 """Alignment of two tokenizers over the same bytes.
 
 Both tokenizers encode a text with one space before it; a token's end is the offset of the byte after its last. Only the tokens and their ends are made
-in Python. Everything after that is higher-order functions over arrays: ``array_intersect`` of the two arrays of ends gives the cuts; a text of marks, one
-byte for each byte of the document, tells in one step whether an offset is a cut; ``sequence`` filtered by those marks gives the place of each group's last
-token, ``transform`` the groups and links, and ``aggregate`` binds what several lambdas read, so that it is worked out once for a row. Each step takes one
-pass over the tokens, however long the document.
+in Python. Everything after that is higher-order functions over arrays: ``array_intersect`` of the two arrays of ends gives the cuts; ``sequence`` over a side's ends
+and the cuts in one order gives the place of each group's last token, ``transform`` and ``zip_with`` the groups and links, and ``aggregate`` binds what several lambdas
+read, so that it is worked out once for a row. Each step takes one pass over the tokens, or sorts them, however long the document.
 
 A link is a pair of tokens, one of each side, that end at the same byte. The links of all documents are counted by pair of ids (partial counts before the
 exchange). A document's links meet those counts by a broadcast join while there are at most BROADCAST_PAIRS different pairs, which is counted first, and
@@ -22,9 +21,8 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +34,10 @@ from .common import columns_of, free_name, small_arrow_batches, staged
 
 #: Where either tokenizer ends a token.
 BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
-#: A worker keeps chunks of so many characters, each counted as EACH more, twice; about 150 MB.
+#: A worker keeps chunks of so many characters, each counted as EACH more; about 100 MB.
 CACHE, EACH = 20_000_000, 40
+#: Characters of new chunks that are encoded as one text.
+RUN = 1 << 15
 #: Different pairs of ids up to which their counts are broadcast: 24 bytes each, some 64 MB as a hash table.
 BROADCAST_PAIRS = 1_000_000
 TOKENS = ("a_ids", "a_ends", "b_ids", "b_ends")
@@ -52,26 +52,44 @@ def byte_letters() -> dict[str, int]:
 
 
 class Known:
-    """The tokens of chunks that a worker has met, by side; None where a side's bytes differ from the chunk's. What was not met for long is forgotten."""
+    """The tokens of chunks that a worker has met: a number for each chunk, and both sides' ids by number. No ids: a side's bytes differ from the chunk's.
 
-    def __init__(self):
-        self.a: dict[str, bytes | None] = {}
-        self.b: dict[str, bytes | None] = {}
-        self.older: tuple[dict, dict] = ({}, {})
-        self.size = 0
+    Of too many chunks the half that was met last stays.
+    """
 
-    def make_room(self, chunks: set[str]) -> None:
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.flat = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.met, self.size, self.now = np.zeros(0, np.int64), 0, 0
+
+    def add(self, chunks: list[str], sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """``sides``: the ids of all the chunks in a row, and how many each has."""
+        first = len(self.number)
+        self.number.update(zip(chunks, range(first, first + len(chunks))))
+        for k, (ids, lengths) in enumerate(sides):
+            self.flat[k] = np.concatenate([self.flat[k], ids])
+            self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum(lengths)])
+        self.met = np.concatenate([self.met, np.full(len(chunks), self.now)])
         self.size += sum(map(len, chunks)) + EACH * len(chunks)
-        if self.size > CACHE:
-            self.older, self.a, self.b = (self.a, self.b), {}, {}
-            self.size = sum(map(len, chunks)) + EACH * len(chunks)
 
-    def recall(self, chunks: set[str]) -> set[str]:
-        """Those that are not known."""
-        before = chunks.intersection(self.older[0])
-        for side, old in zip((self.a, self.b), self.older):
-            side.update((c, old[c]) for c in before)
-        return chunks - before
+    def forget(self) -> None:
+        if self.size > CACHE:
+            kept = np.flatnonzero(self.met >= np.median(self.met) + (self.met.min() == self.met.max()))
+            names = np.array(list(self.number), object)[kept].tolist()
+            sides = [self.ids(kept, k) for k in range(2)]
+            met, now = self.met[kept], self.now
+            self.__init__()
+            self.now = now
+            self.add(names, sides)
+            self.met = met
+
+    def ids(self, numbers: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in a row, and how many each has."""
+        start, end = self.starts[side][numbers], self.starts[side][numbers + 1]
+        lengths = end - start
+        shift = np.repeat(start - (np.cumsum(lengths) - lengths), lengths)
+        return self.flat[side][shift + np.arange(len(shift))], lengths
 
 
 class Pair:
@@ -103,43 +121,61 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    @staticmethod
-    def _cut(ids: list[list[int]], of: list[bytes], want: list[bytes]) -> list[bytes | None]:
-        """Each chunk's ids as 32-bit integers; None where their bytes are not what is wanted."""
-        flat = array("i", chain.from_iterable(ids))
-        packed, ends = flat.tobytes(), [4 * n for n in accumulate(map(len, ids))]
-        parts: list[bytes | None] = [packed[i:j] for i, j in zip([0, *ends], ends)]
-        if b"".join(map(of.__getitem__, flat)) != b"".join(want):
-            for k, own in enumerate(ids):
-                if b"".join(map(of.__getitem__, own)) != want[k]:
-                    parts[k] = None
-        return parts
-
-    def tokens(self, chunks: list[str]) -> tuple[list[bytes | None], list[bytes | None]]:
-        """The ids of both sides of chunks."""
-        want = [c.encode() for c in chunks]
-        side_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        # the second tokenizer puts a space before what it gets: it stands for that of a chunk, and goes where a chunk has none
-        side_b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        for k, c in enumerate(chunks):
+    def _ids(self, side: int, texts: list[str]) -> list[list[int]]:
+        """A side's ids of texts that start with a space or a line feed."""
+        if side == 0:
+            return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        # the second tokenizer puts a space before what it gets: it stands for that of a text, and goes where a text has none
+        out = self.b.encode([c[1:] if c[0] == " " else c for c in texts], num_threads=1)
+        for k, c in enumerate(texts):
             if c[0] != " ":
                 # without that space in front, the bytes will not be those wanted
-                side_b[k] = side_b[k][1:] if side_b[k][0] == self.space_b else [self.space_b, *side_b[k]]
+                out[k] = out[k][1:] if out[k][0] == self.space_b else [self.space_b, *out[k]]
             elif c == " ":  # what stands before an empty text is left out
-                side_b[k] = [self.space_b]
-        return self._cut(side_a, self.bytes_a, want), self._cut(side_b, self.bytes_b, want)
-
-    def learn(self, known: Known, chunks: set[str], spaced: bool) -> None:
-        """Adds chunks; ``spaced`` if they are given without the space before them."""
-        known.make_room(chunks.difference(known.a))
-        new = list(known.recall(chunks.difference(known.a)))
+                out[k] = [self.space_b]
+        return out
+
+    def _each(self, side: int, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks one by one; none for those whose bytes differ."""
+        of = (self.bytes_a, self.bytes_b)[side]
+        found = [ids if b"".join(map(of.__getitem__, ids)) == c.encode() else [] for c, ids in zip(chunks, self._ids(side, chunks))]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.array(list(map(len, found)), np.int64)
+
+    def _together(self, side: int, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks that may stand in one text, as none of them ends with white space: they are encoded as texts of about RUN characters."""
+        of, lengths = ((self.bytes_a, self.lengths_a), (self.bytes_b, self.lengths_b))[side]
+        ids, counts, first = [], [], 0
+        sizes = np.cumsum([len(c) for c in chunks])
+        while first < len(chunks):
+            last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + RUN)))
+            own = chunks[first:last]
+            text = "".join(own)
+            (found,) = self._ids(side, [text])
+            got = np.array(found, np.int32)
+            ends = np.concatenate([[0], np.cumsum(lengths[got])])
+            wanted = np.cumsum([len(c.encode()) for c in own])
+            at = np.searchsorted(ends, wanted)
+            if at[-1] < len(ends) and (ends[at] == wanted).all() and b"".join(map(of.__getitem__, found)) == text.encode():
+                ids.append(got)
+                counts.append(np.diff(at, prepend=0))
+            else:
+                one, n = self._each(side, own)
+                ids.append(one)
+                counts.append(n)
+            first = last
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def learn(self, known: Known, chunks: set[str], plain: bool) -> None:
+        """Adds chunks; ``plain`` ones are given without the space before them, and do not end with white space."""
+        known.now += 1
+        known.forget()
+        new = list(chunks.difference(known.number))
         if new:
-            own = [c if c[0] == "\n" else " " + c for c in new] if spaced else new
-            for side, found in zip((known.a, known.b), self.tokens(own)):
-                side.update(zip(new, found))
+            own = [c if c[0] == "\n" else " " + c for c in new] if plain else new
+            known.add(new, [(self._together if plain else self._each)(side, own) for side in range(2)])
 
-    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
-        """Both sides' ids of whole texts; empty where a text has no tokens."""
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of whole texts in a row, and how many each text has; none where a text has no tokens."""
         parted = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
         # spaces and line feeds part the chunks of a text unless white space stands before one of them
         plain = set().union(*parted)
@@ -148,16 +184,21 @@ class Pair:
         parted = [BOUNDARY.split(" " + t) if o else own for t, o, own in zip(texts, odd, parted)]
         self.learn(self.words, plain - edged, True)
         self.learn(self.chunks, {c for own, o in zip(parted, odd) if o for c in own}, False)
-        side_a, side_b = [], []
-        for own, o in zip(parted, odd):
-            known = self.chunks if o else self.words
-            try:
-                a, b = b"".join(map(known.a.__getitem__, own)), b"".join(map(known.b.__getitem__, own))
-            except TypeError:  # a chunk's bytes differ
-                a = b = b""
-            side_a.append(a)
-            side_b.append(b)
-        return side_a, side_b
+        sides: list[list] = [[None] * len(texts), [None] * len(texts)]
+        for known, which in ((self.words, False), (self.chunks, True)):
+            rows = [r for r, o in enumerate(odd) if o == which]
+            sizes = np.array([len(parted[r]) for r in rows], np.int64)
+            numbers = np.fromiter(map(known.number.__getitem__, chain.from_iterable(parted[r] for r in rows)), np.int64, int(sizes.sum()))
+            known.met[numbers] = known.now
+            of = np.repeat(np.arange(len(rows)), sizes)
+            found = [known.ids(numbers, side) for side in range(2)]
+            differs = np.zeros(len(rows), bool)
+            differs[of[(found[0][1] == 0) | (found[1][1] == 0)]] = True
+            for side, (ids, lengths) in enumerate(found):
+                ends = np.cumsum(np.bincount(of, lengths, len(rows)).astype(np.int64))
+                for k, (r, own) in enumerate(zip(rows, np.split(ids, ends[:-1]) if rows else [])):
+                    sides[side][r] = own[:0] if differs[k] else own
+        return [(np.concatenate([np.zeros(0, np.int32), *own]), np.array(list(map(len, own)), np.int64)) for own in sides]
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -170,10 +211,16 @@ def pair(path_a: str, path_b: str) -> Pair:
     return _PAIRS[path_a, path_b]
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)))
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+
+
+def _ends(sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of token sizes that begin anew with each text."""
+    total = np.cumsum(sizes)
+    before = np.concatenate([[0], total])[np.cumsum(lengths) - lengths]
+    return total - np.repeat(before, lengths)
 
 
 def tokenise(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text") -> DataFrame:
@@ -189,9 +236,8 @@ def tokenise(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text")
             names = batch.schema.names
             sides = own.encode(batch.column(names.index(text_col)).to_pylist())
             made = []
-            for side, lengths in zip(sides, (own.lengths_a, own.lengths_b)):
-                ids = [np.frombuffer(x, "<i4") for x in side]
-                made += [_lists(ids), _lists([lengths[x].cumsum() for x in ids])]
+            for (ids, counts), sizes in zip(sides, (own.lengths_a, own.lengths_b)):
+                made += [_lists(ids, counts), _lists(_ends(sizes[ids], counts), counts)]
             keep = [i for i, n in enumerate(names) if n.lower() not in taken]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + made, schema.names)
 
@@ -208,9 +254,14 @@ def _before(values: Column, first: int) -> Column:
     return F.concat(F.array(F.lit(first)), F.slice(values, 1, F.size(values) - 1))
 
 
-def _places(ends: Column, marks: Column) -> Column:
-    """Places of the tokens that end at a mark."""
-    return _let(ends, lambda own: F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.substring(marks, F.get(own, i), F.lit(1)) == F.lit(b"1")))
+def _places(ends: Column, cuts: Column) -> Column:
+    """Places of the tokens that end at a cut.
+
+    Among the ends and the cuts in one order, a cut stands right behind the end that equals it; of what stands before it there, so many are cuts as came before it.
+    """
+    order = F.sort_array(F.concat(ends, cuts))
+    found = _let(order, lambda own: F.filter(F.sequence(F.lit(1), F.size(own) - 1), lambda i: F.get(own, i) == F.get(own, i - 1)))
+    return F.transform(found, lambda i, k: i - k - 1)
 
 
 def _links(a_ids: Column, b_ids: Column, a_last: Column, b_last: Column) -> Column:
@@ -223,19 +274,16 @@ def align(tokens: DataFrame) -> DataFrame:
     cuts, found = free_name("cuts", tokens), free_name("found", tokens)
     a_ids, a_ends, b_ids, b_ends = (F.col(c) for c in TOKENS)
 
-    def places(marks: Column) -> Column:
-        both = F.struct(_places(a_ends, marks).alias("a"), _places(b_ends, marks).alias("b"))
-        return _let(both, lambda x: _let(F.struct(a_ids.alias("a"), b_ids.alias("b")), lambda own: result(own, x["a"], x["b"])))
-
-    def result(own: Column, a_last: Column, b_last: Column) -> Column:
-        return F.struct(a_last.alias("a_last"), b_last.alias("b_last"), _links(own["a"], own["b"], a_last, b_last).alias("links"))
+    def places(own: Column) -> Column:
+        return _let(F.struct(_places(a_ends, own).alias("a"), _places(b_ends, own).alias("b")), result)
 
-    def marked(own: Column) -> Column:
-        return F.array_join(F.zip_with(own, _before(own, 0), lambda end, start: F.lpad(F.lit("1"), end - start, F.lit("0"))), "").cast("binary")
+    def result(last: Column) -> Column:
+        links = _let(F.struct(a_ids.alias("a"), b_ids.alias("b")), lambda ids: _links(ids["a"], ids["b"], last["a"], last["b"]))
+        return F.struct(last["a"].alias("a_last"), last["b"].alias("b_last"), links.alias("links"))
 
     none = F.struct(*(F.array().cast(kind).alias(n) for n, kind in (("a_last", "array<int>"), ("b_last", "array<int>"), ("links", "array<bigint>"))))
     own = tokens.withColumn(cuts, F.array_intersect(a_ends, b_ends))
-    own = own.withColumn(found, F.when(F.size(cuts) > 0, _let(_let(F.col(cuts), marked), places)).otherwise(none))
+    own = own.withColumn(found, F.when(F.size(cuts) > 0, _let(F.col(cuts), places)).otherwise(none))
     return own.select(*columns_of(own, names), f"{found}.a_last", f"{found}.b_last", f"{found}.links")
 
 
