@@ -30,7 +30,7 @@ SHARES, SALTS = 1024, 32
 SPARE = 64
 #: The layout of stored indexes; whoever changes what they hold, or how texts become terms, changes it.
 LAYOUT = "postings-by-term-1"
-_POSTING = "term STRING, salt INT, id BIGINT, tf BIGINT, doc_len BIGINT, places ARRAY<INT>"
+_POSTING = "term STRING, salt INT, id {id}, tf BIGINT, doc_len BIGINT, places ARRAY<INT>"
 
 
 def tokenized(records: DataFrame, text: Column) -> DataFrame:
@@ -88,7 +88,7 @@ class Index:
         # fewer than SHARES terms are hot
         warm = F.broadcast(terms.where("salts > 1").select("term", "salts"))
         dealt = raw.join(warm, "term", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
-        bucketed.write(dealt.select("term", "salt", "id", "tf", "doc_len", "places"), f"{path}/postings", _POSTING, ["term", "salt"], buckets)
+        bucketed.write(dealt.select("term", "salt", "id", "tf", "doc_len", "places"), f"{path}/postings", _POSTING.format(id=raw.schema["id"].dataType.simpleString()), ["term", "salt"], buckets)
         terms.write.parquet(f"{path}/frequencies")
         length = raw.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).head().n
         n = records.count()
@@ -98,7 +98,9 @@ class Index:
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
         found = spark.read.parquet(f"{path}/numbers").head()
-        rows = bucketed.read(spark, f"{path}/postings", _POSTING, ["term", "salt"], found.buckets)
+        # ids are as the records have them
+        kind = spark.read.parquet(f"{path}/postings").schema["id"].dataType.simpleString()
+        rows = bucketed.read(spark, f"{path}/postings", _POSTING.format(id=kind), ["term", "salt"], found.buckets)
         return Index(rows, spark.read.parquet(f"{path}/frequencies"), found.n_docs, found.avg_len)
 
     def of(self, terms: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ class Relation:
     """``owner``: the column whose value removes rows. ``sums``: key columns, counts to add, stamps of which the latest counts."""
 
     name: str
-    schema: str
+    schema: str | T.StructType
     owner: str | None = None
     key: tuple[str, ...] = ()
     counts: tuple[str, ...] = ()
@@ -50,7 +50,7 @@ class Relation:
 
     @property
     def fields(self) -> T.StructType:
-        return T.StructType.fromDDL(self.schema)
+        return T.StructType.fromDDL(self.schema) if isinstance(self.schema, str) else self.schema
 
 
 @dataclass
