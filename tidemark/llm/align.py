@@ -1,9 +1,10 @@
 """Alignment of two tokenizers over the same bytes.
 
 Both tokenizers encode a text with one space before it; a token's end is the offset of the byte after its last. Only the tokens and their ends are made
-in Python. Everything after that is higher-order functions over arrays: ``array_intersect`` of the two arrays of ends gives the cuts; ``sequence`` over a side's ends
-and the cuts in one order gives the place of each group's last token, ``transform`` and ``zip_with`` the groups and links, and ``aggregate`` binds what several lambdas
-read, so that it is worked out once for a row. Each step takes one pass over the tokens, or sorts them, however long the document.
+in Python. Everything after that is higher-order functions over arrays: ``array_intersect`` of the two arrays of ends gives the cuts; a text of marks made of them, one
+byte for each byte of the document, tells in one step whether an offset is a cut; ``sequence`` filtered by those marks gives the place of each group's last token, ``zip_with`` (a
+``transform`` of two arrays) the groups and links, and ``aggregate`` binds what several lambdas read, so that it is worked out once for a row. Each step takes one pass over the
+tokens, however long the document.
 
 A link is a pair of tokens, one of each side, that end at the same byte. The links of all documents are counted by pair of ids (partial counts before the
 exchange). A document's links meet those counts by a broadcast join while there are at most BROADCAST_PAIRS different pairs, which is counted first, and
@@ -254,14 +255,14 @@ def _before(values: Column, first: int) -> Column:
     return F.concat(F.array(F.lit(first)), F.slice(values, 1, F.size(values) - 1))
 
 
-def _places(ends: Column, cuts: Column) -> Column:
-    """Places of the tokens that end at a cut.
+def _marks(cuts: Column) -> Column:
+    """A byte for each byte up to the last cut: 1 where there is a cut."""
+    return F.array_join(F.zip_with(cuts, _before(cuts, 0), lambda end, start: F.lpad(F.lit("1"), end - start, F.lit("0"))), "").cast("binary")
 
-    Among the ends and the cuts in one order, a cut stands right behind the end that equals it; of what stands before it there, so many are cuts as came before it.
-    """
-    order = F.sort_array(F.concat(ends, cuts))
-    found = _let(order, lambda own: F.filter(F.sequence(F.lit(1), F.size(own) - 1), lambda i: F.get(own, i) == F.get(own, i - 1)))
-    return F.transform(found, lambda i, k: i - k - 1)
+
+def _places(ends: Column, marks: Column) -> Column:
+    """Places of the tokens that end at a cut."""
+    return _let(ends, lambda own: F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.substring(marks, F.get(own, i), F.lit(1)) == F.lit(b"1")))
 
 
 def _links(a_ids: Column, b_ids: Column, a_last: Column, b_last: Column) -> Column:
@@ -274,16 +275,16 @@ def align(tokens: DataFrame) -> DataFrame:
     cuts, found = free_name("cuts", tokens), free_name("found", tokens)
     a_ids, a_ends, b_ids, b_ends = (F.col(c) for c in TOKENS)
 
-    def places(own: Column) -> Column:
-        return _let(F.struct(_places(a_ends, own).alias("a"), _places(b_ends, own).alias("b")), result)
+    def places(marks: Column) -> Column:
+        return _let(_places(a_ends, marks), lambda a_last: _let(_places(b_ends, marks), lambda b_last: result(a_last, b_last)))
 
-    def result(last: Column) -> Column:
-        links = _let(F.struct(a_ids.alias("a"), b_ids.alias("b")), lambda ids: _links(ids["a"], ids["b"], last["a"], last["b"]))
-        return F.struct(last["a"].alias("a_last"), last["b"].alias("b_last"), links.alias("links"))
+    def result(a_last: Column, b_last: Column) -> Column:
+        links = _let(a_ids, lambda a: _let(b_ids, lambda b: _links(a, b, a_last, b_last)))
+        return F.struct(a_last.alias("a_last"), b_last.alias("b_last"), links.alias("links"))
 
     none = F.struct(*(F.array().cast(kind).alias(n) for n, kind in (("a_last", "array<int>"), ("b_last", "array<int>"), ("links", "array<bigint>"))))
     own = tokens.withColumn(cuts, F.array_intersect(a_ends, b_ends))
-    own = own.withColumn(found, F.when(F.size(cuts) > 0, _let(F.col(cuts), places)).otherwise(none))
+    own = own.withColumn(found, F.when(F.size(cuts) > 0, _let(_let(F.col(cuts), _marks), places)).otherwise(none))
     return own.select(*columns_of(own, names), f"{found}.a_last", f"{found}.b_last", f"{found}.links")
 
 
