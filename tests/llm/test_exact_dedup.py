@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup
@@ -29,10 +30,10 @@ def test_equals_brute_force_on_awkward_rows(spark):
 def test_index_persists_and_keeps_what_came_first(spark):
     path = fresh_path(spark, "index-test")
     old = spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id long, text string")
-    exact_dedup.deduplicate(old, exact_dedup.DigestIndex(spark, path, 4)).collect()
+    exact_dedup.deduplicate(old, exact_dedup.DigestIndex(spark, path, 4), batch="old").collect()
     new = spark.createDataFrame([(1, "ab  "), (2, "d"), (3, "d ")], "doc_id long, text string")
     index = exact_dedup.DigestIndex(spark, path, 4)
-    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.deduplicate(new, index).collect()}
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.deduplicate(new, index, batch="new").collect()}
     assert got == {1: (5, False), 2: (3, False), 3: (3, True)}
     assert index.rows().count() == 3
     assert "Exchange" not in index.rows().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString().replace("AdaptiveSparkPlan", "")
@@ -42,12 +43,20 @@ def test_a_batch_that_is_run_again_gets_the_same_decisions(spark):
     path = fresh_path(spark, "index-again")
     old = spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id long, text string")
     new = spark.createDataFrame([(1, "ab  "), (2, "d"), (3, "d ")], "doc_id long, text string")
-    for name in (None, "monday"):
-        at = f"{path}-{name}"
-        run = lambda df, b: sorted(map(repr, exact_dedup.deduplicate(df, exact_dedup.DigestIndex(spark, at, 4), batch=b and b + str(df is new)).collect()))  # noqa: B023, E731
-        first = run(old, name), run(new, name)
-        assert (run(old, name), run(new, name)) == first
-        assert exact_dedup.DigestIndex(spark, at, 4).rows().count() == 3
+    run = lambda df, b: sorted(map(repr, exact_dedup.deduplicate(df, exact_dedup.DigestIndex(spark, path, 4), batch=b).collect()))
+    first = run(old, "monday"), run(new, "tuesday")
+    assert (run(old, "monday"), run(new, "tuesday")) == first
+    assert exact_dedup.DigestIndex(spark, path, 4).rows().count() == 3
+    with pytest.raises(ValueError):
+        exact_dedup.deduplicate(new, exact_dedup.DigestIndex(spark, path, 4))
+
+
+def test_a_delivery_that_comes_again_is_all_duplicates(spark):
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index-redelivery"), 4)
+    kept = lambda rows, b: [r.kept for r in sorted(exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), index, batch=b).collect())]
+    rows = [(1, "aa"), (2, "bb")]
+    assert kept(rows, "1") == [True, True] and kept(rows, "2") == [False, False]
+    assert kept([*rows, (3, "cc")], "3") == [False, False, True] and kept([*rows, (3, "cc")], "3") == [False, False, True]
 
 
 def test_a_batch_that_failed_half_way_is_finished(spark):
@@ -63,7 +72,7 @@ def test_merged_index_keeps_its_rows(spark):
     path = fresh_path(spark, "index-merge")
     index = exact_dedup.DigestIndex(spark, path, 2)
     for k in range(3):
-        exact_dedup.deduplicate(spark.createDataFrame([(i, f"text {i}") for i in range(5 * k, 5 * k + 10)], "doc_id long, text string"), index)
+        exact_dedup.deduplicate(spark.createDataFrame([(i, f"text {i}") for i in range(5 * k, 5 * k + 10)], "doc_id long, text string"), index, batch=str(k))
     before = sorted(map(repr, index.rows().collect()))
     index.merge()
     again = exact_dedup.DigestIndex(spark, path, 2)

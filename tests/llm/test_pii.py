@@ -1,14 +1,13 @@
 import hashlib
-import os
 import re
 
+import numpy as np
 import pytest
 
 from tidemark.llm import pii
 
 from . import awkward
 
-DATA = "/root/testdata/sf0.001"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -77,10 +76,7 @@ CLEAN = ["The meeting is on 2024-05-17 at noon.", "Licensed under CC BY-NC 4.0."
 
 @pytest.fixture(scope="module")
 def model(spark):
-    if not os.path.isdir(DATA):
-        pytest.skip("no tables here")
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    return pii.model_for(docs)
+    return pii.model_of(spark)
 
 
 def test_base_spans_equal_plain_patterns(spark, model):
@@ -110,14 +106,30 @@ def test_forms_that_were_missed_once(spark, model):
     assert not missed
 
 
-def test_documents_give_hard_negatives_and_words(spark):
-    docs = spark.createDataFrame([(str(i), f"some plain words number {i} with a card 1234 5678 9012 345{i % 10} and a.b@c.de, then many more words that follow it to the end") for i in range(40)], "id string, text string")
-    x, y, kind, held, number, made = pii.labelled(spark, docs, 40)
-    assert len(made) == 40 and len(x) == len(y) == len(kind) == len(held) == len(number) and 0 < y.sum() < len(y)
-    assert sum((kind == 2) & (y == 0)) >= 30 and 0 < held.mean() < 1
-    # the base address is no candidate
-    assert sum(kind == 0) < 40
-    assert pii.labelled(spark, docs, 40)[0].tolist() == x.tolist()
+def test_examples_are_the_same_each_time(spark):
+    x, y, kind, held, number, made = pii.labelled(spark, 400)
+    assert len(made) == 400 and len(x) == len(y) == len(kind) == len(held) == len(number) and 0 < y.sum() < len(y) and 0 < held.mean() < 1
+    assert pii.labelled(spark, 400)[0].tolist() == x.tolist()
+
+
+def test_what_a_corpus_holds_does_not_hide_it(spark):
+    """As many disguised mails as documents: each is found, and a text has the result that it has alone."""
+    rows = [(i, f"please write to kim.lee{i} (at) corp{i} (dot) example about it, number {i}") for i in range(400)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("email:" in s for s in got.values()) and len(got) == 400
+    alone = pii.report(spark.createDataFrame(rows[7:8], "doc_id long, text string")).head()
+    assert alone.spans == got[7]
+
+
+def test_a_stored_model_is_opened(spark, tmp_path, model, monkeypatch):
+    path = str(tmp_path / "pii-1")
+    first = pii.model_of(spark, path)
+    monkeypatch.setattr(pii, "train", lambda *_: pytest.fail("fitted again"))
+    monkeypatch.setattr(pii, "_MODELS", [])
+    again = pii.model_of(spark, path)
+    assert again.thresholds == first.thresholds == model.thresholds
+    x = np.random.default_rng(1).normal(size=(200, pii.labelled(spark, 8)[0].shape[1])) * 5
+    assert (again.trees.probabilities(x) == model.trees.probabilities(x)).all()
 
 
 def test_spans_beyond_one_block_are_placed_right(spark, model):

@@ -31,6 +31,17 @@ class Trees:
             total = total + branch(t)
         return 1 / (1 + F.exp(-total))
 
+    def told(self) -> list:
+        """What of() makes the trees of again: lists and numbers."""
+        return [self.base, self.trees]
+
+    @staticmethod
+    def of(told: list) -> Trees:
+        def node(x) -> Node:
+            return (int(x[0]), float(x[1]), node(x[2]), node(x[3])) if isinstance(x, list) else float(x)
+
+        return Trees(float(told[0]), [node(t) for t in told[1]])
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.base + sum(_apply(t, x) for t in self.trees))))
 

@@ -47,9 +47,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes what was staged inside. For results that have been written; rows still to be computed would miss it."""
     before = len(_STAGED)
-    yield
-    while len(_STAGED) > before:
-        drop_path(spark, _STAGED.pop())
+    try:
+        yield
+    finally:
+        while len(_STAGED) > before:
+            drop_path(spark, _STAGED.pop())
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

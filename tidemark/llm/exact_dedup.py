@@ -3,9 +3,9 @@
 The index is a Parquet table, bucketed and sorted by digest. New data is reduced to one row per digest, compared with
 the index by a sort-merge anti-join (the index side needs no exchange) and the digests that are new are appended.
 
-Every digest carries the batch that brought it. A batch never counts its own digests as known, so a batch that is run
-again, because its job failed after the append or before its rows were written, gets the same decisions again. Unless it is
-named, a batch is named by a checksum of its content.
+Every digest carries the batch that brought it, which whoever gives an index must name. A batch never counts its own digests as known, so a
+batch that is run again under its name, because its job failed after the append or before its rows were written, gets the same decisions
+again; the same rows under another name are a delivery of their own, and are all duplicates.
 
 Defined results: null text counts as empty; empty texts are equal to each other; repeated rows (same id and text) are
 members of one group, and the row with the smallest id stays; an empty table gives an empty result; a null id sorts
@@ -129,21 +129,16 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def content_name(winners: DataFrame) -> str:
-    """A batch's name by what it brings: checksums of all its winners, in whatever order."""
-    row = F.struct("digest", "keep_id", "n_chars")
-    found = winners.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(row)).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), row)).alias("b")).head()
-    return f"{found.n}-{(found.a or 0) & (1 << 64) - 1:016x}{(found.b or 0) & (1 << 64) - 1:016x}"
-
-
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """A decision for each row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts in ``docs`` the longest original stays, then the smallest id; what other batches brought to the index
-    stays before either. The same batch (of the same name, or content if it has no name) gets the same decisions however often it is run. Groups are
+    stays before either. ``batch`` names the delivery, and is required with an index: run again under its name it gets the same decisions. Groups are
     reduced before they are exchanged, so that a hot digest moves one row per task; the join
     back is a sort-merge join of two exchanged sides, which AQE splits where a digest is hot.
     """
+    if index is not None and not batch:
+        raise ValueError("a batch that goes to an index needs a name")
     spark = docs.sparkSession
     own = index or DigestIndex(spark, fresh_path(spark, "digests"))
     rows = staged(keyed(docs, id_col, text_col), "keyed")
@@ -153,7 +148,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
         .select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("n_chars"), "group_size"),
         "best",
     )
-    batch = batch or content_name(best)
+    batch = batch or "only"
     known = own.known(batch)
     if known.isEmpty():
         fresh, decided = best, best.select("digest", "keep_id", "group_size", F.lit(False).alias("known"))
