@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, exact_dedup, langid, minhash
-from tidemark.llm.common import fresh_path, scratch, table
+from tidemark.llm.common import drop_path, fresh_path, scratch, table
 from tidemark.llm.queries import tokenizer
 
 
@@ -65,11 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
-        # what a stage has staged is not needed once its rows are written
+        # what a stage has staged is not needed once its rows are written, nor are the rows of the stage before
         with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
