@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import index, search
 
@@ -204,3 +205,24 @@ def test_recall_packs_recovers_and_traces(spark):
     assert [(r.id, r.to_status) for r in back.collect()] == [(2, "active")]
     said = spark.createDataFrame([(trace.trace_id, "as kn_2 says")], "trace_id string, assistant_text string")
     assert [i.citation_observed for i in cited(traces, said).head()["items"]] == [False, True]
+
+
+def test_quotes_are_found_as_a_scan_of_all_texts_finds_them(spark):
+    import random
+
+    r = random.Random(12)
+    letters = ["ab", "cd", "abc", "été", "Straße", "日本", "x1", "-", ".", " ", " ", "\n", "ABC", "Σας"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(60)]
+    quotes = []
+    for k in range(60):
+        t = r.choice(texts)
+        a = r.randrange(len(t) + 1)
+        quotes.append(t[a : a + r.randint(1, 25)] if k % 3 else "".join(r.choice(letters) for _ in range(r.randint(1, 4))))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked = spark.createDataFrame(list(enumerate(quotes)), "query_id long, quote string")
+    idx = index.Index.build(rows, "text")
+    found = index.containing(asked, rows, idx)
+    want = {(q, i) for q, own in enumerate(quotes) for i, t in enumerate(texts) if own and own in t}
+    assert {(x.query_id, x.id) for x in found.collect()} == want and found.count() == len(want) > 100
+    named = asked.where(F.col("quote").rlike("[a-z]"))
+    assert "NestedLoop" not in index.containing(named, rows, idx)._jdf.queryExecution().executedPlan().toString()

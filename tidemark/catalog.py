@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +14,8 @@ from .functions import patterns as P
 from .functions import text as tx
 from .operators import evaluate, expand, experiences, gates, governance, index, lifecycle, metrics, projections, reports, reuse, search, statements, versions
 from .sources import adapters as src
+from .plans import relations
+from .plans.snapshots import Conflict, Snapshots
 from .plans.staging import shared_dir
 from .schemas import with_defaults
 from .sources.corpora import chunks
@@ -101,15 +105,40 @@ _SERVING, _RETIRED = ("active", "stale"), ("active", "stale", "archived")
 _OPEN: dict[tuple[str, str], index.Index] = {}
 
 
+def _place(spark: SparkSession, sf_dir: str, how: str) -> str:
+    """The folder of what is derived from these files in some way, which is told by text; the numbers of lambda variables are not a part of it."""
+    told = hashlib.sha256(re.sub(r"\b([xyz])_\d+", r"\1", how).encode()).hexdigest()
+    return f"{shared_dir(spark)}/tidemark/indexes/{src.snapshot_name(spark, sf_dir, 'documents', 'labels')}-{told[:16]}"
+
+
+def _spread(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt out: reading texts takes long, and a file of one row group is one task."""
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, "id") if len(rows.inputFiles()) < cores else rows
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records with the features that gates read, and the graph of their terms: made for these files once, like their index."""
+    kr = _spread(spark, with_defaults(src.knowledge_records(spark, sf_dir).withColumn("source_session", F.col("project_key"))))
+    own = search.prepared(kr)
+    at = _place(spark, sf_dir, f"{src.TITLE} {own._jdf.queryExecution().analyzed().schema().treeString()} {search.FEATURES}")
+    store = Snapshots(spark, at)
+    if 1 not in store.versions():
+        try:
+            store.commit({"records": own, "edges": search.term_graph(kr)}, 0)
+        except Conflict:
+            pass  # another session was first with the same
+    return store.read("records", 1), store.read("edges", 1)
+
+
 def _stored(spark: SparkSession, sf_dir: str, text: Column, places: bool = False) -> index.Index:
     """The stored index of the records' ``text``: built for these files once, then opened by every session, and kept open by this one.
 
     It is found by the files, by the layout of indexes and by how texts are read, so that none that was built otherwise is opened.
     """
-    how = hashlib.sha256(f"{index.LAYOUT} {src.TITLE} {text} {tx.tokens(F.col('text'))}".encode()).hexdigest()
-    at = f"{shared_dir(spark)}/tidemark/indexes/{src.snapshot_name(spark, sf_dir, 'documents', 'labels')}-{how[:16]}"
+    at = _place(spark, sf_dir, f"{index.LAYOUT} {src.TITLE} {text} {tx.tokens(F.col('text'))}")
     if (key := (spark.sparkContext.applicationId, at)) not in _OPEN:
-        _OPEN[key] = index.stored(spark, at, 1, with_defaults(src.knowledge_records(spark, sf_dir)), text=text, places=places)
+        _OPEN[key] = index.stored(spark, at, 1, _spread(spark, with_defaults(src.knowledge_records(spark, sf_dir))), text=text, places=places)
     return _OPEN[key]
 
 
@@ -117,6 +146,18 @@ def _index(spark: SparkSession, sf_dir: str) -> index.Index:
     return _stored(spark, sf_dir, F.concat_ws(" ", "title", "content"))
 
 
+def _quoting(spark: SparkSession, sf_dir: str, quote: Column) -> DataFrame:
+    """(query_id, id): the documents that hold what ``quote`` takes of a passage."""
+    passages = src.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), quote.alias("quote"))
+    docs = src.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return index.containing(passages, docs, _index(spark, sf_dir))
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, id): the documents that quote a passage."""
+    return _quoting(spark, sf_dir, F.col("text"))
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, index.Index]:
     """(query terms, requests, index)"""
     q = src.search_requests(spark, sf_dir)
@@ -174,7 +215,7 @@ def search_like_fallback(spark, sf_dir):
     q = src.search_requests(spark, sf_dir).withColumn("query", F.regexp_extract("query", _FRAGMENT, 1)).where("query <> ''")
     kr = src.knowledge_records(spark, sf_dir)
     direct = index.best(index.query_terms(q), _index(spark, sf_dir), 1, q, kr, _SERVING)
-    return index.like_fallback(q, kr.where(F.col("status").isin(*_SERVING)), direct, 5)
+    return index.like_fallback(q, kr.where(F.col("status").isin(*_SERVING)), direct, 5, _index(spark, sf_dir))
 
 
 @query(f"WITH {_BM25} SELECT DISTINCT term, least(coalesce(df, 0), 7)::BIGINT AS df FROM qt LEFT JOIN dfs USING (term)")
@@ -634,7 +675,7 @@ res AS (SELECT q.query_id, (SELECT count(*) FROM gold g WHERE g.query_id = q.que
 
 
 def _results(spark, sf_dir):
-    return evaluate.case_results(src.search_requests(spark, sf_dir).select("query_id"), _best(spark, sf_dir, 3), src.gold(spark, sf_dir), 3)
+    return evaluate.case_results(src.search_requests(spark, sf_dir).select("query_id"), _best(spark, sf_dir, 3), _gold(spark, sf_dir), 3)
 
 
 @query(f"""WITH {_RESULTS} SELECT count(*) FILTER (n_gold > 0) AS positives, count(*) FILTER (n_gold = 0) AS negatives,
@@ -679,7 +720,7 @@ def _arms(spark, sf_dir):
     kr = src.knowledge_records(spark, sf_dir)
     naive = _best(spark, sf_dir, 3).select(F.lit("naive").alias("arm"), "query_id", "id")
     gated = _best(spark, sf_dir, 3, _SERVING).select(F.lit("gated").alias("arm"), "query_id", "id")
-    marked = src.gold(spark, sf_dir).withColumn("relevant", F.lit(True))
+    marked = _gold(spark, sf_dir).withColumn("relevant", F.lit(True))
     sized = kr.select("id", F.octet_length("content").cast("long").alias("bytes"))
     return naive.unionByName(gated).join(sized, "id").join(marked, ["query_id", "id"], "left").fillna(False, ["relevant"])
 
@@ -693,7 +734,7 @@ def naive_vs_gated(spark, sf_dir):
 c AS (SELECT arm, query_id, count(*) FILTER (relevant) > 0 AS hit, count(*) FILTER (relevant) = any_value(n_gold) AS complete FROM j JOIN n USING (query_id) GROUP BY ALL)
 SELECT a.query_id, CASE WHEN b.complete THEN 'helped' ELSE 'harmed' END AS change FROM c a JOIN c b USING (query_id) WHERE a.arm = 'naive' AND b.arm = 'gated' AND a.complete <> b.complete""")
 def ablation_arms(spark, sf_dir):
-    n = src.gold(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    n = _gold(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n_gold"))
     by_case = _arms(spark, sf_dir).join(n, "query_id").groupBy("arm", "query_id", "n_gold").agg(F.count_if("relevant").alias("found"))
     return evaluate.arm_changes(by_case.withColumn("complete", F.col("found") == F.col("n_gold")), "naive", "gated")
 
@@ -793,10 +834,10 @@ def context_pack_greedy(spark, sf_dir):
 
 
 def _full(spark, sf_dir):
-    """search() over all requests. Its enriched index is stored like the plain one."""
-    kr = with_defaults(src.knowledge_records(spark, sf_dir).withColumn("source_session", F.col("project_key")))
+    """search() over all requests. Its enriched index, the records' features and the graph are stored like the plain index."""
+    records, edges = _prepared(spark, sf_dir)
     idx = _stored(spark, sf_dir, tx.indexed_text(F.col("title"), F.col("content"), F.col("search_terms")), places=True)
-    return search.search(src.search_requests(spark, sf_dir), kr, idx=idx)
+    return search.search(src.search_requests(spark, sf_dir), records, idx=idx, edges=edges)
 
 
 @query()
@@ -897,7 +938,7 @@ SELECT arm, count(n_gold) AS positive_questions, count(*) - count(n_gold) AS abs
  round(avg((shown = 0)::INT) FILTER (n_gold IS NULL), 6) AS abstention_empty_rate FROM s GROUP BY 1""")
 def ablation_summary(spark, sf_dir):
     found = _arms(spark, sf_dir).withColumn("rank", F.lit(1))
-    return reports.ablation(reports.evidence_found(src.gold(spark, sf_dir), found))
+    return reports.ablation(reports.evidence_found(_gold(spark, sf_dir), found))
 
 
 _E2E = """ex AS (SELECT l_orderkey * 8 + l_linenumber AS question_id, CASE WHEN l_tax > 0.04 THEN 'native' ELSE 'retired' END AS scenario, 't' || (l_partkey % 3) AS question_type,
@@ -1049,10 +1090,109 @@ def retention_audit(spark, sf_dir):
     """A passage's evidence is a document that has its first sentence, the answer is its last one."""
     kr = src.knowledge_records(spark, sf_dir).where("status in ('active', 'stale', 'candidate')")
     passages = src.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", _END, 0).alias("answer"))
-    held = src.quoting(spark, sf_dir, F.regexp_extract("text", _SENTENCE, 0))
+    held = _quoting(spark, sf_dir, F.regexp_extract("text", _SENTENCE, 0))
     return projections.retention_audit(passages.join(held, "query_id", "left"), kr.select("id", "content"))
 
 
+# ---------------------------------------------------------------- relations that change together, claims by scope and state
+
+_STANDING = """pc AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'user' ELSE 'project' END AS scope, p_brand AS project_key, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_type || p_size % 4 END AS topic,
+ 'v' || p_partkey % 3 AS value, CASE p_size % 5 WHEN 0 THEN 'candidate' WHEN 1 THEN 'active' WHEN 2 THEN 'stale' WHEN 3 THEN 'archived' ELSE 'quarantined' END AS status,
+ p_size % 3 AS verified, p_partkey % 13 = 0 AS replaced FROM part),
+cl AS (SELECT *, CASE WHEN scope = 'user' THEN 'user' ELSE 'project' || project_key END || '|' || topic AS slot,
+ NOT replaced AND (status IN ('active', 'stale') OR status = 'archived' AND verified > 0) AS stands, status IN ('active', 'stale') AS serves FROM pc WHERE topic <> '')"""
+
+
+def _standing(spark, sf_dir):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    states = F.array(*[F.lit(x) for x in ("candidate", "active", "stale", "archived", "quarantined")])
+    return src.read(spark, sf_dir, "part").select(
+        key.alias("id"),
+        F.when(key % 5 == 0, "user").otherwise("project").alias("scope"),
+        F.col("p_brand").alias("project_key"),
+        F.when(key % 11 == 0, "").otherwise(F.concat("p_type", (size % 4).cast("string"))).alias("claim_topic"),
+        F.concat(F.lit("v"), (key % 3).cast("string")).alias("claim_value"),
+        F.get(states, (size % 5).cast("int")).alias("status"),
+        (size % 3).cast("long").alias("verified_count"),
+        F.when(key % 13 == 0, key + 1).alias("superseded_by"),
+    )
+
+
+@query(f"""WITH {_STANDING} SELECT a.id, count(b.id) AS n_peers FROM cl a LEFT JOIN cl b ON a.slot = b.slot AND b.stands AND a.value <> b.value GROUP BY 1""")
+def claim_peers(spark, sf_dir):
+    return versions.peer_sums(_standing(spark, sf_dir)).select("id", F.col("n_peers").cast("long").alias("n_peers"))
+
+
+@query(f"""WITH {_STANDING} SELECT a.id, NOT a.replaced AND count(DISTINCT b.value) > 0 AS disputed FROM cl a
+LEFT JOIN cl b ON a.slot = b.slot AND b.stands AND a.value <> b.value AND (b.serves OR NOT a.serves) GROUP BY a.id, a.replaced""")
+def claim_disputes(spark, sf_dir):
+    return versions.disputed(_standing(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, p_brand AS b, p_partkey % 4 = 0 AS there FROM part)
+SELECT id, last_value(CASE WHEN there THEN id END IGNORE NULLS) OVER (PARTITION BY b ORDER BY id ROWS UNBOUNDED PRECEDING) AS predecessor FROM c QUALIFY NOT there AND predecessor IS NOT NULL""")
+def restored_predecessors(spark, sf_dir):
+    """Each part replaces the part before it of its brand; three in four are gone."""
+    own = src.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lead("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("superseded_by"))
+    return versions.restored(own, own.where("id % 4 <> 0").select("id")).select("id", "predecessor")
+
+
+_ORDERS = (
+    relations.Relation("orders", "id long, status string, price double", owner="id"),
+    relations.Relation("sales", "part long, n long, last long", key=("part",), counts=("n",), stamps=("last",)),
+)
+
+
+def _changed_orders(spark, sf_dir):
+    """Orders that came open, of which some were closed later and some removed, and how often each part was sold, less what came back; in four changes and merged."""
+    base = relations.Relations(spark, f"{shared_dir(spark)}/tidemark/orders-{uuid.uuid4().hex}", _ORDERS)
+    own = src.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("open").alias("status"), F.col("o_totalprice").alias("price"), "o_orderstatus")
+    lines = src.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.lit(1).cast("long").alias("n"), F.col("l_orderkey").alias("last"), "l_returnflag")
+    sold = lambda rows, sign: rows.groupBy("part").agg((F.sum("n") * sign).alias("n"), F.max("last").alias("last"))
+    closed = own.where("o_orderstatus = 'F'").withColumn("status", F.lit("closed"))
+    for change in (
+        relations.Change(append={"orders": own, "sales": sold(lines, 1)}),
+        relations.Change(replace={"orders": closed}),
+        relations.Change(append={"sales": sold(lines.where("l_returnflag = 'R'"), -1)}),
+        relations.Change(remove={"orders": own.where("id % 3 = 0").select("id")}),
+    ):
+        base.commit(base.open(), change)
+    for name in ("orders", "sales"):
+        base.merge(name, whole=True)
+    return base.open()
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'open' END AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0")
+def relation_upserts(spark, sf_dir):
+    return _changed_orders(spark, sf_dir).read("orders")
+
+
+@query("SELECT l_partkey AS part, count(*) FILTER (l_returnflag <> 'R') AS n, max(l_orderkey) AS last FROM lineitem GROUP BY 1 HAVING n > 0")
+def relation_sums(spark, sf_dir):
+    return _changed_orders(spark, sf_dir).read("sales")
+
+
+_SAID = """said AS (SELECT conv_id, text AS a, '{"role": "' || role || '", "turn": ' || turn || ', "extra": {"turn": ' || (turn + 1) || '}}' AS artifact,
+ CASE turn % 4 WHEN 0 THEN '{"turn": ' || turn || ', "role": "' || role || '"}' WHEN 1 THEN '{"turn": "' || turn || '"}' WHEN 2 THEN '{"turn": ' || turn || '.0}' ELSE '{"extra": {"turn": ' || (turn + 1) || '}}' END AS wanted, turn FROM conversations)"""
+
+
+@query(f"WITH {_SAID} SELECT conv_id, turn, artifact, turn % 4 IN (0, 3) AS same FROM said")
+def typed_artifacts(spark, sf_dir):
+    """Whether a turn, as JSON, has wanted values: keys in another order, a number as text, a whole number as a real one, an inner object."""
+    t, turn = F.col("turn").cast("string"), F.col("turn")
+    role = F.concat(F.lit('"role": "'), "role", F.lit('"'))
+    inner = F.concat(F.lit('"extra": {"turn": '), (turn + 1).cast("string"), F.lit("}"))
+    artifact = F.concat(F.lit("{"), role, F.lit(', "turn": '), t, F.lit(", "), inner, F.lit("}"))
+    wanted = (
+        F.when(turn % 4 == 0, F.concat(F.lit('{"turn": '), t, F.lit(", "), role, F.lit("}")))
+        .when(turn % 4 == 1, F.concat(F.lit('{"turn": "'), t, F.lit('"}')))
+        .when(turn % 4 == 2, F.concat(F.lit('{"turn": '), t, F.lit(".0}")))
+        .otherwise(F.concat(F.lit("{"), inner, F.lit("}")))
+    )
+    own = src.read(spark, sf_dir, "conversations").withColumns({"artifact": artifact, "wanted": wanted})
+    return own.select("conv_id", "turn", "artifact", experiences.artifact_equals(F.col("artifact"), F.col("wanted")).alias("same"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, fold, grams, tokens
 from ..plans import bucketed
 from ..plans.snapshots import Snapshots
 from ..plans.staging import broadcast_blocks, shared_dir, staged, union_all
@@ -29,7 +29,7 @@ SHARES, SALTS = 1024, 32
 #: Rows kept beyond the best k before the floor terms are added.
 SPARE = 64
 #: The layout of stored indexes; whoever changes what they hold, or how texts become terms, changes it.
-LAYOUT = "postings-by-term-1"
+LAYOUT = "postings-by-term-2"
 _POSTING = "term STRING, salt INT, id {id}, tf BIGINT, doc_len BIGINT, places ARRAY<INT>"
 
 
@@ -88,19 +88,19 @@ class Index:
         # fewer than SHARES terms are hot
         warm = F.broadcast(terms.where("salts > 1").select("term", "salts"))
         dealt = raw.join(warm, "term", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
-        bucketed.write(dealt.select("term", "salt", "id", "tf", "doc_len", "places"), f"{path}/postings", _POSTING.format(id=raw.schema["id"].dataType.simpleString()), ["term", "salt"], buckets)
+        # ids are as the records have them
+        kind = raw.schema["id"].dataType.simpleString()
+        bucketed.write(dealt.select("term", "salt", "id", "tf", "doc_len", "places"), f"{path}/postings", _POSTING.format(id=kind), ["term", "salt"], buckets)
         terms.write.parquet(f"{path}/frequencies")
         length = raw.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).head().n
         n = records.count()
-        spark.createDataFrame([(float(n), length / n if n else 0.0, buckets)], "n_docs double, avg_len double, buckets int").coalesce(1).write.parquet(f"{path}/numbers")
+        spark.createDataFrame([(float(n), length / n if n else 0.0, buckets, kind)], "n_docs double, avg_len double, buckets int, id_type string").coalesce(1).write.parquet(f"{path}/numbers")
         return Index.open(spark, path)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
         found = spark.read.parquet(f"{path}/numbers").head()
-        # ids are as the records have them
-        kind = spark.read.parquet(f"{path}/postings").schema["id"].dataType.simpleString()
-        rows = bucketed.read(spark, f"{path}/postings", _POSTING.format(id=kind), ["term", "salt"], found.buckets)
+        rows = bucketed.read(spark, f"{path}/postings", _POSTING.format(id=found.id_type), ["term", "salt"], found.buckets)
         return Index(rows, spark.read.parquet(f"{path}/frequencies"), found.n_docs, found.avg_len)
 
     def of(self, terms: DataFrame) -> DataFrame:
@@ -231,14 +231,58 @@ def in_one_order(pools: DataFrame) -> DataFrame:
     return pools.withColumn("position", F.row_number().over(order).cast("long"))
 
 
-def like_fallback(requests: DataFrame, records: DataFrame, direct: DataFrame, limit: int) -> DataFrame:
-    """For requests without any direct hit: records that contain the whole query, without wildcards."""
+def _kept_tokens(quote: Column) -> Column:
+    """The index tokens of a quote that any text which contains it has as tokens too: those at its ends may be parts of longer ones there."""
+    own, folded = tokens(quote), fold(quote)
+    lead, tail = (F.when(folded.rlike(p), 1).otherwise(0) for p in (f"^{TOKEN}", f"{TOKEN}$"))
+    return F.slice(own, lead + 1, F.greatest(F.size(own) - lead - tail, F.lit(0)))
+
+
+def containing(quotes: DataFrame, texts: DataFrame, idx: Index, holds: Column | None = None) -> DataFrame:
+    """(query_id, id): which texts (id, ...) contain which quotes (query_id, quote, ...), as characters; ``idx`` is an index of at least those texts.
+
+    Candidates are the postings of a quote's rarest token that is whole in it. A quote without one is part of one or two tokens: then the terms that contain its longest piece are found by
+    their grams, and their postings are the candidates. Candidates are verified (``holds``, a condition on both sides' columns). A quote of a token that no record has is nowhere. Only quotes
+    without any letter or digit are looked for in all texts, in blocks of bounded size.
+    """
+    holds = F.contains(F.col("text"), F.col("quote")) if holds is None else holds
+    asked = staged(quotes.where("quote <> ''").withColumns({"__kept": _kept_tokens(F.col("quote")), "__all": tokens(F.col("quote"))}), "quotes")
+    whole = asked.select("query_id", F.explode("__kept").alias("term")).distinct().join(idx.frequencies.select("term", "df"), "term", "left")
+    rarest = whole.groupBy("query_id").agg(F.bool_and(F.col("df").isNotNull()).alias("known"), F.min_by("term", F.struct("df", "term")).alias("term"))
+    wanted = rarest.where("known").select("query_id", "term")
+    parts = asked.where((F.size("__kept") == 0) & (F.size("__all") > 0))
+    if not parts.isEmpty():
+        wanted = wanted.unionByName(_terms_with(parts.select("query_id", F.array_max(F.transform("__all", lambda t: F.struct(F.char_length(t), t.alias("piece"))))["piece"].alias("piece")), idx))
+    near = idx.of(wanted.distinct()).select("query_id", "id").distinct()
+    clean = asked.drop("__kept", "__all")
+    found = near.join(clean, "query_id").join(texts, "id").where(holds).select("query_id", "id")
+    bare = asked.where(F.size("__all") == 0)
+    if not bare.isEmpty():
+        met = [texts.join(b, holds) for b in broadcast_blocks(bare.drop("__kept", "__all"), "query_id")]
+        found = found.unionByName(union_all(met).select("query_id", "id"))
+    return found
+
+
+def _terms_with(pieces: DataFrame, idx: Index) -> DataFrame:
+    """(query_id, term): the index's terms that contain a piece (query_id, piece), by a gram that they share."""
+    out = []
+    for n in (1, 2, 3):
+        own = pieces.where(F.char_length("piece") == n if n < 3 else F.char_length("piece") >= n)
+        if own.isEmpty():
+            continue
+        grams_of = idx.frequencies.select("term", F.explode(F.array_distinct(grams(F.col("term"), n))).alias("gram"))
+        met = own.withColumn("gram", F.substring("piece", 1, n)).join(grams_of, "gram").where(F.contains(F.col("term"), F.col("piece")))
+        out.append(met.select("query_id", "term"))
+    return union_all(out)
+
+
+def like_fallback(requests: DataFrame, records: DataFrame, direct: DataFrame, limit: int, idx: Index) -> DataFrame:
+    """For requests without any direct hit: records that contain the whole query, without wildcards, in any case; ``idx`` has their titles and contents."""
     waiting = requests.join(direct.select("query_id").distinct(), "query_id", "left_anti")
-    # the waiting queries are a stated set against all rows, in blocks of bounded size
-    asked = waiting.select("query_id", "query", F.col("project_key").alias("for_project"))
+    asked = waiting.select("query_id", F.lower("query").alias("quote"), F.col("project_key").alias("for_project"))
     seen = (F.col("scope") == "user") | (F.col("project_key") == F.col("for_project"))
-    holds = F.contains(F.lower("title"), F.lower("query")) | F.contains(F.lower("content"), F.lower("query"))
-    met = union_all([records.join(b, seen & holds) for b in broadcast_blocks(asked, "query_id")])
+    holds = F.contains(F.lower("title"), F.col("quote")) | F.contains(F.lower("content"), F.col("quote"))
+    met = containing(asked, records.select("id", "title", "content", "scope", "project_key"), idx, seen & holds).join(records.select("id", "status", "verified_count"), "id")
     by = Window.partitionBy("query_id").orderBy(F.when(F.col("status") == "archived", 2).when(F.col("status") == "stale", 1).otherwise(0), F.desc("verified_count"), "id")
     return met.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= limit).select("query_id", "id", "rank")
 

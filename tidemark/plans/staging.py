@@ -33,10 +33,12 @@ _STAGED: list[str] = []
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes what was staged inside. For results that have been written; rows still to be computed would miss it."""
     before, paths = len(_STAGED), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    yield
-    while len(_STAGED) > before:
-        where = paths(_STAGED.pop())
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    try:
+        yield
+    finally:
+        while len(_STAGED) > before:
+            where = paths(_STAGED.pop())
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import composite_identifiers
-from ..plans.staging import broadcast_blocks, union_all
 
 #: The moment that lifecycle queries look at the relations from; logic never asks for the current time.
 AS_OF = "2024-04-30 00:00:00"
@@ -80,20 +79,6 @@ def search_requests(spark: SparkSession, sf_dir: str, project: str = "src0") ->
     return own.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(project).alias("project_key"))
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, id): the documents that quote a passage."""
-    return quoting(spark, sf_dir, F.col("text"))
-
-
-def quoting(spark: SparkSession, sf_dir: str, quote: Column) -> DataFrame:
-    """(query_id, id): the documents that hold what ``quote`` takes of a passage."""
-    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), quote.alias("quote")).where("quote <> ''")
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    # passages are a stated query set against all rows, in blocks of bounded size
-    met = [docs.join(b, F.col("text").contains(F.col("quote"))) for b in broadcast_blocks(passages, "query_id")]
-    return union_all(met).select("query_id", "id")
-
-
 def snapshot_name(spark: SparkSession, sf_dir: str, *tables: str) -> str:
     """A name for the content of tables, by the paths, sizes and times of their files: what was derived from them is found by it."""
     jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
