@@ -167,16 +167,11 @@ def _withdraw(state: State, change: Change, ids: DataFrame) -> None:
 
 
 def open_index(state: State) -> index.Index:
-    """The index that search reads, as the segments of this version have it; terms of many records are dealt as in an index that is built at once."""
+    """The index that search reads, as the segments of this version have it."""
     found = state.read("numbers").where("corpus = 'all'").head()
     docs, tokens = (found.docs, found.tokens) if found else (0, 0)
-    terms = state.read("frequencies").select("term", F.col("n").alias("df"))
-    total = terms.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).head().n
-    terms = staged(terms.withColumn("salts", F.when(F.col("df") > max(total // index.SHARES, index.SALTS), index.SALTS).otherwise(1)), "frequencies")
-    # fewer than SHARES terms are hot
-    warm = F.broadcast(terms.where("salts > 1").select("term", "salts"))
-    dealt = state.read("postings").join(warm, "term", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    return index.Index(dealt.select("term", "salt", "id", "tf", "doc_len", "places"), terms, float(docs), tokens / docs if docs else 0.0)
+    terms = staged(state.read("frequencies").select("term", F.col("n").alias("df")), "frequencies")
+    return index.Index(state.read("postings").select("term", "id", "tf", "doc_len", "places"), terms, float(docs), tokens / docs if docs else 0.0)
 
 
 def rebuilt_edges(state: State) -> DataFrame:
