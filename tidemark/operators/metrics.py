@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
 
 def nearest_rank(column: str, p: float) -> Column:
     """The value at place ceil(n * p) of the sorted column; nulls are passed over."""
@@ -24,6 +26,42 @@ def at_place(rows: DataFrame, column: str, p: float, shift: float, *by: str) ->
     return met.where((F.col("upto") - F.col("n") < place) & (place <= F.col("upto"))).select(*by, "x")
 
 
+#: Ranges that the values of a group are cut into, to find the one that holds a place.
+RANGES = 4096
+
+
+def at_ranks(rows: DataFrame, column: str, places: dict[str, float], *by: str) -> DataFrame:
+    """(by, names of ``places``): what ``nearest_rank`` gives, by counts in place of a buffer that holds all values of a group.
+
+    Values are counted once. The counts of a group's equal ranges tell which range holds the place; only the values of that range are put in order.
+    """
+    counts = staged(rows.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("x")).agg(F.count("*").alias("n")), "values")
+    same = lambda df, names: df.select(*[F.col(c).alias(f"__{c}") if c in names else F.col(c) for c in df.columns])
+    met = lambda left, right, names: left.join(F.broadcast(same(right, names)), _same(names)).drop(*[f"__{c}" for c in names])
+    bounds = counts.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total"))
+    part = F.coalesce(F.try_divide((F.col("x") - F.col("lo")).cast("double") * RANGES, (F.col("hi") - F.col("lo")).cast("double")), F.lit(0.0))
+    cut = met(counts, bounds, by).withColumn("range", F.least(F.floor(part).cast("int"), F.lit(RANGES - 1)))
+    sums = staged(cut.groupBy(*by, "range", "total").agg(F.sum("n").alias("m")), "ranges")
+    upto = sums.withColumn("upto", F.sum("m").over(Window.partitionBy(*by).orderBy("range")))
+    out = bounds.select(*by, "total")
+    for name, p in places.items():
+        place = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(p)))
+        held = upto.withColumn("place", place).where((F.col("upto") - F.col("m") < F.col("place")) & (F.col("place") <= F.col("upto")))
+        held = held.select(*by, "range", "place", (F.col("upto") - F.col("m")).alias("before"))
+        own = met(cut.select(*by, "range", "x", "n"), held, (*by, "range"))
+        ranked = own.withColumn("at", F.col("before") + F.sum("n").over(Window.partitionBy(*by).orderBy("x")))
+        found = ranked.where((F.col("at") - F.col("n") < F.col("place")) & (F.col("place") <= F.col("at"))).select(*by, F.round("x", 3).alias(name))
+        out = out.join(F.broadcast(same(found, by)), _same(by), "left").drop(*[f"__{c}" for c in by])
+    return out.drop("total")
+
+
+def _same(names: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for c in names:
+        out = out & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return out
+
+
 def ratio(part: Column, whole: Column, empty: float | None = 0.0) -> Column:
     """part / whole; ``empty`` (null or 0.0: reports differ) where there is nothing to divide by."""
     out = F.try_divide(part.cast("double"), whole.cast("double"))
@@ -108,6 +146,7 @@ def reuse_metrics(traces: DataFrame, *by: str) -> DataFrame:
     own = traces.withColumns({n: F.lit(None).cast(t) for n, t in TRACE_FIELDS.items() if n not in traces.columns})
     fields = [(F.col(f"i.{n}") if n in has else F.lit(None)).cast(t).alias(n) for n, t in ITEM_FIELDS.items()]
     items = own.select(*by, "id", *TRACE_FIELDS, F.explode_outer("items").alias("i")).select(*by, "id", *TRACE_FIELDS, F.col("i").isNotNull().alias("there"), *fields)
+    items = staged(items, "items")
     c = F.col
     yes = lambda n: F.coalesce(c(n), F.lit(False))
     origin = F.coalesce(c("origin"), F.lit("direct"))
@@ -117,38 +156,51 @@ def reuse_metrics(traces: DataFrame, *by: str) -> DataFrame:
     done = cross & c("completed_at").isNotNull()
     checked = emitted & F.coalesce(c("check_status").isin("constraint_pass", "constraint_fail"), F.lit(False))
     passed = emitted & F.coalesce(c("check_status") == "constraint_pass", F.lit(False))
-    turns = lambda flag: F.countDistinct(F.when(flag, c("id")))
     of = lambda name: F.count_if(c("there") & (origin == name))
-    out = items.groupBy(*by).agg(
-        F.countDistinct("id").alias("turns"),
-        F.count_if("there").alias("retrieved"),
-        F.count_if(emitted).alias("emitted"),
-        of("direct").alias("direct"),
-        of("sibling").alias("inferred"),
-        of("bridged").alias("bridged"),
-        of("anchored").alias("anchored"),
-        F.count_if(recovered).alias("recovery_candidates"),
-        F.count_if(recovered & emitted).alias("recovery_emitted"),
-        F.count_if(recovered & F.coalesce(c("lfhv_recovery_outcome") == "restored", F.lit(False))).alias("recovery_restored"),
-        F.count_if(recovered & ~emitted).alias("recovery_not_emitted"),
-        F.count_if(cited).alias("cited"),
-        turns(emitted).alias("turns_emitted"),
-        turns(cited).alias("turns_cited"),
-        turns(shown).alias("turns_attributed"),
-        turns(cited | shown).alias("turns_shown"),
-        turns(emitted & yes("task_success")).alias("turns_successful"),
-        F.countDistinct(F.when(emitted, c("knowledge_id"))).alias("records_emitted"),
-        turns(cross).alias("cross_agent_turns_emitted"),
-        turns(done & cited).alias("cross_agent_turns_cited"),
-        turns(done & shown).alias("cross_agent_turns_attributed"),
-        turns(done & (cited | shown)).alias("cross_agent_turns_shown"),
-        F.count_if(checked).alias("checked"),
-        F.count_if(checked & cross).alias("cross_agent_checked"),
-        F.count_if(passed).alias("constraint_pass"),
-        F.count_if(passed & cross).alias("cross_agent_constraint_pass"),
-    )
-    times = own.groupBy(*by).agg(nearest_rank("retrieval_ms", 0.5).alias("retrieval_p50_ms"), nearest_rank("retrieval_ms", 0.95).alias("retrieval_p95_ms"))
-    return out.join(times, list(by)) if by else out.crossJoin(times)
+    counts = {
+        "retrieved": F.count_if("there"),
+        "emitted": F.count_if(emitted),
+        "direct": of("direct"),
+        "inferred": of("sibling"),
+        "bridged": of("bridged"),
+        "anchored": of("anchored"),
+        "recovery_candidates": F.count_if(recovered),
+        "recovery_emitted": F.count_if(recovered & emitted),
+        "recovery_restored": F.count_if(recovered & F.coalesce(c("lfhv_recovery_outcome") == "restored", F.lit(False))),
+        "recovery_not_emitted": F.count_if(recovered & ~emitted),
+        "cited": F.count_if(cited),
+        "checked": F.count_if(checked),
+        "cross_agent_checked": F.count_if(checked & cross),
+        "constraint_pass": F.count_if(passed),
+        "cross_agent_constraint_pass": F.count_if(passed & cross),
+    }
+    turns = {
+        "turns": F.lit(True),
+        "turns_emitted": emitted,
+        "turns_cited": cited,
+        "turns_attributed": shown,
+        "turns_shown": cited | shown,
+        "turns_successful": emitted & yes("task_success"),
+        "cross_agent_turns_emitted": cross,
+        "cross_agent_turns_cited": done & cited,
+        "cross_agent_turns_attributed": done & shown,
+        "cross_agent_turns_shown": done & (cited | shown),
+    }
+    # by turn first: distinct counts side by side would multiply every item by their number
+    by_turn = items.groupBy(*by, "id").agg(*[x.alias(n) for n, x in counts.items()], *[F.bool_or(F.coalesce(x, F.lit(False))).alias(n) for n, x in turns.items()])
+    sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts] + [F.count_if(c(n) & c("id").isNotNull()).alias(n) for n in turns]
+    records = items.where(emitted & c("knowledge_id").isNotNull()).select(*by, "knowledge_id").distinct().groupBy(*by).agg(F.count("*").alias("records_emitted"))
+    times = at_ranks(own, "retrieval_ms", {"retrieval_p50_ms": 0.5, "retrieval_p95_ms": 0.95}, *by)
+    out = by_turn.groupBy(*by).agg(*sums)
+    # groups are few; a group may be null, and may have no records or times
+    for more in (records, times):
+        renamed = more.withColumnsRenamed({n: f"__{n}" for n in by})
+        out = out.join(renamed, _same(by), "left").drop(*[f"__{n}" for n in by])
+    first = ["turns", "retrieved", "emitted", "direct", "inferred", "bridged", "anchored", "recovery_candidates", "recovery_emitted", "recovery_restored", "recovery_not_emitted", "cited"]
+    first += ["turns_emitted", "turns_cited", "turns_attributed", "turns_shown", "turns_successful", "records_emitted"]
+    first += ["cross_agent_turns_emitted", "cross_agent_turns_cited", "cross_agent_turns_attributed", "cross_agent_turns_shown"]
+    first += ["checked", "cross_agent_checked", "constraint_pass", "cross_agent_constraint_pass", "retrieval_p50_ms", "retrieval_p95_ms"]
+    return out.fillna(0, ["records_emitted"]).select(*by, *first)
 
 
 def latest_experiment(pairs: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import nearest_rank, ratio
+from ..plans.staging import staged
+from .metrics import at_ranks, nearest_rank, ratio
 
 MODES = ("baseline", "auto", "oracle")
 
@@ -136,13 +137,13 @@ def end_to_end(expected: DataFrame, results: DataFrame) -> DataFrame:
 
     expected (question_id, scenario, arm, question_type, retrieval_ms, context_bytes); results (question_id, scenario, arm, status, correct, abstention, answer_ms).
     """
-    met = expected.join(results, ["question_id", "scenario", "arm"], "left")
+    met = staged(expected.join(results, ["question_id", "scenario", "arm"], "left"), "answers")
     ok = F.coalesce(F.col("status") == "ok", F.lit(False))
     right = ok & F.coalesce(F.col("correct"), F.lit(False))
     complete = F.count_if(ok) == F.count("*")
     whole = lambda part, among: F.when(complete, ratio(F.count_if(part), F.count_if(among), None))
     away = F.coalesce(F.col("abstention"), F.lit(False))
-    return met.groupBy("scenario", "arm").agg(
+    own = met.groupBy("scenario", "arm").agg(
         F.count("*").alias("expected"),
         F.count_if(ok).alias("valid"),
         F.count_if(~ok).alias("errors_or_missing"),
@@ -150,10 +151,15 @@ def end_to_end(expected: DataFrame, results: DataFrame) -> DataFrame:
         whole(right & ~away, ok & ~away).alias("positive_accuracy"),
         whole(right & away, ok & away).alias("abstention_accuracy"),
         ratio(F.count_if(right), F.count("*"), None).alias("lower_bound"),
-        nearest_rank("retrieval_ms", 0.95).alias("retrieval_p95_ms"),
-        F.when(complete, nearest_rank("answer_ms", 0.95)).alias("answer_p95_ms"),
+        complete.alias("complete"),
         F.sum("context_bytes").cast("long").alias("context_bytes"),
     )
+    for name in ("retrieval", "answer"):
+        p95 = at_ranks(met, f"{name}_ms", {f"{name}_p95_ms": 0.95}, "scenario", "arm").withColumnsRenamed({"scenario": "__scenario", "arm": "__arm"})
+        own = own.join(p95, F.col("scenario").eqNullSafe(F.col("__scenario")) & F.col("arm").eqNullSafe(F.col("__arm")), "left").drop("__scenario", "__arm")
+    own = own.withColumn("answer_p95_ms", F.when(F.col("complete"), F.col("answer_p95_ms")))
+    names = ["scenario", "arm", "expected", "valid", "errors_or_missing", "accuracy", "positive_accuracy", "abstention_accuracy", "lower_bound", "retrieval_p95_ms", "answer_p95_ms", "context_bytes"]
+    return own.select(names)
 
 
 def end_to_end_by_type(expected: DataFrame, results: DataFrame) -> DataFrame:
