@@ -40,12 +40,10 @@ def reasons(rows: DataFrame, *by: str) -> DataFrame:
     return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("rejection_reasons"))
 
 
-def retention_audit(answers: DataFrame, kept: DataFrame) -> DataFrame:
-    """By case of (query_id, id, answer): whether a kept record (id, content) holds the answer literally, and counts by outcome."""
-    from ..functions.parsers import holds_literally
-
-    met = answers.join(kept, "id", "left").withColumn("holds", F.when(F.col("content").isNotNull(), holds_literally("content", "answer")))
-    case = met.groupBy("query_id").agg(F.bool_or(F.coalesce("holds", F.lit(False))).alias("answered"), F.count("content").alias("n_kept"))
+def retention_audit(cases: DataFrame, kept: DataFrame) -> DataFrame:
+    """By outcome of cases (query_id): how many have a kept record (query_id, id, holds) that holds the answer literally, any kept record, none."""
+    met = cases.join(kept.select("query_id", "id", "holds"), "query_id", "left")
+    case = met.groupBy("query_id").agg(F.bool_or(F.coalesce("holds", F.lit(False))).alias("answered"), F.count("id").alias("n_kept"))
     outcome = F.when(F.col("answered"), "answer_kept").when(F.col("n_kept") > 0, "evidence_kept").otherwise("lost")
     return case.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("cases"))
 
