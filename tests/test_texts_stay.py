@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.functions import text as tx
 from tidemark.functions.parsers import holds_literally
 from tidemark.operators import index, projections
@@ -62,3 +63,11 @@ def test_pairs_are_told_of_where_they_are_verified(spark, monkeypatch, few):
     assert got == {(1, 1): True, (1, 3): False, (2, 1): False, (2, 2): False, (2, 3): False}
     outcomes = projections.retention_audit(asked.select("query_id"), held)
     assert {x.outcome: x.cases for x in outcomes.collect()} == {"answer_kept": 1, "evidence_kept": 1, "lost": 2}
+
+
+@pytest.mark.parametrize("name", ["ablation_summary", "naive_vs_gated"])
+def test_arms_and_what_they_should_find_are_found_once(spark, monkeypatch, name):
+    calls, own = [], catalog._quoting
+    monkeypatch.setattr(catalog, "_quoting", lambda *a, **k: calls.append(a) or own(*a, **k))
+    assert not any("documents" in f for f in catalog.queries()[name](spark, SF).inputFiles())
+    assert len(calls) == 1
