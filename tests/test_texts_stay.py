@@ -65,7 +65,7 @@ def test_pairs_are_told_of_where_they_are_verified(spark, monkeypatch, few):
     assert {x.outcome: x.cases for x in outcomes.collect()} == {"answer_kept": 1, "evidence_kept": 1, "lost": 2}
 
 
-@pytest.mark.parametrize("name", ["ablation_summary", "naive_vs_gated"])
+@pytest.mark.parametrize("name", ["ablation_summary", "ablation_arms", "naive_vs_gated"])
 def test_arms_and_what_they_should_find_are_found_once(spark, monkeypatch, name):
     calls, own = [], catalog._quoting
     monkeypatch.setattr(catalog, "_quoting", lambda *a, **k: calls.append(a) or own(*a, **k))
