@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import align
 from tidemark.llm.queries import aligned_tokenizers
@@ -110,3 +111,16 @@ def test_groups_and_links_are_columns(spark, public):
     assert [x for g in found[1].groups for x in g.a] == found[1].a_ids and [x for g in found[1].groups for x in g.b] == found[1].b_ids
     assert [x >> 32 for x in found[1].links] == [g.a[-1] for g in found[1].groups]
     assert found[2].groups == found[2].links == [] and found[1].n_words == "own n_words"
+
+
+def test_marks_and_group_texts_of_all_sizes(spark):
+    """Ways from one cut to the next, and groups, below, at and above the sizes that have a way of their own."""
+    gaps = [1, 2, align.SHORT - 1, align.SHORT, align.SHORT + 1, 40, 1]
+    cuts = [sum(gaps[: k + 1]) for k in range(len(gaps))]
+    rows = spark.createDataFrame([(cuts,)], "cuts array<int>")
+    got = [bytes(r[0]) for r in rows.select(align._marks(F.col("cuts"))).collect()]
+    assert got == ["".join("0" * (n - 1) + "1" for n in gaps).encode()]
+    a, b = [[1], [2, 3], [4, 5, 6], [7], [8, 9, 10, 11]], [[1, 2, 3], [4], [5, 6], [7], [8, 9]]
+    last = lambda own: [sum(map(len, own[: k + 1])) - 1 for k in range(len(own))]
+    aligned = spark.createDataFrame([(sum(a, []), sum(b, []), last(a), last(b))], "a_ids array<int>, b_ids array<int>, a_last array<int>, b_last array<int>")
+    assert aligned.select(align.groups_text()).head()[0] == "1|1,2,3;2,3|4;4,5,6|5,6;7|7;8,9,10,11|8,9"

@@ -39,6 +39,8 @@ BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
 CACHE, EACH = 20_000_000, 40
 #: Characters of new chunks that are encoded as one text.
 RUN = 1 << 15
+#: Bytes from one cut to the next up to which their marks are looked up.
+SHORT = 16
 #: Different pairs of ids up to which their counts are broadcast: 24 bytes each, some 64 MB as a hash table.
 BROADCAST_PAIRS = 1_000_000
 TOKENS = ("a_ids", "a_ends", "b_ids", "b_ends")
@@ -256,8 +258,9 @@ def _before(values: Column, first: int) -> Column:
 
 
 def _marks(cuts: Column) -> Column:
-    """A byte for each byte up to the last cut: 1 where there is a cut."""
-    return F.array_join(F.zip_with(cuts, _before(cuts, 0), lambda end, start: F.lpad(F.lit("1"), end - start, F.lit("0"))), "").cast("binary")
+    """A byte for each byte up to the last cut: 1 where there is a cut. The marks of short ways are looked up, as padding goes byte by byte."""
+    short = F.array(*(F.lit("0" * k + "1") for k in range(SHORT)))
+    return F.array_join(F.zip_with(cuts, _before(cuts, 0), lambda end, start: F.coalesce(F.get(short, end - start - 1), F.lpad(F.lit("1"), end - start, F.lit("0")))), "").cast("binary")
 
 
 def _places(ends: Column, marks: Column) -> Column:
@@ -302,7 +305,9 @@ def groups_text() -> Column:
     """The groups of an aligned row as text: ``a1,a2|b1;a3|b2,b3``; empty where there are none."""
 
     def part(own: Column, end: Column, before: Column) -> Column:
-        return F.when(end - before == 1, F.get(own, end)).otherwise(F.array_join(F.slice(own, before + 2, end - before), ","))
+        # nearly all groups have one or two tokens of a side, which need no arrays of their own
+        two = F.concat(F.get(own, before + 1), F.lit(","), F.get(own, end))
+        return F.when(end - before == 1, F.get(own, end)).when(end - before == 2, two).otherwise(F.array_join(F.slice(own, before + 2, end - before), ","))
 
     def side(ids: str, last: str) -> Column:
         return _let(F.col(ids).cast("array<string>"), lambda own: F.zip_with(last, _before(F.col(last), -1), lambda end, before: part(own, end, before)))
