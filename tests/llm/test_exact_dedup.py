@@ -82,6 +82,21 @@ def test_merged_index_keeps_its_rows(spark):
     assert again.generations() == [2] and again.rows().count() == 20
 
 
+def test_a_bucket_gets_one_file_however_many_partitions_there_are(spark, monkeypatch):
+    kind = type(spark.range(0))
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *by: plain(self, max(n, 13), *by) if by and isinstance(n, int) else plain(self, n, *by))
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index-test"), 4)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 300).alias("text"))
+    got = exact_dedup.deduplicate(docs, index, batch="a").collect()
+    assert index.files() == 4 and index.generation == 1
+    assert sum(r.kept for r in got) == index.rows().count() == 300
+    index.merge()
+    assert index.files() == 4
+    assert "Exchange" not in index.known("b")._jdf.queryExecution().executedPlan().toString()
+    index.close()
+
+
 def test_names_of_helper_columns_may_be_the_callers(spark):
     docs = awkward.documents(spark)
     for c in ("__id", "__digest", "__times", "__text_digest", "a.b"):

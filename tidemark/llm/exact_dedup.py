@@ -83,9 +83,11 @@ class DigestIndex:
         return self.rows().where(F.col("batch") != batch).groupBy("digest").agg(F.min_by("keep_id", "batch").alias("known_id"))
 
     def _write(self, rows: DataFrame, name: str, folder: str) -> None:
+        # by the number of the bucket, as Spark finds it: one file for each bucket, however many partitions the rows are dealt to
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
         (
             rows.select("digest", "keep_id", "n_chars", "batch")
-            .repartition(self.buckets, "digest")
+            .repartition(self.buckets, bucket)
             .write.bucketBy(self.buckets, "digest")
             .sortBy("digest")
             .mode("append")
