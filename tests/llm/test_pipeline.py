@@ -3,8 +3,10 @@ import hashlib
 
 import numpy as np
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidemark.llm import exact_dedup
 from tidemark.llm.queries import tokenizer
 
 from . import awkward
@@ -47,3 +49,13 @@ def test_stages_keep_columns_of_awkward_rows(spark, tmp_path):
             assert out.columns == docs.columns, name
             out.collect()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_the_digests_of_exact_dedup_take_one_file_a_bucket_however_many_partitions_there_are(spark, monkeypatch):
+    kind, found = type(spark.range(0)), []
+    plain, close = kind.repartition, exact_dedup.DigestIndex.close
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *by: plain(self, max(n, 131), *by) if by and isinstance(n, int) else plain(self, n, *by))
+    monkeypatch.setattr(exact_dedup.DigestIndex, "close", lambda self: (found.append((self.generation, self.files())) if self.name else None, close(self))[1])
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 900).alias("text"))
+    assert corpus_pipeline.exact_duplicates(spark, docs, "").count() == 900
+    assert found == [(1, exact_dedup.BUCKETS)]
